@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numbers import round_half_even
-from ..operators import market
+from ..operators import history, market
 from ..schemas import SERIES
 from ..sources import driver_tables as dt
 
@@ -47,7 +47,141 @@ def q_market_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
         "trend")
 
 
+def _daily(spark, sf_dir):
+    p = dt.prices(spark, sf_dir)
+    return market.daily_last(p, SERIES, market.default_day_order(dt.ingest_order()))
+
+
+def _row_order():
+    return F.struct(F.col("variety"), F.col("grade"), dt.ingest_order())
+
+
+def q_price_day_over_day(spark, sf_dir):
+    d = market.day_over_day(_daily(spark, sf_dir))
+    return d.select(*SERIES, d2s("arrival_date").alias("arrival_date"),
+                    r4("modal_price").alias("modal_price"),
+                    r4("previous_modal_price").alias("previous_modal_price"),
+                    r4(round_half_even("day_change_percent", 2)).alias("day_change_percent"))
+
+
+def q_recent_price_list(spark, sf_dir):
+    s = summary_of_prices(spark, sf_dir)
+    return s.select(*SERIES, F.col("n_days").cast("long").alias("n_days"),
+                    market.recent_price_text(F.col("recent_prices")).alias("recent_prices"))
+
+
+def q_history_latest_dates(spark, sf_dir):
+    h = history.latest_n_dates(dt.prices(spark, sf_dir), 7)
+    return h.select(*SERIES, d2s("arrival_date").alias("arrival_date"), "variety", "grade",
+                    r4("min_price").alias("min_price"), r4("max_price").alias("max_price"),
+                    r4("modal_price").alias("modal_price"),
+                    F.col("date_rank").cast("long").alias("date_rank"),
+                    "l_orderkey", "l_linenumber")
+
+
+def q_history_latest_rows(spark, sf_dir):
+    h = history.latest_n_rows(dt.prices(spark, sf_dir), 30, _row_order())
+    return h.select(*SERIES, d2s("arrival_date").alias("date"),
+                    r4("max_price").alias("maxPrice"), r4("modal_price").alias("modalPrice"),
+                    r4("min_price").alias("minPrice"),
+                    F.col("row_rank").cast("long").alias("row_rank"))
+
+
+def _latest_cols(df):
+    return df.select(*SERIES, "commodity_group", "variety", "grade",
+                     r4("min_price").alias("min_price"), r4("max_price").alias("max_price"),
+                     r4("modal_price").alias("modal_price"), "price_unit",
+                     r4("arrival_quantity").alias("arrival_quantity"), "arrival_unit",
+                     d2s("arrival_date").alias("arrival_date"))
+
+
+def q_latest_row(spark, sf_dir):
+    return _latest_cols(history.latest_row(dt.prices(spark, sf_dir), _row_order()))
+
+
+def q_latest_per_group_ties(spark, sf_dir):
+    h = history.latest_date_rows(dt.prices(spark, sf_dir))
+    return h.select(*SERIES, d2s("arrival_date").alias("arrival_date"), "variety", "grade",
+                    r4("modal_price").alias("modal_price"), "l_orderkey", "l_linenumber")
+
+
+# Advisory request defaults (F6), fixed values.
+REQUEST_DEFAULTS = {"crop": "Tomato", "state": "Andhra Pradesh", "district": "Palamaner",
+                    "market": "Palamaner APMC", "language": "Telugu"}
+
+
+def q_blank_district_lookup(spark, sf_dir):
+    p = dt.prices(spark, sf_dir)
+    req = dt.farmer_requests(spark, sf_dir)
+    req = req.select("req_id", *[F.coalesce(F.when(F.col(c) != "", F.col(c)), F.lit(REQUEST_DEFAULTS[c])).alias(c)
+                                 for c in ["state", "market"]],
+                     "district",
+                     F.coalesce(F.when(F.col("crop") != "", F.col("crop")),
+                                F.lit(REQUEST_DEFAULTS["crop"])).alias("commodity"))
+    order = _row_order()
+    full = history.latest_row(p, order).select(
+        *SERIES, F.col("arrival_date").alias("latest_date"), F.col("modal_price").alias("latest_modal"),
+        F.col("variety").alias("latest_variety"))
+    no_d = history.latest_row(p, order, ["state", "market", "commodity"]).select(
+        "state", "market", "commodity", F.col("arrival_date").alias("latest_date"),
+        F.col("modal_price").alias("latest_modal"), F.col("variety").alias("latest_variety"))
+    out = history.lookup_latest(req, full, no_d)
+    return out.select("req_id", "state", "district", "market", "commodity",
+                      d2s("latest_date").alias("latest_date"), r4("latest_modal").alias("latest_modal"),
+                      "latest_variety")
+
+
+# Parameter sets of the optional-filter history query (fixed values).
+FILTER_SETS = [
+    {"commodity": "ECONOMY"},
+    {"commodity": "PROMO", "market": "Supplier#000000001"},
+    {"commodity": "SMALL", "state": "ASIA", "variety": "Brand#12"},
+    {"commodity": "LARGE", "state": "EUROPE", "district": "NATION_3"},
+    {"commodity": "MEDIUM", "market": "Supplier#000000002", "variety": "Brand#1",
+     "state": "AMERICA", "district": "NATION_1"},
+]
+
+
+def q_optional_filters(spark, sf_dir):
+    p = dt.prices(spark, sf_dir)
+    parts = []
+    for i, params in enumerate(FILTER_SETS):
+        h = history.filtered_history(p, params, 7)
+        parts.append(h.select(F.lit(i).cast("long").alias("filter_id"), *SERIES,
+                              d2s("arrival_date").alias("arrival_date"), "variety", "grade",
+                              r4("modal_price").alias("modal_price"), "l_orderkey", "l_linenumber"))
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return out
+
+
+# Driver commodities accepted by the sync, exact case (two in the wrong case).
+DRIVER_SUPPORTED = ["ECONOMY", "MEDIUM", "STANDARD", "PROMO", "small", "Large"]
+
+
+def q_supported_commodities(spark, sf_dir):
+    h = history.supported(dt.prices(spark, sf_dir), DRIVER_SUPPORTED)
+    return h.select(*SERIES, d2s("arrival_date").alias("arrival_date"), "variety", "grade",
+                    r4("modal_price").alias("modal_price"), "l_orderkey", "l_linenumber")
+
+
+def q_markets_per_commodity(spark, sf_dir):
+    m = history.markets_per_commodity(dt.prices(spark, sf_dir))
+    return m.select("commodity", "market", F.col("n_markets").cast("long").alias("n_markets"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "market_summary": q_market_summary,
+    "price_day_over_day": q_price_day_over_day,
+    "recent_price_list": q_recent_price_list,
+    "history_latest_dates": q_history_latest_dates,
+    "history_latest_rows": q_history_latest_rows,
+    "latest_row": q_latest_row,
+    "latest_per_group_ties": q_latest_per_group_ties,
+    "blank_district_lookup": q_blank_district_lookup,
+    "optional_filters": q_optional_filters,
+    "supported_commodities": q_supported_commodities,
+    "markets_per_commodity": q_markets_per_commodity,
 }
 FLAGSHIP = "market_summary"

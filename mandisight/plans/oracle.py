@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from .sqltext import BASE_CTES, SERIES, dstr, r4, with_ctes
+from .sqltext import (BASE_CTES, LATEST_ROW, PRICES, REQUESTS, SERIES, TIE_DESC, dstr,
+                      pct, r4, rhe, with_ctes)
 
 
 def _market_summary() -> str:
@@ -17,7 +18,121 @@ SELECT {SERIES}, n_days, {dstr('period_from')} AS period_from, {dstr('period_to'
 FROM summary""")
 
 
+def _price_day_over_day() -> str:
+    return with_ctes(*BASE_CTES[:2], body=f"""
+SELECT {SERIES}, {dstr('arrival_date')} AS arrival_date, {r4('modal_price')} AS modal_price,
+  {r4('prev')} AS previous_modal_price, {r4(rhe(pct('modal_price', 'prev'), 2))} AS day_change_percent
+FROM (SELECT d.*, lag(modal_price) OVER (PARTITION BY {SERIES} ORDER BY arrival_date) AS prev FROM daily d)""")
+
+
+def _recent_price_list() -> str:
+    return with_ctes(*BASE_CTES[:3], body=f"""
+SELECT {SERIES}, count(*) AS n_days,
+  string_agg({dstr('arrival_date')} || '=' || printf('%.2f', {rhe('modal_price', 2)}), ', ' ORDER BY arrival_date) AS recent_prices
+FROM top7 GROUP BY {SERIES}""")
+
+
+def _history_latest_dates() -> str:
+    return with_ctes(("prices", PRICES), body=f"""
+SELECT {SERIES}, {dstr('arrival_date')} AS arrival_date, variety, grade,
+  {r4('min_price')} AS min_price, {r4('max_price')} AS max_price, {r4('modal_price')} AS modal_price,
+  date_rank, l_orderkey, l_linenumber
+FROM (SELECT p.*, dense_rank() OVER (PARTITION BY {SERIES} ORDER BY arrival_date DESC) AS date_rank FROM prices p)
+WHERE date_rank <= 7""")
+
+
+def _history_latest_rows() -> str:
+    return with_ctes(("prices", PRICES), body=f"""
+SELECT {SERIES}, {dstr('arrival_date')} AS date, {r4('max_price')} AS maxPrice,
+  {r4('modal_price')} AS modalPrice, {r4('min_price')} AS minPrice, row_rank
+FROM (SELECT p.*, row_number() OVER (PARTITION BY {SERIES}
+        ORDER BY arrival_date DESC, variety DESC, grade DESC, {TIE_DESC}) AS row_rank FROM prices p)
+WHERE row_rank <= 30""")
+
+
+def _latest_row() -> str:
+    return with_ctes(("prices", PRICES), ("latest", LATEST_ROW), body=f"""
+SELECT {SERIES}, commodity_group, variety, grade, {r4('min_price')} AS min_price,
+  {r4('max_price')} AS max_price, {r4('modal_price')} AS modal_price, price_unit,
+  {r4('arrival_quantity')} AS arrival_quantity, arrival_unit, {dstr('arrival_date')} AS arrival_date
+FROM latest""")
+
+
+def _latest_per_group_ties() -> str:
+    return with_ctes(("prices", PRICES), body=f"""
+SELECT m.state, m.district, m.market, m.commodity, {dstr('m.arrival_date')} AS arrival_date,
+  m.variety, m.grade, {r4('m.modal_price')} AS modal_price, m.l_orderkey, m.l_linenumber
+FROM prices m INNER JOIN (
+  SELECT state, district, market, commodity, MAX(arrival_date) AS latest_date
+  FROM prices GROUP BY state, district, market, commodity) latest
+ON m.state = latest.state AND m.district = latest.district AND m.market = latest.market
+ AND m.commodity = latest.commodity AND m.arrival_date = latest.latest_date""")
+
+
+def _blank_district_lookup() -> str:
+    latest_nd = f"""
+SELECT * EXCLUDE (k) FROM (
+  SELECT p.*, row_number() OVER (PARTITION BY state, market, commodity
+     ORDER BY arrival_date DESC, variety DESC, grade DESC, {TIE_DESC}) AS k FROM prices p
+) WHERE k = 1"""
+    req = """
+SELECT req_id, coalesce(nullif(state, ''), 'Andhra Pradesh') AS state, district,
+  coalesce(nullif(market, ''), 'Palamaner APMC') AS market,
+  coalesce(nullif(crop, ''), 'Tomato') AS commodity FROM requests0"""
+    return with_ctes(("prices", PRICES), ("latest", LATEST_ROW), ("latest_nd", latest_nd),
+                     ("requests0", REQUESTS), ("req", req), body=f"""
+SELECT r.req_id, r.state, r.district, r.market, r.commodity,
+  {dstr('l.arrival_date')} AS latest_date, {r4('l.modal_price')} AS latest_modal, l.variety AS latest_variety
+FROM req r LEFT JOIN latest l ON r.state = l.state AND r.district = l.district
+  AND r.market = l.market AND r.commodity = l.commodity
+WHERE trim(coalesce(r.district, '')) <> ''
+UNION ALL
+SELECT r.req_id, r.state, r.district, r.market, r.commodity,
+  {dstr('l.arrival_date')} AS latest_date, {r4('l.modal_price')} AS latest_modal, l.variety AS latest_variety
+FROM req r LEFT JOIN latest_nd l ON r.state = l.state AND r.market = l.market AND r.commodity = l.commodity
+WHERE trim(coalesce(r.district, '')) = ''""")
+
+
+def _optional_filters() -> str:
+    from .catalog import FILTER_SETS
+    parts = []
+    for i, params in enumerate(FILTER_SETS):
+        cond = " AND ".join(f"{k} = '{v}'" for k, v in params.items())
+        parts.append(f"""
+SELECT CAST({i} AS BIGINT) AS filter_id, {SERIES}, {dstr('arrival_date')} AS arrival_date, variety, grade,
+  {r4('modal_price')} AS modal_price, l_orderkey, l_linenumber
+FROM prices WHERE {cond} AND arrival_date IN (
+  SELECT DISTINCT arrival_date FROM prices WHERE {cond} ORDER BY arrival_date DESC LIMIT 7)""")
+    return with_ctes(("prices", PRICES), body="\nUNION ALL\n".join(parts))
+
+
+def _supported_commodities() -> str:
+    from .catalog import DRIVER_SUPPORTED
+    names = ", ".join(f"'{n}'" for n in DRIVER_SUPPORTED)
+    return with_ctes(("prices", PRICES), body=f"""
+SELECT {SERIES}, {dstr('arrival_date')} AS arrival_date, variety, grade,
+  {r4('modal_price')} AS modal_price, l_orderkey, l_linenumber
+FROM prices WHERE commodity IN ({names})""")
+
+
+def _markets_per_commodity() -> str:
+    return with_ctes(("prices", PRICES), body="""
+SELECT p.commodity, p.market, c.n_markets FROM (SELECT DISTINCT commodity, market FROM prices) p
+JOIN (SELECT commodity, count(DISTINCT market) AS n_markets FROM prices GROUP BY commodity) c
+ON p.commodity = c.commodity""")
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "market_summary": _market_summary(),
+        "price_day_over_day": _price_day_over_day(),
+        "recent_price_list": _recent_price_list(),
+        "history_latest_dates": _history_latest_dates(),
+        "history_latest_rows": _history_latest_rows(),
+        "latest_row": _latest_row(),
+        "latest_per_group_ties": _latest_per_group_ties(),
+        "blank_district_lookup": _blank_district_lookup(),
+        "optional_filters": _optional_filters(),
+        "supported_commodities": _supported_commodities(),
+        "markets_per_commodity": _markets_per_commodity(),
     }

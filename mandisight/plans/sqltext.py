@@ -16,11 +16,11 @@ def rhe(expr: str, digits: int = 0) -> str:
     """Half-to-even rounding on the scaled double (same steps as Spark side)."""
     if digits >= 0:
         scale = f"{float(10 ** digits)!r}"
-        r = f"(({expr}) * {scale})"
+        r = f"(CAST({expr} AS DOUBLE) * {scale})"
         back = f"/ {scale}"
     else:
         scale = f"{float(10 ** (-digits))!r}"
-        r = f"(({expr}) / {scale})"
+        r = f"(CAST({expr} AS DOUBLE) / {scale})"
         back = f"* {scale}"
     f = f"floor({r})"
     d = f"({r} - {f})"
@@ -118,3 +118,24 @@ def with_ctes(*ctes: tuple[str, str], body: str) -> str:
 
 BASE_CTES = [("prices", PRICES), ("daily", DAILY), ("top7", TOP7),
              ("summary0", SUMMARY), ("summary", SUMMARY_FULL)]
+
+COMMODITY_CYCLE = ["ECONOMY", "MEDIUM", "STANDARD", "PROMO", "SMALL", "LARGE"]
+_cycle = ", ".join(f"'{c}'" for c in COMMODITY_CYCLE)
+REQUESTS = f"""
+SELECT s_suppkey AS req_id, state,
+  CASE WHEN s_suppkey % 3 = 0 THEN district WHEN s_suppkey % 3 = 1 THEN '' ELSE '  ' END AS district,
+  market,
+  CASE WHEN s_suppkey % 10 = 7 THEN '' ELSE ([{_cycle}])[CAST(s_suppkey % 6 + 1 AS INTEGER)] END AS crop,
+  'Telugu' AS language, 12.0::DOUBLE + s_suppkey::DOUBLE / 1000.0::DOUBLE AS latitude,
+  78.0::DOUBLE + s_suppkey::DOUBLE / 1000.0::DOUBLE AS longitude,
+  s_suppkey AS location_id
+FROM ({MARKET_DIM})
+"""
+
+# Latest row per series: order (date, variety, grade, ingest) desc.
+LATEST_ROW = f"""
+SELECT * EXCLUDE (k) FROM (
+  SELECT p.*, row_number() OVER (PARTITION BY {SERIES}
+     ORDER BY arrival_date DESC, variety DESC, grade DESC, {TIE_DESC}) AS k FROM prices p
+) WHERE k = 1
+"""

@@ -148,3 +148,30 @@ def incoming_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("double").alias("arrival_quantity"),
         F.lit(None).cast("string").alias("arrival_unit"),
         "arrival_date", "location_id", *TIE_COLUMNS)
+
+
+# Commodities in the order the request builder cycles through them.
+COMMODITY_CYCLE = ["ECONOMY", "MEDIUM", "STANDARD", "PROMO", "SMALL", "LARGE"]
+
+
+def farmer_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One advisory/market request per supplier (the market's own farmers).
+
+    District is given, blank or whitespace by supplier key; every tenth
+    request leaves the crop empty (the advisory default then applies).
+    """
+    dim = market_dim(spark, sf_dir)
+    k = F.col("s_suppkey")
+    crop = F.element_at(F.array(*[F.lit(c) for c in COMMODITY_CYCLE]),
+                        (k % len(COMMODITY_CYCLE) + 1).cast("int"))
+    return dim.select(
+        k.alias("req_id"), F.col("state"),
+        F.when(k % 3 == 0, F.col("district")).when(k % 3 == 1, F.lit(""))
+        .otherwise(F.lit("  ")).alias("district"),
+        F.col("market"),
+        F.when(k % 10 == 7, F.lit("")).otherwise(crop).alias("crop"),
+        F.lit("Telugu").alias("language"),
+        (F.lit(12.0) + k / F.lit(1000.0)).alias("latitude"),
+        (F.lit(78.0) + k / F.lit(1000.0)).alias("longitude"),
+        k.alias("location_id"),
+    )
