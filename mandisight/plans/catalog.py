@@ -13,7 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numbers import round_half_even
-from ..operators import history, market
+from ..operators import history, market, rules
+from ..sources.profiles import driver_profile_table
+from . import advisory as adv
 from ..schemas import SERIES
 from ..sources import driver_tables as dt
 
@@ -171,7 +173,72 @@ def q_markets_per_commodity(spark, sf_dir):
     return m.select("commodity", "market", F.col("n_markets").cast("long").alias("n_markets"))
 
 
+def q_weather_daily(spark, sf_dir):
+    d = adv.weather_days(spark, sf_dir)
+    return d.select("location_id", "date", r4("min_temp_c").alias("min_temp_c"),
+                    r4("max_temp_c").alias("max_temp_c"),
+                    r4("rain_probability_max_percent").alias("rain_probability_max_percent"),
+                    "conditions", F.col("day_rank").cast("long").alias("day_rank"))
+
+
+def q_weather_horizon(spark, sf_dir):
+    h = adv.weather_horizon(spark, sf_dir)
+    return h.select("location_id", "available", "message", "location",
+                    r4("latitude").alias("latitude"), r4("longitude").alias("longitude"),
+                    r4("max_forecast_temp_c").alias("max_forecast_temp_c"),
+                    r4("min_forecast_temp_c").alias("min_forecast_temp_c"),
+                    r4("max_rain_probability_percent").alias("max_rain_probability_percent"),
+                    "n_days")
+
+
+def q_crop_profile_join(spark, sf_dir):
+    j = rules.attach_profile(dt.prices(spark, sf_dir), driver_profile_table(spark))
+    return j.select(*SERIES, d2s("arrival_date").alias("arrival_date"), "variety", "grade",
+                    "l_orderkey", "l_linenumber", "crop_name",
+                    r4("critical_temp_max_c").alias("critical_temp_max_c"),
+                    F.col("storage_life_days").cast("long").alias("storage_life_days"),
+                    "perishability", "sell_or_wait_bias")
+
+
+def q_risk_flags(spark, sf_dir):
+    a = adv.advisory_table(spark, sf_dir)
+    return a.select(*SERIES, "location_id",
+                    F.coalesce("weather_available", F.lit(False)).alias("weather_available"),
+                    r4("rule_max_temp_c").alias("max_forecast_temp_c"),
+                    r4("rule_min_temp_c").alias("min_forecast_temp_c"),
+                    r4("rule_max_rain_percent").alias("max_rain_probability_percent"),
+                    "heat_risk", "cold_risk", "rain_risk")
+
+
+def q_decision(spark, sf_dir):
+    a = adv.advisory_table(spark, sf_dir)
+    return a.select(*SERIES, "market_signal",
+                    r4("seven_day_change_percent").alias("seven_day_change_percent"),
+                    r4("latest_modal_price").alias("latest_modal_price"),
+                    "heat_risk", "cold_risk", "rain_risk", "crop_storage_signal",
+                    "recommended_decision")
+
+
+def q_facts_text(spark, sf_dir):
+    a = adv.advisory_table(spark, sf_dir)
+    return a.select(*SERIES, F.size("facts_for_explanation").cast("long").alias("n_facts"),
+                    F.array_join("facts_for_explanation", " | ").alias("facts"))
+
+
+def q_reasons_text(spark, sf_dir):
+    a = adv.advisory_table(spark, sf_dir)
+    return a.select(*SERIES, F.size("reasons").cast("long").alias("n_reasons"),
+                    F.array_join("reasons", "; ").alias("reasons"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "weather_daily": q_weather_daily,
+    "weather_horizon": q_weather_horizon,
+    "crop_profile_join": q_crop_profile_join,
+    "risk_flags": q_risk_flags,
+    "decision": q_decision,
+    "facts_text": q_facts_text,
+    "reasons_text": q_reasons_text,
     "market_summary": q_market_summary,
     "price_day_over_day": q_price_day_over_day,
     "recent_price_list": q_recent_price_list,
@@ -184,4 +251,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "supported_commodities": q_supported_commodities,
     "markets_per_commodity": q_markets_per_commodity,
 }
-FLAGSHIP = "market_summary"
+FLAGSHIP = "decision"

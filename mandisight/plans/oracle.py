@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .sqlrules import KB, RULE_CTES, WEATHER_CTES
 from .sqltext import (BASE_CTES, LATEST_ROW, PRICES, REQUESTS, SERIES, TIE_DESC, dstr,
                       pct, r4, rhe, with_ctes)
 
@@ -122,8 +123,66 @@ JOIN (SELECT commodity, count(DISTINCT market) AS n_markets FROM prices GROUP BY
 ON p.commodity = c.commodity""")
 
 
+def _weather_daily() -> str:
+    return with_ctes(*WEATHER_CTES[:2], body=f"""
+SELECT location_id, date, {r4('min_temp_c')} AS min_temp_c, {r4('max_temp_c')} AS max_temp_c,
+  {r4('rain_probability_max_percent')} AS rain_probability_max_percent, conditions, day_rank
+FROM wdaily""")
+
+
+def _weather_horizon() -> str:
+    return with_ctes(*WEATHER_CTES, body=f"""
+SELECT location_id, available, message, location, {r4('latitude')} AS latitude, {r4('longitude')} AS longitude,
+  {r4('max_forecast_temp_c')} AS max_forecast_temp_c, {r4('min_forecast_temp_c')} AS min_forecast_temp_c,
+  {r4('max_rain_probability_percent')} AS max_rain_probability_percent, n_days
+FROM horizon""")
+
+
+def _crop_profile_join() -> str:
+    return with_ctes(("prices", PRICES), ("kb", KB), body=f"""
+SELECT {SERIES}, {dstr('arrival_date')} AS arrival_date, variety, grade, l_orderkey, l_linenumber,
+  crop_name, {r4('critical_temp_max_c')} AS critical_temp_max_c,
+  CAST(storage_life_days AS BIGINT) AS storage_life_days, perishability, sell_or_wait_bias
+FROM prices p JOIN kb k ON lower(p.commodity) = k.commodity_key""")
+
+
+def _risk_flags() -> str:
+    return with_ctes(*RULE_CTES, body=f"""
+SELECT {SERIES}, location_id, coalesce(weather_available, FALSE) AS weather_available,
+  {r4('rule_max_temp_c')} AS max_forecast_temp_c, {r4('rule_min_temp_c')} AS min_forecast_temp_c,
+  {r4('rule_max_rain_percent')} AS max_rain_probability_percent, heat_risk, cold_risk, rain_risk
+FROM rules""")
+
+
+def _decision() -> str:
+    return with_ctes(*RULE_CTES, body=f"""
+SELECT {SERIES}, market_signal, {r4('seven_day_change_percent')} AS seven_day_change_percent,
+  {r4('latest_modal_price')} AS latest_modal_price, heat_risk, cold_risk, rain_risk,
+  crop_storage_signal, recommended_decision
+FROM rules""")
+
+
+def _facts_text() -> str:
+    return with_ctes(*RULE_CTES, body=f"""
+SELECT {SERIES}, CAST(len(facts_list) AS BIGINT) AS n_facts, array_to_string(facts_list, ' | ') AS facts
+FROM rules""")
+
+
+def _reasons_text() -> str:
+    return with_ctes(*RULE_CTES, body=f"""
+SELECT {SERIES}, CAST(len(reasons_list) AS BIGINT) AS n_reasons, array_to_string(reasons_list, '; ') AS reasons
+FROM rules""")
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "weather_daily": _weather_daily(),
+        "weather_horizon": _weather_horizon(),
+        "crop_profile_join": _crop_profile_join(),
+        "risk_flags": _risk_flags(),
+        "decision": _decision(),
+        "facts_text": _facts_text(),
+        "reasons_text": _reasons_text(),
         "market_summary": _market_summary(),
         "price_day_over_day": _price_day_over_day(),
         "recent_price_list": _recent_price_list(),
