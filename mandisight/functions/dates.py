@@ -12,12 +12,12 @@ def _c(c) -> Column:
 
 def parse_report_date(c) -> Column:
     """Report CSV date ``dd-MM-yyyy`` (one or two digit day/month)."""
-    return F.try_to_date(_c(c), F.lit("d-M-yyyy"))
+    return F.try_to_date(_c(c), "d-M-yyyy")
 
 
 def parse_api_date(c) -> Column:
     """Open-data API date ``dd/MM/yyyy``."""
-    return F.try_to_date(_c(c), F.lit("d/M/yyyy"))
+    return F.try_to_date(_c(c), "d/M/yyyy")
 
 
 def parse_lenient_timestamp(c) -> Column:

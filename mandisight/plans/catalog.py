@@ -13,7 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numbers import round_half_even
-from ..operators import history, market, rules
+from ..functions import dates as D
+from ..functions.numbers import safe_float
+from ..operators import cleanse, history, market, rules, upsert
+from ..operators.dedupe import keep_last
+from ..schemas import KEY_COLUMNS, PRICE_COLUMNS
+from . import sync
 from ..sources.profiles import driver_profile_table
 from . import advisory as adv
 from ..schemas import SERIES
@@ -231,7 +236,107 @@ def q_reasons_text(spark, sf_dir):
                     F.array_join("reasons", "; ").alias("reasons"))
 
 
+def _canonical_out(df, extra=()):
+    return df.select(
+        *["state", "district", "market", "commodity_group", "commodity", "variety", "grade"],
+        *[r4(c).alias(c) for c in ["min_price", "max_price", "modal_price"]],
+        "price_unit", r4("arrival_quantity").alias("arrival_quantity"), "arrival_unit",
+        d2s("arrival_date").alias("arrival_date"), *extra)
+
+
+def q_clean_csv_numbers(spark, sf_dir):
+    raw = dt.raw_reports(spark, sf_dir)
+    return _canonical_out(cleanse.cleanse_report(raw, extra=["l_orderkey", "l_linenumber"]),
+                          ["l_orderkey", "l_linenumber"])
+
+
+def _api_raw(spark, sf_dir):
+    raw = dt.raw_reports(spark, sf_dir)
+    return raw.withColumn("arrival_date", F.regexp_replace("arrival_date", "-", "/"))
+
+
+def q_clean_api_numbers(spark, sf_dir):
+    out = cleanse.normalize_api(_api_raw(spark, sf_dir), DRIVER_SUPPORTED, dt.ingest_order(),
+                                extra=["l_orderkey", "l_linenumber"])
+    return _canonical_out(out, ["l_orderkey", "l_linenumber"])
+
+
+def q_parse_dates(spark, sf_dir):
+    t = dt.date_texts(spark, sf_dir)
+    return t.select("l_orderkey", "l_linenumber", "date_text",
+                    d2s(D.parse_report_date("date_text")).alias("report_date"),
+                    d2s(D.parse_api_date("date_text")).alias("api_date"),
+                    F.date_format(D.parse_lenient_timestamp("date_text"), "yyyy-MM-dd HH:mm:ss").alias("lenient_ts"))
+
+
+def q_null_defaults(spark, sf_dir):
+    p = dt.prices(spark, sf_dir)
+    ln = F.col("l_linenumber")
+    a = (F.when(ln == 1, F.lit(None).cast("double")).when(ln == 2, F.lit(float("nan")))
+         .otherwise(F.col("modal_price")))
+    low = F.when(ln == 3, F.lit(None).cast("double")).otherwise(F.col("min_price"))
+    camel = F.when(ln.isin(1, 2), F.lit(None).cast("double")).otherwise(F.col("modal_price"))
+    snake = F.when(ln == 1, F.lit(None).cast("double")).otherwise(F.col("max_price"))
+    return p.select("l_orderkey", "l_linenumber",
+                    r4(safe_float(a, 0.0)).alias("safe_modal"),
+                    r4(safe_float(low)).alias("safe_min"),
+                    r4(F.coalesce(camel, snake, F.lit(0.0))).alias("chart_modal"))
+
+
+def q_dedupe_keep_last(spark, sf_dir):
+    p = dt.prices(spark, sf_dir)
+    d = keep_last(p.select(*PRICE_COLUMNS, "l_orderkey", "l_linenumber", dt.ingest_order().alias("_o")),
+                  KEY_COLUMNS, F.col("_o")).drop("_o")
+    return _canonical_out(d, ["l_orderkey", "l_linenumber"])
+
+
+def _batch(df):
+    return keep_last(df.select(*PRICE_COLUMNS, "l_orderkey", "l_linenumber", dt.ingest_order().alias("_o")),
+                     KEY_COLUMNS, F.col("_o")).drop("_o")
+
+
+def _upserted(spark, sf_dir, mode):
+    t = _batch(dt.target_batch(spark, sf_dir))
+    i = _batch(dt.incoming_batch(spark, sf_dir))
+    fn = upsert.upsert_full if mode == "full" else upsert.upsert_prices_only
+    return fn(t, i, extra=["l_orderkey", "l_linenumber"])
+
+
+def q_upsert_full(spark, sf_dir):
+    return _canonical_out(_upserted(spark, sf_dir, "full"), ["l_orderkey", "l_linenumber", "source"])
+
+
+def q_upsert_prices_only(spark, sf_dir):
+    return _canonical_out(_upserted(spark, sf_dir, "prices"), ["l_orderkey", "l_linenumber", "source"])
+
+
+def q_upsert_counts(spark, sf_dir):
+    return upsert.upsert_counts(_upserted(spark, sf_dir, "prices"))
+
+
+def q_carry_forward(spark, sf_dir):
+    p = dt.prices(spark, sf_dir)
+    out = sync.carry_forward(p, sync.run_date_of(p), _row_order())
+    return _canonical_out(out, [d2s("carried_from").alias("carried_from")])
+
+
+def q_sync_status(spark, sf_dir):
+    log = dt.sync_log_from_orders(spark, sf_dir)
+    total = dt.prices(spark, sf_dir, with_ties=False).select(F.count(F.lit(1))).scalar()
+    return sync.sync_log_status(log, total)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "clean_csv_numbers": q_clean_csv_numbers,
+    "clean_api_numbers": q_clean_api_numbers,
+    "parse_dates": q_parse_dates,
+    "null_defaults": q_null_defaults,
+    "dedupe_keep_last": q_dedupe_keep_last,
+    "upsert_full": q_upsert_full,
+    "upsert_prices_only": q_upsert_prices_only,
+    "upsert_counts": q_upsert_counts,
+    "carry_forward": q_carry_forward,
+    "sync_status": q_sync_status,
     "weather_daily": q_weather_daily,
     "weather_horizon": q_weather_horizon,
     "crop_profile_join": q_crop_profile_join,

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from .sqlrules import KB, RULE_CTES, WEATHER_CTES
-from .sqltext import (BASE_CTES, LATEST_ROW, PRICES, REQUESTS, SERIES, TIE_DESC, dstr,
-                      pct, r4, rhe, with_ctes)
+from .sqltext import (BASE_CTES, LATEST_ROW, PRICES, REQUESTS, SERIES, TIE_DESC, cents_text,
+                      dstr, pct, r4, rhe, with_ctes)
 
 
 def _market_summary() -> str:
@@ -174,8 +174,226 @@ SELECT {SERIES}, CAST(len(reasons_list) AS BIGINT) AS n_reasons, array_to_string
 FROM rules""")
 
 
+_NA = ("'', '#N/A', '#N/A N/A', '#NA', '-1.#IND', '-1.#QNAN', '-NaN', '-nan', '1.#IND', "
+       "'1.#QNAN', '<NA>', 'N/A', 'NA', 'NULL', 'NaN', 'None', 'n/a', 'nan', 'null'")
+_NUM = "'^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$'"
+
+
+def _to_num(t: str) -> str:
+    v = f"TRY_CAST({t} AS DOUBLE)"
+    return f"(CASE WHEN regexp_matches({t}, {_NUM}) AND NOT isnan({v}) THEN {v} END)"
+
+
+def _na(c: str) -> str:
+    return f"(CASE WHEN {c} IN ({_NA}) THEN NULL ELSE {c} END)"
+
+
+def _raw() -> str:
+    return f"""
+SELECT CASE WHEN l_linenumber = 4 THEN '  ' || state || ' ' ELSE state END AS state, district,
+  CASE WHEN l_linenumber = 5 THEN 'NA' ELSE market END AS market, commodity_group, commodity, variety, grade,
+  CASE WHEN l_linenumber = 2 THEN 'N/A' ELSE {cents_text('min_price')} END AS min_price,
+  CASE WHEN l_linenumber = 6 THEN '1,2x3' ELSE {cents_text('max_price')} END AS max_price,
+  CASE WHEN l_linenumber = 1 THEN '' ELSE {cents_text('modal_price')} END AS modal_price,
+  price_unit, format('{{:,.2f}}', arrival_quantity) AS arrival_quantity, arrival_unit,
+  CASE WHEN l_linenumber = 3 THEN '31-02-1999' ELSE strftime(arrival_date, '%d-%m-%Y') END AS arrival_date,
+  l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_quantity, l_discount, l_tax
+FROM prices"""
+
+
+def _canon(src: str, extra: str = "l_orderkey, l_linenumber") -> str:
+    return f"""
+SELECT state, district, market, commodity_group, commodity, variety, grade,
+  {r4('min_price')} AS min_price, {r4('max_price')} AS max_price, {r4('modal_price')} AS modal_price,
+  price_unit, {r4('arrival_quantity')} AS arrival_quantity, arrival_unit,
+  {dstr('arrival_date')} AS arrival_date, {extra} FROM {src}"""
+
+
+def _clean_csv_numbers() -> str:
+    nulled = ", ".join(f"{_na(c)} AS {c}" for c in
+                       ["state", "district", "market", "commodity_group", "commodity", "variety", "grade",
+                        "min_price", "max_price", "modal_price", "price_unit", "arrival_quantity",
+                        "arrival_unit", "arrival_date"])
+    text = ["state", "district", "market", "commodity_group", "commodity", "variety", "grade",
+            "price_unit", "arrival_unit"]
+    num = ["min_price", "max_price", "modal_price", "arrival_quantity"]
+    sel = ", ".join([f"trim({c}) AS {c}" for c in text]
+                    + [f"{_to_num(f'trim(replace({c}, {chr(39)},{chr(39)}, {chr(39)}{chr(39)}))')} AS {c}" for c in num]
+                    + ["CAST(try_strptime(arrival_date, '%d-%m-%Y') AS DATE) AS arrival_date"])
+    cleaned = f"""
+SELECT * FROM (SELECT {sel}, l_orderkey, l_linenumber FROM (
+  SELECT {nulled}, l_orderkey, l_linenumber FROM raw)
+  WHERE state IS NOT NULL AND market IS NOT NULL AND commodity IS NOT NULL AND arrival_date IS NOT NULL)
+WHERE arrival_date IS NOT NULL AND modal_price IS NOT NULL"""
+    return with_ctes(("prices", PRICES), ("raw", _raw()), ("cleaned", cleaned), body=_canon("cleaned"))
+
+
+def _clean_api_numbers() -> str:
+    from .catalog import DRIVER_SUPPORTED
+    names = ", ".join(f"'{n}'" for n in DRIVER_SUPPORTED)
+    api = f"""
+SELECT state, district, market, 'Vegetables' AS commodity_group, commodity, variety, grade,
+  {_to_num('trim(min_price)')} AS min_price, {_to_num('trim(max_price)')} AS max_price,
+  {_to_num('trim(modal_price)')} AS modal_price, 'Rs./Quintal' AS price_unit,
+  CAST(NULL AS DOUBLE) AS arrival_quantity, CAST(NULL AS VARCHAR) AS arrival_unit,
+  CAST(try_strptime(replace(arrival_date, '-', '/'), '%d/%m/%Y') AS DATE) AS arrival_date,
+  l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_quantity, l_discount, l_tax
+FROM raw"""
+    kept = f"""
+SELECT * EXCLUDE (k) FROM (
+  SELECT a.*, row_number() OVER (PARTITION BY arrival_date, state, district, market, commodity, variety, grade
+    ORDER BY {TIE_DESC}) AS k
+  FROM api a WHERE commodity IN ({names}) AND state IS NOT NULL AND market IS NOT NULL
+    AND commodity IS NOT NULL AND arrival_date IS NOT NULL AND modal_price IS NOT NULL
+) WHERE k = 1"""
+    return with_ctes(("prices", PRICES), ("raw", _raw()), ("api", api), ("kept", kept), body=_canon("kept"))
+
+
+def _parse_dates() -> str:
+    texts = """
+SELECT l_orderkey, l_linenumber,
+  CASE l_linenumber WHEN 1 THEN strftime(l_shipdate, '%d-%m-%Y') WHEN 2 THEN strftime(l_shipdate, '%d/%m/%Y')
+    WHEN 3 THEN CAST(day(l_shipdate) AS VARCHAR) || '-' || CAST(month(l_shipdate) AS VARCHAR) || '-' || CAST(year(l_shipdate) AS VARCHAR)
+    WHEN 4 THEN '31-02-1999' WHEN 5 THEN strftime(l_shipdate, '%Y-%m-%d %H:%M:%S') WHEN 6 THEN 'N/A'
+    ELSE strftime(l_shipdate, '%Y-%m-%d') END AS date_text
+FROM lineitem"""
+    return with_ctes(("texts", texts), body="""
+SELECT l_orderkey, l_linenumber, date_text,
+  strftime(CAST(try_strptime(date_text, '%d-%m-%Y') AS DATE), '%Y-%m-%d') AS report_date,
+  strftime(CAST(try_strptime(date_text, '%d/%m/%Y') AS DATE), '%Y-%m-%d') AS api_date,
+  strftime(TRY_CAST(date_text AS TIMESTAMP), '%Y-%m-%d %H:%M:%S') AS lenient_ts
+FROM texts""")
+
+
+def _null_defaults() -> str:
+    return with_ctes(("prices", PRICES), body=f"""
+SELECT l_orderkey, l_linenumber,
+  {r4("coalesce(CASE WHEN l_linenumber = 1 THEN NULL WHEN l_linenumber = 2 THEN NULL ELSE modal_price END, 0.0::DOUBLE)")} AS safe_modal,
+  {r4("CASE WHEN l_linenumber = 3 THEN NULL ELSE min_price END")} AS safe_min,
+  {r4("coalesce(CASE WHEN l_linenumber IN (1, 2) THEN NULL ELSE modal_price END, CASE WHEN l_linenumber = 1 THEN NULL ELSE max_price END, 0.0::DOUBLE)")} AS chart_modal
+FROM prices""")
+
+
+_KEY = "arrival_date, state, district, market, commodity, variety, grade"
+
+
+def _dedupe_sql(src: str) -> str:
+    return f"""
+SELECT * EXCLUDE (k) FROM (
+  SELECT s.*, row_number() OVER (PARTITION BY {_KEY} ORDER BY {TIE_DESC}) AS k FROM {src} s) WHERE k = 1"""
+
+
+def _dedupe_keep_last() -> str:
+    return with_ctes(("prices", PRICES), ("d", _dedupe_sql("prices")), body=_canon("d"))
+
+
+_BATCHES = [
+    ("target", _dedupe_sql("(SELECT * FROM prices WHERE arrival_date <= DATE '1999-12-31')")),
+    ("incoming", _dedupe_sql("""(SELECT state, district, market, CAST(NULL AS VARCHAR) AS commodity_group,
+        commodity, variety, grade, min_price * 1.1::DOUBLE AS min_price, max_price * 1.1::DOUBLE AS max_price,
+        modal_price * 1.1::DOUBLE AS modal_price, price_unit, CAST(NULL AS DOUBLE) AS arrival_quantity,
+        CAST(NULL AS VARCHAR) AS arrival_unit, arrival_date, location_id,
+        l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_quantity, l_discount, l_tax
+      FROM prices WHERE arrival_date >= DATE '1999-01-01')""")),
+]
+_ON = " AND ".join(f"t.{c} = i.{c}" for c in _KEY.split(", "))
+
+
+def _upsert_full() -> str:
+    full = f"""
+SELECT i.*, 'incoming' AS source FROM incoming i
+UNION ALL
+SELECT t.*, 'target' AS source FROM target t WHERE NOT EXISTS (SELECT 1 FROM incoming i WHERE {_ON})"""
+    return with_ctes(("prices", PRICES), *_BATCHES, ("u", full), body=_canon("u", "l_orderkey, l_linenumber, source"))
+
+
+_PRICES_ONLY = f"""
+SELECT coalesce(t.state, i.state) AS state, coalesce(t.district, i.district) AS district,
+  coalesce(t.market, i.market) AS market,
+  CASE WHEN t.state IS NOT NULL THEN t.commodity_group ELSE i.commodity_group END AS commodity_group,
+  coalesce(t.commodity, i.commodity) AS commodity, coalesce(t.variety, i.variety) AS variety,
+  coalesce(t.grade, i.grade) AS grade,
+  CASE WHEN i.state IS NOT NULL THEN i.min_price ELSE t.min_price END AS min_price,
+  CASE WHEN i.state IS NOT NULL THEN i.max_price ELSE t.max_price END AS max_price,
+  CASE WHEN i.state IS NOT NULL THEN i.modal_price ELSE t.modal_price END AS modal_price,
+  CASE WHEN i.state IS NOT NULL THEN i.price_unit ELSE t.price_unit END AS price_unit,
+  CASE WHEN t.state IS NOT NULL THEN t.arrival_quantity ELSE i.arrival_quantity END AS arrival_quantity,
+  CASE WHEN t.state IS NOT NULL THEN t.arrival_unit ELSE i.arrival_unit END AS arrival_unit,
+  coalesce(t.arrival_date, i.arrival_date) AS arrival_date,
+  CASE WHEN i.state IS NOT NULL THEN i.l_orderkey ELSE t.l_orderkey END AS l_orderkey,
+  CASE WHEN i.state IS NOT NULL THEN i.l_linenumber ELSE t.l_linenumber END AS l_linenumber,
+  CASE WHEN i.state IS NOT NULL THEN 'incoming' ELSE 'target' END AS source,
+  (t.state IS NOT NULL AND i.state IS NOT NULL) AS matched
+FROM target t FULL OUTER JOIN incoming i ON {_ON}"""
+
+
+def _upsert_prices_only() -> str:
+    return with_ctes(("prices", PRICES), *_BATCHES, ("u", _PRICES_ONLY),
+                     body=_canon("u", "l_orderkey, l_linenumber, source"))
+
+
+def _upsert_counts() -> str:
+    return with_ctes(("prices", PRICES), *_BATCHES, ("u", _PRICES_ONLY), body="""
+SELECT CAST(sum(CASE WHEN source = 'incoming' THEN 1 ELSE 0 END) AS BIGINT) AS rows_applied,
+  CAST(sum(CASE WHEN source = 'incoming' AND NOT matched THEN 1 ELSE 0 END) AS BIGINT) AS inserted,
+  CAST(sum(CASE WHEN matched THEN 1 ELSE 0 END) AS BIGINT) AS updated,
+  CAST(sum(CASE WHEN source = 'target' THEN 1 ELSE 0 END) AS BIGINT) AS untouched,
+  CAST(count(*) AS BIGINT) AS total_after
+FROM u""")
+
+
+def _carry_forward() -> str:
+    latest = f"""
+SELECT m.* FROM prices m INNER JOIN (
+  SELECT state, district, market, commodity, MAX(arrival_date) AS latest_date FROM prices
+  GROUP BY state, district, market, commodity) latest
+ON m.state = latest.state AND m.district = latest.district AND m.market = latest.market
+ AND m.commodity = latest.commodity AND m.arrival_date = latest.latest_date"""
+    first = f"""
+SELECT * EXCLUDE (k) FROM (SELECT l.*, row_number() OVER (PARTITION BY {SERIES}
+   ORDER BY variety ASC, grade ASC, {", ".join(f"{c} ASC" for c in ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax"])}) AS k
+ FROM latest_rows l) WHERE k = 1"""
+    base = "coalesce(CASE WHEN modal_price <> 0 THEN modal_price END, 1000.0::DOUBLE)"
+    qty = "coalesce(CASE WHEN arrival_quantity <> 0 THEN arrival_quantity END, 1.0::DOUBLE)"
+    new = f"""
+SELECT state, district, market, commodity_group, commodity, variety, grade,
+  {rhe(f'coalesce(min_price, {base})', -1)} AS min_price, {rhe(f'coalesce(max_price, {base})', -1)} AS max_price,
+  {rhe(base, -1)} AS modal_price, price_unit, {rhe(f'greatest({qty}, 0.1::DOUBLE)', 1)} AS arrival_quantity,
+  arrival_unit, (SELECT max(arrival_date) FROM prices) AS arrival_date, arrival_date AS carried_from
+FROM first_rows f
+WHERE NOT EXISTS (SELECT 1 FROM prices p WHERE p.state = f.state AND p.district = f.district
+  AND p.market = f.market AND p.commodity = f.commodity AND p.arrival_date = (SELECT max(arrival_date) FROM prices))"""
+    return with_ctes(("prices", PRICES), ("latest_rows", latest), ("first_rows", first), ("new_rows", new),
+                     body=_canon("new_rows", f"{dstr('carried_from')} AS carried_from"))
+
+
+def _sync_status() -> str:
+    log = """
+SELECT CAST(year(m) * 12 + month(m) AS BIGINT) AS id, strftime(m, '%Y-%m-%dT%H:%M:%S') AS synced_at,
+  CAST(count(*) AS INTEGER) AS records_added
+FROM (SELECT date_trunc('month', o_orderdate) AS m FROM orders) GROUP BY m"""
+    return with_ctes(("prices", PRICES), ("log", log), body="""
+SELECT l.synced_at AS last_synced_at, CAST(coalesce(l.records_added, 0) AS BIGINT) AS last_records_added,
+  (SELECT CAST(count(*) AS BIGINT) FROM prices) AS total_records,
+  (SELECT CAST(count(*) AS BIGINT) FROM log) AS log_entries,
+  CASE WHEN coalesce(l.records_added, 0) > 0
+       THEN 'Synced ' || CAST(l.records_added AS VARCHAR) || ' new price record(s) for ' || substr(l.synced_at, 1, 10) || '.'
+       ELSE 'All markets already up to date for ' || substr(l.synced_at, 1, 10) || '.' END AS message
+FROM (SELECT * FROM log ORDER BY id DESC LIMIT 1) l""")
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "clean_csv_numbers": _clean_csv_numbers(),
+        "clean_api_numbers": _clean_api_numbers(),
+        "parse_dates": _parse_dates(),
+        "null_defaults": _null_defaults(),
+        "dedupe_keep_last": _dedupe_keep_last(),
+        "upsert_full": _upsert_full(),
+        "upsert_prices_only": _upsert_prices_only(),
+        "upsert_counts": _upsert_counts(),
+        "carry_forward": _carry_forward(),
+        "sync_status": _sync_status(),
         "weather_daily": _weather_daily(),
         "weather_horizon": _weather_horizon(),
         "crop_profile_join": _crop_profile_join(),

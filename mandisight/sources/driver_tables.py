@@ -175,3 +175,29 @@ def farmer_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.lit(78.0) + k / F.lit(1000.0)).alias("longitude"),
         k.alias("location_id"),
     )
+
+
+def sync_log_from_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sync log rows: one entry per order month, records added = orders in it."""
+    o = table(spark, sf_dir, "orders").select("o_orderdate")
+    month = F.date_trunc("month", F.col("o_orderdate"))
+    per = o.groupBy(month.alias("m")).agg(F.count(F.lit(1)).alias("n"))
+    return per.select(
+        (F.year("m") * 12 + F.month("m")).cast("long").alias("id"),
+        F.date_format("m", "yyyy-MM-dd'T'HH:mm:ss").alias("synced_at"),
+        F.col("n").cast("int").alias("records_added"))
+
+
+def date_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ship dates written the ways feeds write them (one style per line number)."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate")
+    d = F.col("l_shipdate")
+    ln = F.col("l_linenumber")
+    text = (F.when(ln == 1, F.date_format(d, "dd-MM-yyyy"))
+            .when(ln == 2, F.date_format(d, "dd/MM/yyyy"))
+            .when(ln == 3, F.date_format(d, "d-M-yyyy"))
+            .when(ln == 4, F.lit("31-02-1999"))
+            .when(ln == 5, F.date_format(d, "yyyy-MM-dd HH:mm:ss"))
+            .when(ln == 6, F.lit("N/A"))
+            .otherwise(F.date_format(d, "yyyy-MM-dd")))
+    return li.select("l_orderkey", "l_linenumber", text.alias("date_text"))
