@@ -42,12 +42,12 @@ def fmt0(x) -> Column:
 
 def fmt1(x) -> Column:
     """Python ``:.1f`` as text (round first, then print one decimal)."""
-    return F.format_string("%.1f", round_half_even(_c(x), 1))
+    return F.when(_c(x).isNotNull(), F.format_string("%.1f", round_half_even(_c(x), 1)))
 
 
 def fmt_signed2(x) -> Column:
     """Python ``:+.2f`` as text."""
-    return F.format_string("%+.2f", round_half_even(_c(x), 2))
+    return F.when(_c(x).isNotNull(), F.format_string("%+.2f", round_half_even(_c(x), 2)))
 
 
 def heat_risk(max_temp, critical_max, heat_sensitive) -> Column:

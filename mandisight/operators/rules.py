@@ -32,7 +32,8 @@ def attach_profile(df: DataFrame, profiles: DataFrame, commodity: str = "commodi
 def assemble(summary: DataFrame, horizon: DataFrame, profiles: DataFrame,
              strict: bool = True) -> DataFrame:
     """series summary LEFT JOIN weather horizon, then the profile."""
-    w = horizon.withColumnRenamed("available", "weather_available")
+    w = (horizon.withColumnRenamed("available", "weather_available")
+         .withColumnRenamed("n_days", "forecast_days"))
     j = summary.join(w, "location_id", "left")
     return attach_profile(j, profiles, strict=strict)
 

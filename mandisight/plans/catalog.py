@@ -356,4 +356,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "supported_commodities": q_supported_commodities,
     "markets_per_commodity": q_markets_per_commodity,
 }
+from .catalog_text import QUERIES as _TEXT_QUERIES  # noqa: E402
+
+QUERIES.update(_TEXT_QUERIES)
 FLAGSHIP = "decision"

@@ -383,7 +383,8 @@ FROM (SELECT * FROM log ORDER BY id DESC LIMIT 1) l""")
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
+    from .oracle_text import oracle_sql as _text
+    return {**_text(),
         "clean_csv_numbers": _clean_csv_numbers(),
         "clean_api_numbers": _clean_api_numbers(),
         "parse_dates": _parse_dates(),

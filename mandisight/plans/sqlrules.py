@@ -86,7 +86,7 @@ def fmt_signed2(x: str) -> str:
 
 
 RULES0 = """
-SELECT s.*, h.available AS weather_available, h.location AS weather_location,
+SELECT s.*, h.available AS weather_available, h.location AS weather_location, h.message AS weather_message,
   h.latitude AS weather_latitude, h.longitude AS weather_longitude, h.n_days AS weather_days, k.*,
   CASE WHEN coalesce(h.available, FALSE) THEN h.max_forecast_temp_c END AS rule_max_temp_c,
   CASE WHEN coalesce(h.available, FALSE) THEN h.min_forecast_temp_c END AS rule_min_temp_c,
