@@ -358,5 +358,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 from .catalog_text import QUERIES as _TEXT_QUERIES  # noqa: E402
 
+from .catalog_files import QUERIES as _FILE_QUERIES  # noqa: E402
+
 QUERIES.update(_TEXT_QUERIES)
+QUERIES.update(_FILE_QUERIES)
 FLAGSHIP = "decision"

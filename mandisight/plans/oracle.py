@@ -384,7 +384,8 @@ FROM (SELECT * FROM log ORDER BY id DESC LIMIT 1) l""")
 
 def oracle_sql() -> dict[str, str]:
     from .oracle_text import oracle_sql as _text
-    return {**_text(),
+    from .oracle_text import oracle_sql_files as _files
+    return {**_text(), **_files(),
         "clean_csv_numbers": _clean_csv_numbers(),
         "clean_api_numbers": _clean_api_numbers(),
         "parse_dates": _parse_dates(),

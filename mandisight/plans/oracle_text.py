@@ -282,3 +282,48 @@ def oracle_sql() -> dict[str, str]:
         "translate_labels": _translate_labels(),
         "place_label": _place_label(),
     }
+
+
+def _profile_json_load() -> str:
+    from ..sources.profiles import DRIVER_CROP_OF_TYPE, PROFILE_VALUES
+    prof = ", ".join(f"({lit(r[0])}, {lit(r[1])}, {r[2]!r}::DOUBLE, {r[7]}, {lit(r[8])})" for r in PROFILE_VALUES)
+    keys = ", ".join(f"({lit(a)}, {lit(b)})" for a, b in DRIVER_CROP_OF_TYPE)
+    return with_ctes(("prices", PRICES), body=f"""
+SELECT c.commodity, k.crop_key, p.crop_name, {r4('p.critical_temp_max_c')} AS critical_temp_max_c,
+  CAST(p.storage_life_days AS BIGINT) AS storage_life_days, p.perishability, c.n_price_rows
+FROM (SELECT commodity, CAST(count(*) AS BIGINT) AS n_price_rows FROM prices GROUP BY commodity) c
+JOIN (VALUES {keys}) AS k(commodity, crop_key) ON c.commodity = k.commodity
+JOIN (VALUES {prof}) AS p(crop_key, crop_name, critical_temp_max_c, storage_life_days, perishability)
+  ON k.crop_key = p.crop_key""")
+
+
+def _landed_api_json() -> str:
+    from .catalog_files import DRIVER_SUPPORTED
+    from .oracle import _raw, _to_num
+    names = ", ".join(lit(n) for n in DRIVER_SUPPORTED)
+    api = f"""
+SELECT state, district, market, 'Vegetables' AS commodity_group, commodity, variety, grade,
+  {_to_num('trim(min_price)')} AS min_price, {_to_num('trim(max_price)')} AS max_price,
+  {_to_num('trim(modal_price)')} AS modal_price, 'Rs./Quintal' AS price_unit,
+  CAST(NULL AS DOUBLE) AS arrival_quantity, CAST(NULL AS VARCHAR) AS arrival_unit,
+  CAST(try_strptime(replace(arrival_date, '-', '/'), '%d/%m/%Y') AS DATE) AS arrival_date,
+  l_orderkey AS batch_id, CAST(l_linenumber AS BIGINT) AS l_linenumber,
+  row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, state, district, market, commodity,
+    variety, grade, replace(arrival_date, '-', '/'), min_price, max_price, modal_price) AS pos
+FROM raw WHERE l_orderkey % 11 <> 0"""
+    kept = f"""
+SELECT * EXCLUDE (k) FROM (
+  SELECT a.*, row_number() OVER (PARTITION BY arrival_date, state, district, market, commodity, variety, grade,
+    batch_id ORDER BY pos DESC) AS k
+  FROM api a WHERE commodity IN ({names}) AND state IS NOT NULL AND market IS NOT NULL
+    AND commodity IS NOT NULL AND arrival_date IS NOT NULL AND modal_price IS NOT NULL
+) WHERE k = 1"""
+    return with_ctes(("prices", PRICES), ("raw", _raw()), ("api", api), ("kept", kept), body=f"""
+SELECT state, district, market, commodity_group, commodity, variety, grade,
+  {r4('min_price')} AS min_price, {r4('max_price')} AS max_price, {r4('modal_price')} AS modal_price,
+  price_unit, {r4('arrival_quantity')} AS arrival_quantity, arrival_unit,
+  {dstr('arrival_date')} AS arrival_date, batch_id, l_linenumber FROM kept""")
+
+
+def oracle_sql_files() -> dict[str, str]:
+    return {"profile_json_load": _profile_json_load(), "landed_api_json": _landed_api_json()}

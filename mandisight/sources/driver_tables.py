@@ -201,3 +201,18 @@ def date_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
             .when(ln == 6, F.lit("N/A"))
             .otherwise(F.date_format(d, "yyyy-MM-dd")))
     return li.select("l_orderkey", "l_linenumber", text.alias("date_text"))
+
+
+def api_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RAW re-landed as API responses: one envelope per order (its lines in
+    line order), dates ``dd/MM/yyyy``, every eleventh order a failed batch."""
+    raw = raw_reports(spark, sf_dir)
+    rec = F.struct(*[F.col(c) for c in ["state", "district", "market", "commodity", "variety", "grade"]],
+                   F.regexp_replace("arrival_date", "-", "/").alias("arrival_date"),
+                   "min_price", "max_price", "modal_price", "l_linenumber")
+    per = raw.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(
+        F.struct(F.col("l_linenumber").alias("_ln"), rec.alias("r")))).alias("recs"))
+    return per.select(
+        F.col("l_orderkey").alias("batch_id"),
+        F.when(F.col("l_orderkey") % 11 == 0, F.lit("error")).otherwise(F.lit("ok")).alias("status"),
+        F.transform("recs", lambda x: x["r"]).alias("records"))
