@@ -13,19 +13,12 @@ SERIES = "state, district, market, commodity"
 
 
 def rhe(expr: str, digits: int = 0) -> str:
-    """Half-to-even rounding on the scaled double (same steps as Spark side)."""
+    """Half-to-even rounding on the scaled double (``round_even(.., 0)`` is rint)."""
     if digits >= 0:
-        scale = f"{float(10 ** digits)!r}"
-        r = f"(CAST({expr} AS DOUBLE) * {scale})"
-        back = f"/ {scale}"
-    else:
-        scale = f"{float(10 ** (-digits))!r}"
-        r = f"(CAST({expr} AS DOUBLE) / {scale})"
-        back = f"* {scale}"
-    f = f"floor({r})"
-    d = f"({r} - {f})"
-    return (f"(CAST(CASE WHEN {d} > 0.5 THEN {f} + 1 WHEN {d} < 0.5 THEN {f} "
-            f"WHEN ({f} - 2 * floor({f} / 2)) = 0 THEN {f} ELSE {f} + 1 END AS DOUBLE) {back})")
+        scale = f"{float(10 ** digits)!r}::DOUBLE"
+        return f"(round_even(CAST({expr} AS DOUBLE) * {scale}, 0) / {scale})"
+    scale = f"{float(10 ** (-digits))!r}::DOUBLE"
+    return f"(round_even(CAST({expr} AS DOUBLE) / {scale}, 0) * {scale})"
 
 
 def r4(expr: str) -> str:

@@ -20,6 +20,10 @@ DEFAULT_CONF = {
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # HotSpot does not JIT methods over 8000 bytes; a stage whose generated
+    # method is larger falls back to per-operator codegen instead of running
+    # as interpreted bytecode.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 

@@ -9,9 +9,10 @@ with one fixed mapping (the same text is used by the SQL oracle):
   variety = brand, grade = return flag, modal = extended price / quantity.
 * forecast: ``events`` per user id (= supplier key, the market's location).
 
-Only ``nation`` and ``region`` are broadcast explicitly: TPC-H fixes them at
-25 and 5 rows. ``part`` and ``supplier`` grow with the scale factor, so the
-planner picks the join by their measured size (AQE re-plans at runtime).
+``nation`` and ``region`` are broadcast unconditionally: TPC-H fixes them
+at 25 and 5 rows. ``part`` and ``supplier`` grow with the scale factor, so
+they are broadcast only behind a row-count check (``sizing``); above the
+bound the planner shuffles both sides on the join key.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numbers import cents_text
+from .sizing import broadcast_if_small
 
 # Ingest order of a price observation (later = larger); the keep-last rules
 # order by these after the business columns.
@@ -27,8 +29,12 @@ TIE_COLUMNS = ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice",
                "l_quantity", "l_discount", "l_tax"]
 
 
+def table_path(sf_dir: str, name: str) -> str:
+    return f"{sf_dir.rstrip('/')}/{name}.parquet"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spark.read.parquet(table_path(sf_dir, name))
 
 
 def market_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,6 +55,8 @@ def prices(spark: SparkSession, sf_dir: str, with_ties: bool = True) -> DataFram
         "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_shipdate")
     part = table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_brand")
     dim = market_dim(spark, sf_dir)
+    part = broadcast_if_small(spark, part, table_path(sf_dir, "part"))
+    dim = broadcast_if_small(spark, dim, table_path(sf_dir, "supplier"))
     j = (li.join(part, li.l_partkey == part.p_partkey)
          .join(dim, li.l_suppkey == dim.s_suppkey))
     modal = F.try_divide(F.col("l_extendedprice"), F.col("l_quantity"))
