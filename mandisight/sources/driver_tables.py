@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numbers import cents_text
-from .sizing import broadcast_if_small
+from .sizing import broadcast_if_small, spread
 
 # Ingest order of a price observation (later = larger); the keep-last rules
 # order by these after the business columns.
@@ -33,8 +33,14 @@ def table_path(sf_dir: str, name: str) -> str:
     return f"{sf_dir.rstrip('/')}/{name}.parquet"
 
 
+# Tables whose size grows with the data; their scans are spread over the
+# cores when the files yield too few splits.
+FACT_TABLES = {"lineitem", "orders", "events", "documents", "customer", "conversations", "pages"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(table_path(sf_dir, name))
+    df = spark.read.parquet(table_path(sf_dir, name))
+    return spread(spark, df) if name in FACT_TABLES else df
 
 
 def market_dim(spark: SparkSession, sf_dir: str) -> DataFrame:

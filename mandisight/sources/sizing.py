@@ -33,3 +33,20 @@ def broadcast_if_small(spark: SparkSession, df: DataFrame, source_path: str,
     """``broadcast(df)`` when the table it comes from has at most ``max_rows``
     rows (``df`` must not have more rows than its source table)."""
     return F.broadcast(df) if table_rows(spark, source_path) <= max_rows else df
+
+
+def spread(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """Spread a scan that yields fewer tasks than the cluster has cores.
+
+    A file written as one row group reads as one task, so every per-row step
+    above it (joins, expressions, the map side of aggregations) runs on one
+    core. Then a round-robin repartition to the default parallelism is
+    cheap and spreads the work; a large input already has at least that
+    many splits and is left untouched (no extra shuffle at scale).
+    Round-robin repartitioning sorts rows first, so a retried task
+    reproduces the same partitions.
+    """
+    target = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
