@@ -11,6 +11,7 @@ from ..functions.text import clean_text_for_speech, language_code
 from ..operators import history, payload
 from ..schemas import SERIES
 from ..sources import driver_tables as dt
+from ..sources.profiles import literal_table
 from . import advisory as adv
 
 LANGUAGE = "Telugu"
@@ -214,7 +215,7 @@ def q_translate_labels(spark, sf_dir):
     for ev_type, k in reversed(EVENT_LABEL_KEY):
         key = F.when(F.col("event_type") == ev_type, F.lit(k)).otherwise(key)
     base = ev.select("event_id", lang.alias("language"), key.alias("key"))
-    labels = spark.createDataFrame(UI_LABELS, "language string, key string, text string")
+    labels = literal_table(spark, UI_LABELS, ["language", "key", "text"])
     own = F.broadcast(labels.withColumnRenamed("text", "own_text"))
     eng = F.broadcast(labels.where(F.col("language") == "English")
                       .select("key", F.col("text").alias("english_text")))

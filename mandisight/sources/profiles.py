@@ -37,16 +37,34 @@ PROFILE_DDL = ("crop_key string, crop_name string, critical_temp_max_c double, "
                "storage_life_days int, perishability string, sell_or_wait_bias string")
 
 
+def sql_literal(v) -> str:
+    if v is None:
+        return "NULL"
+    if isinstance(v, bool):
+        return "TRUE" if v else "FALSE"
+    if isinstance(v, int):
+        return str(v)
+    if isinstance(v, float):
+        return f"{v!r}D"
+    return "'" + str(v).replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def literal_table(spark: SparkSession, rows, columns) -> DataFrame:
+    """A fixed table as one SQL VALUES relation (one call, no Python rows)."""
+    values = ", ".join("(" + ", ".join(sql_literal(v) for v in r) + ")" for r in rows)
+    return spark.sql(f"SELECT * FROM VALUES {values} AS t({', '.join(columns)})")
+
+
 def profile_table(spark: SparkSession) -> DataFrame:
     """One row per crop key (six rows: a bounded, broadcastable table)."""
-    return spark.createDataFrame(PROFILE_VALUES, PROFILE_DDL)
+    return literal_table(spark, PROFILE_VALUES, PROFILE_COLUMNS)
 
 
 def driver_profile_table(spark: SparkSession) -> DataFrame:
     """Profiles keyed by the lower-cased driver commodity (``p_type``)."""
-    keys = spark.createDataFrame(DRIVER_CROP_OF_TYPE, "p_type string, crop_key string")
-    return (keys.join(profile_table(spark), "crop_key")
-            .select(F.lower("p_type").alias("commodity_key"), *PROFILE_COLUMNS))
+    prof = {r[0]: r for r in PROFILE_VALUES}
+    rows = [(p_type.lower(),) + prof[key] for p_type, key in DRIVER_CROP_OF_TYPE]
+    return literal_table(spark, rows, ["commodity_key"] + PROFILE_COLUMNS).drop("crop_key")
 
 
 def profile_document() -> str:
