@@ -93,7 +93,9 @@ def filtered_history(df: DataFrame, params: dict, days: int = 7) -> DataFrame:
     """
     sel = df.where(filter_predicate(params, "not_none"))
     dates = sel.select("arrival_date").distinct().orderBy(F.col("arrival_date").desc()).limit(days)
-    return sel.join(F.broadcast(dates), "arrival_date", "left_semi")
+    # H8: oldest first, then market and variety (NULLs first, binary order).
+    return (sel.join(F.broadcast(dates), "arrival_date", "left_semi")
+            .orderBy("arrival_date", "market", "variety"))
 
 
 def supported(df: DataFrame, names: Sequence[str] = SUPPORTED_COMMODITIES,

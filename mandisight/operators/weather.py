@@ -45,22 +45,38 @@ def _ok(cod):
     return F.col(cod).cast("string") == F.lit("200")
 
 
-def daily(blocks: DataFrame) -> DataFrame:
-    """G1 + H5: first five forecast dates per available location."""
+def per_day(blocks: DataFrame) -> DataFrame:
+    """One partial aggregate per (location, date) over every block.
+
+    Carries the document status and entry counts next to the daily extremes,
+    so ``daily`` and ``locations`` share this one scan and shuffle (the
+    planner reuses the exchange for both consumers).
+    """
     ts = parse_lenient_timestamp(F.col("dt_txt"))
-    valid = (blocks.where(_ok("cod"))
-             .select("location_id",
-                     F.date_format(ts, "yyyy-MM-dd").alias("date"),
-                     safe_float("temp").alias("temp_c"),
-                     (F.coalesce(safe_float("pop"), F.lit(0.0)) * F.lit(100.0)).alias("rain_pct"),
-                     F.coalesce(F.col("description"), F.lit("unknown")).alias("condition"))
-             .where(F.col("date").isNotNull() & F.col("temp_c").isNotNull()))
-    per_day = valid.groupBy("location_id", "date").agg(
-        F.min("temp_c").alias("min_temp"), F.max("temp_c").alias("max_temp"),
-        F.max("rain_pct").alias("rain_max"),
-        F.array_join(F.array_sort(F.collect_set("condition")), ", ").alias("conditions"))
+    temp = safe_float("temp")
+    valid = ts.isNotNull() & temp.isNotNull()
+    rain = F.coalesce(safe_float("pop"), F.lit(0.0)) * F.lit(100.0)
+    cond = F.coalesce(F.col("description"), F.lit("unknown"))
+    return (blocks
+            .select("location_id", _ok("cod").alias("ok"), F.col("dt_txt"), "city_name", "lat", "lon",
+                    F.date_format(ts, "yyyy-MM-dd").alias("date"),
+                    F.when(valid, temp).alias("temp_c"), F.when(valid, rain).alias("rain_pct"),
+                    F.when(valid, cond).alias("condition"))
+            .groupBy("location_id", "date").agg(
+                F.max("ok").alias("status_ok"), F.count("dt_txt").alias("n_entries"),
+                F.count("temp_c").alias("n_valid"), F.max("city_name").alias("city_name"),
+                F.max("lat").alias("lat"), F.max("lon").alias("lon"),
+                F.min("temp_c").alias("min_temp"), F.max("temp_c").alias("max_temp"),
+                F.max("rain_pct").alias("rain_max"),
+                F.array_join(F.array_sort(F.collect_set("condition")), ", ").alias("conditions")))
+
+
+def daily(blocks: DataFrame, days: DataFrame | None = None) -> DataFrame:
+    """G1 + H5: first five forecast dates per available location."""
+    d = days if days is not None else per_day(blocks)
+    ok = d.where(F.col("status_ok") & (F.col("n_valid") > 0) & F.col("date").isNotNull())
     w = Window.partitionBy("location_id").orderBy("date")
-    first = per_day.withColumn("day_rank", F.row_number().over(w)).where(F.col("day_rank") <= HORIZON_DAYS)
+    first = ok.withColumn("day_rank", F.row_number().over(w)).where(F.col("day_rank") <= HORIZON_DAYS)
     return first.select(
         "location_id", "date",
         round_half_even("min_temp", 2).alias("min_temp_c"),
@@ -69,23 +85,24 @@ def daily(blocks: DataFrame) -> DataFrame:
         "conditions", "day_rank")
 
 
-def locations(blocks: DataFrame) -> DataFrame:
+def locations(blocks: DataFrame, days: DataFrame | None = None) -> DataFrame:
     """One row per forecast document (location) with its status fields."""
-    return blocks.groupBy("location_id").agg(
-        F.max(_ok("cod")).alias("status_ok"),
-        F.count("dt_txt").alias("n_entries"),
+    d = days if days is not None else per_day(blocks)
+    return d.groupBy("location_id").agg(
+        F.max("status_ok").alias("status_ok"), F.sum("n_entries").alias("n_entries"),
         F.max("city_name").alias("city_name"), F.max("lat").alias("lat"), F.max("lon").alias("lon"))
 
 
 def horizon(blocks: DataFrame, days: DataFrame | None = None) -> DataFrame:
     """G2 + I21: per-location extremes over the kept dates, with availability."""
-    days = days if days is not None else daily(blocks)
+    shared = per_day(blocks)
+    days = days if days is not None else daily(blocks, shared)
     roll = days.groupBy("location_id").agg(
         F.max("max_temp_c").alias("max_forecast_temp_c"),
         F.min("min_temp_c").alias("min_forecast_temp_c"),
         F.max("rain_probability_max_percent").alias("_rain"),
         F.count(F.lit(1)).alias("n_days"))
-    loc = locations(blocks)
+    loc = locations(blocks, shared)
     j = loc.join(roll, "location_id", "left")
     available = F.col("status_ok") & (F.col("n_entries") > 0)
     return j.select(
