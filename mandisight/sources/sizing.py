@@ -18,11 +18,11 @@ from pyspark.sql import functions as F
 # broadcast; larger dimensions take a shuffle join.
 MAX_BROADCAST_ROWS = 500_000
 
-_row_counts: dict[tuple[int, str], int] = {}
+_row_counts: dict[tuple[int, str, str], int] = {}
 
 
 def table_rows(spark: SparkSession, path: str) -> int:
-    key = (id(spark), path)
+    key = (id(spark), spark.sparkContext.applicationId, path)
     if key not in _row_counts:
         _row_counts[key] = spark.read.parquet(path).count()
     return _row_counts[key]
@@ -47,6 +47,7 @@ def spread(spark: SparkSession, df: DataFrame) -> DataFrame:
     reproduces the same partitions.
     """
     target = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
+    splits = df._jdf.queryExecution().executedPlan().execute().getNumPartitions()
+    if splits < target:
         return df.repartition(target)
     return df
