@@ -13,10 +13,12 @@ from pyspark.sql import functions as F
 from ..functions.numbers import round_half_even
 from ..functions.rules import fmt0
 
-# The LLM prompt templates ({language}, {payload}) and the
-# template advisory used when the model is unavailable.
+# The LLM prompt templates ({assistant}, {language}, {payload})
+# and the template advisory used when the model is unavailable. The
+# assistant's display name is a deployment setting.
+ASSISTANT_NAME = "the market advisor"
 SYSTEM_PROMPT = """
-    You are Mandi Mitra, an agricultural advisory assistant.
+    You are {assistant}, an agricultural advisory assistant.
 
     Always respond only in {language}.
     Always format your response using Markdown.
@@ -203,9 +205,9 @@ def payload_repr(fast: Column) -> Column:
     return F.concat(*parts)
 
 
-def system_prompt(language: Column) -> Column:
+def system_prompt(language: Column, assistant: str = ASSISTANT_NAME) -> Column:
     """System message for the requested language."""
-    return _fill(SYSTEM_PROMPT, language=language)
+    return _fill(SYSTEM_PROMPT, assistant=F.lit(assistant), language=language)
 
 
 def user_prompt(language: Column, fast: Column) -> Column:

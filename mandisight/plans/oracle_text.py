@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..operators.payload import FALLBACK_ADVISORY, SYSTEM_PROMPT, USER_PROMPT
+from ..operators.payload import ASSISTANT_NAME, FALLBACK_ADVISORY, SYSTEM_PROMPT, USER_PROMPT
 from .sqlrules import RULE_CTES, fmt0
 from .sqltext import LATEST_ROW, PRICES, REQUESTS, SERIES, dstr, r4, rhe, with_ctes
 
@@ -106,7 +106,7 @@ def _prompt_lines() -> str:
     rep = "'{' || " + " || ".join(
         f"{lit(('' if i == 0 else ', ') + repr(k) + ': ')} || {v}" for i, (k, v) in enumerate(items)) + " || '}'"
     return with_ctes(*RULE_CTES, ("fast", FAST), body=f"""
-SELECT {SERIES}, {prompt} AS prompt, {fill(SYSTEM_PROMPT, language=LANG)} AS system_prompt,
+SELECT {SERIES}, {prompt} AS prompt, {fill(SYSTEM_PROMPT, assistant=lit(ASSISTANT_NAME), language=LANG)} AS system_prompt,
   {fill(USER_PROMPT, language=LANG, payload=rep)} AS user_prompt
 FROM fast""")
 
