@@ -98,6 +98,25 @@ def filtered_history(df: DataFrame, params: dict, days: int = 7) -> DataFrame:
             .orderBy("arrival_date", "market", "variety"))
 
 
+def filtered_history_sets(df: DataFrame, param_sets: Sequence[dict], days: int = 7) -> DataFrame:
+    """The history query for many parameter sets in one pass (set-wide C5).
+
+    Rows are tagged with the ids of the sets they pass (a row may serve
+    several), distinct dates per set are reduced map-side and cut to the
+    latest ``days`` per set; that table has at most ``days`` rows per set (a
+    proven bound), so the final semi join broadcasts it. Two scans in total,
+    whatever the number of sets.
+    """
+    ids = F.array_compact(F.array(*[F.when(filter_predicate(p, "not_none"), F.lit(i))
+                                    for i, p in enumerate(param_sets)]))
+    tagged = df.withColumn("filter_id", F.explode(ids))
+    w = Window.partitionBy("filter_id").orderBy(F.col("arrival_date").desc())
+    top = (tagged.select("filter_id", "arrival_date").distinct()
+           .withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= days).drop("_r"))
+    return (tagged.join(F.broadcast(top), ["filter_id", "arrival_date"], "left_semi")
+            .orderBy("filter_id", "arrival_date", "market", "variety"))
+
+
 def supported(df: DataFrame, names: Sequence[str] = SUPPORTED_COMMODITIES,
               column: str = "commodity") -> DataFrame:
     """C4: exact-case membership; a literal IN list is pushed to the scan."""

@@ -150,17 +150,10 @@ FILTER_SETS = [
 
 
 def q_optional_filters(spark, sf_dir):
-    p = dt.prices(spark, sf_dir)
-    parts = []
-    for i, params in enumerate(FILTER_SETS):
-        h = history.filtered_history(p, params, 7)
-        parts.append(h.select(F.lit(i).cast("long").alias("filter_id"), *SERIES,
-                              d2s("arrival_date").alias("arrival_date"), "variety", "grade",
-                              r4("modal_price").alias("modal_price"), "l_orderkey", "l_linenumber"))
-    out = parts[0]
-    for x in parts[1:]:
-        out = out.unionByName(x)
-    return out
+    h = history.filtered_history_sets(dt.prices(spark, sf_dir), FILTER_SETS, 7)
+    return h.select(F.col("filter_id").cast("long").alias("filter_id"), *SERIES,
+                    d2s("arrival_date").alias("arrival_date"), "variety", "grade",
+                    r4("modal_price").alias("modal_price"), "l_orderkey", "l_linenumber")
 
 
 # Driver commodities accepted by the sync, exact case (two in the wrong case).
