@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..schemas import SERIES
 from .dedupe import keep_first, keep_last
+from .skew import salted_join
 
 # Crops the price sync accepts (exact case).
 SUPPORTED_COMMODITIES = ["Brinjal", "Cauliflower", "Green Chilli", "Onion", "Potato", "Tomato"]
@@ -131,7 +132,9 @@ def markets_per_commodity(df: DataFrame) -> DataFrame:
     """
     pairs = df.select("commodity", "market").distinct()
     counts = pairs.groupBy("commodity").agg(F.count(F.lit(1)).alias("n_markets"))
-    return pairs.join(counts, "commodity")
+    # Few commodities: a plain join on commodity would put each commodity's
+    # markets in one task; the salted join spreads a hot commodity.
+    return salted_join(pairs, counts, ["commodity"], ["market"])
 
 
 def lookup_latest(requests: DataFrame, latest_full: DataFrame, latest_no_district: DataFrame,
