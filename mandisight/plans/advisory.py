@@ -8,8 +8,9 @@ profiles, then one projection computes flags, decision, facts and reasons.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..operators import market, rules, weather
+from ..operators import market, payload, rules, weather
 from ..schemas import SERIES
 from ..sources import driver_tables as dt
 from ..sources.profiles import driver_profile_table
@@ -35,3 +36,45 @@ def advisory_table(spark: SparkSession, sf_dir: str, strict: bool = True) -> Dat
     joined = rules.assemble(series_summary(spark, sf_dir), weather_horizon(spark, sf_dir),
                             driver_profile_table(spark), strict=strict)
     return rules.rule_engine(joined)
+
+
+# Advisory request defaults (an empty field takes the default).
+REQUEST_DEFAULTS = {"crop": "Tomato", "state": "Andhra Pradesh", "district": "Palamaner",
+                    "market": "Palamaner APMC", "language": "Telugu"}
+
+
+def with_request_defaults(requests: DataFrame) -> DataFrame:
+    """NULL or empty request fields take the advisory defaults."""
+    out = requests
+    for c, d in REQUEST_DEFAULTS.items():
+        if c in requests.columns:
+            out = out.withColumn(c, F.coalesce(F.when(F.col(c) != "", F.col(c)), F.lit(d)))
+        else:
+            out = out.withColumn(c, F.lit(d))
+    return out
+
+
+def advisory_for_requests(prices: DataFrame, requests: DataFrame, blocks: DataFrame,
+                          profiles: DataFrame, order=None, strict: bool = True) -> DataFrame:
+    """The advisory endpoint for a whole table of farmer requests.
+
+    ``requests``: req_id, crop, state, district, market, language, location_id
+    (the forecast location of the farmer). Requests whose market has no price
+    history keep NULL prices and trend ``unknown`` (P12); weather is matched on
+    the request's location; the profile on ``lower(crop)``.
+    """
+    req = with_request_defaults(requests).withColumnRenamed("crop", "commodity")
+    summary = market.summarize(prices, SERIES, 7, order)
+    joined = req.join(summary, SERIES, "left")
+    assembled = rules.assemble(joined, weather.horizon(blocks), profiles, strict=strict)
+    out = rules.rule_engine(assembled)
+    fast = payload.compact_payload(out, F.col("language"))
+    lang = F.col("language")
+    return fast.select(
+        "*",
+        payload.prompt_text(F.col("fast")).alias("prompt"),
+        payload.system_prompt(lang).alias("system_prompt"),
+        payload.user_prompt(lang, F.col("fast")).alias("user_prompt"),
+        payload.fallback_advisory("commodity", "market", "trend", "seven_day_change_percent",
+                                  "latest_modal_price").alias("fallback_advisory"),
+        *payload.market_card("market", "latest_modal_price", "latest_max_price", "latest_min_price"))

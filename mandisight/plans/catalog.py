@@ -12,17 +12,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.numbers import round_half_even
 from ..functions import dates as D
-from ..functions.numbers import safe_float
+from ..functions.numbers import round_half_even, safe_float
 from ..operators import cleanse, history, market, rules, upsert
 from ..operators.dedupe import keep_last
-from ..schemas import KEY_COLUMNS, PRICE_COLUMNS
-from . import sync
+from ..schemas import KEY_COLUMNS, PRICE_COLUMNS, SERIES
+from ..sources import driver_tables as dt
 from ..sources.profiles import driver_profile_table
 from . import advisory as adv
-from ..schemas import SERIES
-from ..sources import driver_tables as dt
+from . import sync
 
 
 def r4(c):
@@ -112,9 +110,7 @@ def q_latest_per_group_ties(spark, sf_dir):
                     r4("modal_price").alias("modal_price"), "l_orderkey", "l_linenumber")
 
 
-# Advisory request defaults (F6), fixed values.
-REQUEST_DEFAULTS = {"crop": "Tomato", "state": "Andhra Pradesh", "district": "Palamaner",
-                    "market": "Palamaner APMC", "language": "Telugu"}
+REQUEST_DEFAULTS = adv.REQUEST_DEFAULTS
 
 
 def q_blank_district_lookup(spark, sf_dir):

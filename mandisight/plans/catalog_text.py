@@ -78,21 +78,11 @@ def q_prompt_lines(spark, sf_dir):
                     payload.user_prompt(lang, F.col("fast")).alias("user_prompt"))
 
 
-# Advisory request defaults (F6), fixed values.
-REQUEST_DEFAULTS = {"crop": "Tomato", "state": "Andhra Pradesh", "district": "Palamaner",
-                    "market": "Palamaner APMC", "language": "Telugu"}
-
-
 def advisory_requests(spark, sf_dir) -> DataFrame:
     """request fields with the advisory defaults ('' takes the default)."""
-    r = dt.farmer_requests(spark, sf_dir)
-    dflt = lambda c, d: F.coalesce(F.when(F.col(c) != "", F.col(c)), F.lit(d))
-    return r.select("req_id", dflt("crop", REQUEST_DEFAULTS["crop"]).alias("commodity"),
-                    dflt("state", REQUEST_DEFAULTS["state"]).alias("state"),
-                    dflt("district", REQUEST_DEFAULTS["district"]).alias("district"),
-                    dflt("market", REQUEST_DEFAULTS["market"]).alias("market"),
-                    dflt("language", REQUEST_DEFAULTS["language"]).alias("language"),
-                    "latitude", "longitude")
+    r = adv.with_request_defaults(dt.farmer_requests(spark, sf_dir))
+    return r.select("req_id", F.col("crop").alias("commodity"), "state", "district", "market",
+                    "language", "latitude", "longitude")
 
 
 def q_fallback_advisory(spark, sf_dir):
