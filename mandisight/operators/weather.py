@@ -94,18 +94,29 @@ def locations(blocks: DataFrame, days: DataFrame | None = None) -> DataFrame:
 
 
 def horizon(blocks: DataFrame, days: DataFrame | None = None) -> DataFrame:
-    """G2 + I21: per-location extremes over the kept dates, with availability."""
-    shared = per_day(blocks)
-    days = days if days is not None else daily(blocks, shared)
-    roll = days.groupBy("location_id").agg(
-        F.max("max_temp_c").alias("max_forecast_temp_c"),
-        F.min("min_temp_c").alias("min_forecast_temp_c"),
-        F.max("rain_probability_max_percent").alias("_rain"),
-        F.count(F.lit(1)).alias("n_days"))
-    loc = locations(blocks, shared)
-    j = loc.join(roll, "location_id", "left")
+    """G2 + I21: per-location extremes over the first five valid dates, with
+    availability, from one scan of the blocks.
+
+    Per-(location, date) rows (``per_day``) are ranked per location with valid
+    dates first, then one aggregate per location reads the status over all
+    dates and the extremes over ranks 1-5; the aggregate reuses the window's
+    clustering, so the chain has two exchanges and no second scan. ``days``
+    is accepted for callers that already hold the daily table and ignored.
+    """
+    d = per_day(blocks)
+    valid = d["status_ok"] & (d["n_valid"] > 0) & d["date"].isNotNull()
+    w = Window.partitionBy("location_id").orderBy(valid.desc(), F.col("date"))
+    ranked = d.withColumn("_valid", valid).withColumn("_rank", F.row_number().over(w))
+    kept = F.col("_valid") & (F.col("_rank") <= HORIZON_DAYS)
+    roll = ranked.groupBy("location_id").agg(
+        F.max("status_ok").alias("status_ok"), F.sum("n_entries").alias("n_entries"),
+        F.max("city_name").alias("city_name"), F.max("lat").alias("lat"), F.max("lon").alias("lon"),
+        F.max(F.when(kept, round_half_even("max_temp", 2))).alias("max_forecast_temp_c"),
+        F.min(F.when(kept, round_half_even("min_temp", 2))).alias("min_forecast_temp_c"),
+        F.max(F.when(kept, round_half_even(F.coalesce("rain_max", F.lit(0.0)), 0))).alias("_rain"),
+        F.sum(F.when(kept, 1).otherwise(0)).alias("n_days"))
     available = F.col("status_ok") & (F.col("n_entries") > 0)
-    return j.select(
+    return roll.select(
         "location_id",
         available.alias("available"),
         F.when(~F.col("status_ok"), F.lit(MSG_UNAVAILABLE))
@@ -117,4 +128,4 @@ def horizon(blocks: DataFrame, days: DataFrame | None = None) -> DataFrame:
         F.when(available, F.col("min_forecast_temp_c")).alias("min_forecast_temp_c"),
         F.when(available, F.coalesce("_rain", F.lit(0.0))).otherwise(F.lit(0.0))
         .alias("max_rain_probability_percent"),
-        F.when(available, F.coalesce("n_days", F.lit(0))).otherwise(F.lit(0)).cast("long").alias("n_days"))
+        F.when(available, F.col("n_days")).otherwise(F.lit(0)).cast("long").alias("n_days"))
