@@ -122,10 +122,13 @@ def q_blank_district_lookup(spark, sf_dir):
                      F.coalesce(F.when(F.col("crop") != "", F.col("crop")),
                                 F.lit(REQUEST_DEFAULTS["crop"])).alias("commodity"))
     order = _row_order()
-    full = history.latest_row(p, order).select(
+    latest = history.latest_row(p, order)
+    full = latest.select(
         *SERIES, F.col("arrival_date").alias("latest_date"), F.col("modal_price").alias("latest_modal"),
         F.col("variety").alias("latest_variety"))
-    no_d = history.latest_row(p, order, ["state", "market", "commodity"]).select(
+    # Latest across districts = the greatest of the per-district latest rows
+    # (same total order): derived from the small per-series table, no rescan.
+    no_d = history.latest_row(latest, order, ["state", "market", "commodity"]).select(
         "state", "market", "commodity", F.col("arrival_date").alias("latest_date"),
         F.col("modal_price").alias("latest_modal"), F.col("variety").alias("latest_variety"))
     out = history.lookup_latest(req, full, no_d)
