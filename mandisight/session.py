@@ -24,6 +24,10 @@ DEFAULT_CONF = {
     # method is larger falls back to per-operator codegen instead of running
     # as interpreted bytecode.
     "spark.sql.codegen.hugeMethodLimit": "8000",
+    # PySpark records the Python call site of every Column it builds (for
+    # error messages); that costs several py4j calls per expression when a
+    # plan is built. Jobs here build plans with thousands of expressions.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
