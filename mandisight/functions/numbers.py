@@ -58,9 +58,12 @@ def nan_to_null(c) -> Column:
 
 
 def to_number(text) -> Column:
-    """Strict text -> double; anything not numeric (and NaN) -> NULL."""
+    """Strict text -> double; anything not numeric -> NULL.
+
+    The pattern admits no NaN or infinity spelling, so no NaN can come out.
+    """
     t = _c(text)
-    return nan_to_null(F.when(t.rlike(NUMERIC_TEXT), t.try_cast("double")))
+    return F.when(t.rlike(NUMERIC_TEXT), t.try_cast("double"))
 
 
 def clean_number(c) -> Column:

@@ -237,7 +237,18 @@ def _canonical_out(df, extra=()):
 
 
 def q_clean_csv_numbers(spark, sf_dir):
-    raw = dt.raw_reports(spark, sf_dir)
+    """RAW landed as report CSV files, scanned positionally (A1), cleansed."""
+    import uuid
+
+    from pyspark.sql import types as T
+
+    from ..session import scratch_path
+    from ..sources import reports
+    path = scratch_path(spark, f"raw-reports-{uuid.uuid4().hex}")
+    reports.write_report_rows(dt.raw_reports(spark, sf_dir).select(
+        *PRICE_COLUMNS, "l_orderkey", "l_linenumber"), path)
+    raw = reports.read_report_rows(spark, path, [("l_orderkey", T.LongType()),
+                                                 ("l_linenumber", T.IntegerType())])
     return _canonical_out(cleanse.cleanse_report(raw, extra=["l_orderkey", "l_linenumber"]),
                           ["l_orderkey", "l_linenumber"])
 
