@@ -48,3 +48,11 @@ def test_history_dates_uses_partial_limit(spark):
     df = entry_mod.queries()["history_latest_dates"](spark, SF0001)
     plan = df._jdf.queryExecution().sparkPlan().toString()
     assert "WindowGroupLimit" in plan and "Partial" in plan
+
+
+@pytest.mark.parametrize("name", ["clean_csv_numbers", "bad_files", "landed_api_json",
+                                  "incremental_sync", "profile_json_load"])
+def test_landing_queries_rerun(spark, name):
+    """Queries that land files first must give the same answer when called again."""
+    q = entry_mod.queries()[name]
+    assert q(spark, SF0001).count() == q(spark, SF0001).count() > 0
