@@ -48,9 +48,9 @@ def _ok(cod):
 def per_day(blocks: DataFrame) -> DataFrame:
     """One partial aggregate per (location, date) over every block.
 
-    Carries the document status and entry counts next to the daily extremes,
-    so ``daily`` and ``locations`` share this one scan and shuffle (the
-    planner reuses the exchange for both consumers).
+    Carries the document status, entry counts and place next to the daily
+    extremes, so both the daily table and the per-location horizon are read
+    from this one reduction of the blocks.
     """
     ts = parse_lenient_timestamp(F.col("dt_txt"))
     temp = safe_float("temp")
