@@ -56,3 +56,30 @@ def test_landing_queries_rerun(spark, name):
     """Queries that land files first must give the same answer when called again."""
     q = entry_mod.queries()[name]
     assert q(spark, SF0001).count() == q(spark, SF0001).count() > 0
+
+
+def _spark_plan(df):
+    return df._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_keep_last_combines_map_side(spark):
+    plan = _spark_plan(entry_mod.queries()["dedupe_keep_last"](spark, SF0001))
+    assert "partial_max_by" in plan
+
+
+def test_low_cardinality_join_is_salted(spark):
+    plan = _spark_plan(entry_mod.queries()["markets_per_commodity"](spark, SF0001))
+    assert "_salt" in plan
+
+
+def test_report_loader_never_shuffles_by_file(spark, tmp_path):
+    from mandisight.sources import reports
+    (tmp_path / "a.csv").write_text("x,y\n")
+    clean, _ = reports.load_reports(spark, str(tmp_path))
+    plan = _spark_plan(clean)
+    assert "BroadcastHashJoin" in plan and "hashpartitioning(source_file" not in plan
+
+
+def test_filtered_history_broadcasts_bounded_dates(spark):
+    plan = _spark_plan(entry_mod.queries()["optional_filters"](spark, SF0001))
+    assert "BroadcastHashJoin" in plan and "LeftSemi" in plan
