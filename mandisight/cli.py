@@ -64,7 +64,9 @@ def main(argv=None) -> None:
 
     spark = _session()
     if args.cmd == "bulk-load":
-        jobs.run_bulk_load(spark, args.reports, args.table).show(truncate=False)
+        m: dict = {}
+        jobs.run_bulk_load(spark, args.reports, args.table, metrics=m).show(truncate=False)
+        print(m)
     elif args.cmd == "api-sync":
         jobs.run_api_sync(spark, args.landing, args.table, args.commodities.split(",")).show()
     elif args.cmd == "carry-forward":
