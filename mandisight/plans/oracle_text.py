@@ -326,4 +326,51 @@ SELECT state, district, market, commodity_group, commodity, variety, grade,
 
 
 def oracle_sql_files() -> dict[str, str]:
-    return {"profile_json_load": _profile_json_load(), "landed_api_json": _landed_api_json()}
+    return {"profile_json_load": _profile_json_load(), "landed_api_json": _landed_api_json(),
+            "incremental_sync": _incremental_sync()}
+
+
+def _incremental_sync() -> str:
+    from .catalog_files import DRIVER_SUPPORTED
+    from .oracle import _BATCHES, _raw, _to_num
+    names = ", ".join(lit(n) for n in DRIVER_SUPPORTED)
+    api = f"""
+SELECT state, district, market, 'Vegetables' AS commodity_group, commodity, variety, grade,
+  {_to_num('trim(min_price)')} AS min_price, {_to_num('trim(max_price)')} AS max_price,
+  {_to_num('trim(modal_price)')} AS modal_price, 'Rs./Quintal' AS price_unit,
+  CAST(NULL AS DOUBLE) AS arrival_quantity, CAST(NULL AS VARCHAR) AS arrival_unit,
+  CAST(try_strptime(replace(arrival_date, '-', '/'), '%d/%m/%Y') AS DATE) AS arrival_date,
+  l_orderkey AS batch_id,
+  row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, state, district, market, commodity,
+    variety, grade, replace(arrival_date, '-', '/'), min_price, max_price, modal_price) AS pos
+FROM raw WHERE l_orderkey % 11 <> 0"""
+    incoming = f"""
+SELECT * EXCLUDE (k) FROM (
+  SELECT a.*, row_number() OVER (PARTITION BY arrival_date, state, district, market, commodity, variety, grade
+    ORDER BY batch_id DESC, pos DESC) AS k
+  FROM api a WHERE commodity IN ({names}) AND state IS NOT NULL AND market IS NOT NULL
+    AND commodity IS NOT NULL AND arrival_date IS NOT NULL AND modal_price IS NOT NULL
+) WHERE k = 1"""
+    on = " AND ".join(f"t.{c} = i.{c}" for c in
+                      ["arrival_date", "state", "district", "market", "commodity", "variety", "grade"])
+    merged = f"""
+SELECT coalesce(t.state, i.state) AS state, coalesce(t.district, i.district) AS district,
+  coalesce(t.market, i.market) AS market,
+  CASE WHEN t.state IS NOT NULL THEN t.commodity_group ELSE i.commodity_group END AS commodity_group,
+  coalesce(t.commodity, i.commodity) AS commodity, coalesce(t.variety, i.variety) AS variety,
+  coalesce(t.grade, i.grade) AS grade,
+  CASE WHEN i.state IS NOT NULL THEN i.min_price ELSE t.min_price END AS min_price,
+  CASE WHEN i.state IS NOT NULL THEN i.max_price ELSE t.max_price END AS max_price,
+  CASE WHEN i.state IS NOT NULL THEN i.modal_price ELSE t.modal_price END AS modal_price,
+  CASE WHEN i.state IS NOT NULL THEN i.price_unit ELSE t.price_unit END AS price_unit,
+  CASE WHEN t.state IS NOT NULL THEN t.arrival_quantity ELSE i.arrival_quantity END AS arrival_quantity,
+  CASE WHEN t.state IS NOT NULL THEN t.arrival_unit ELSE i.arrival_unit END AS arrival_unit,
+  coalesce(t.arrival_date, i.arrival_date) AS arrival_date,
+  CASE WHEN i.state IS NOT NULL THEN 'incoming' ELSE 'target' END AS source
+FROM target t FULL OUTER JOIN incoming i ON {on}"""
+    return with_ctes(("prices", PRICES), _BATCHES[0], ("raw", _raw()), ("api", api),
+                     ("incoming", incoming), ("u", merged), body=f"""
+SELECT state, district, market, commodity_group, commodity, variety, grade,
+  {r4('min_price')} AS min_price, {r4('max_price')} AS max_price, {r4('modal_price')} AS modal_price,
+  price_unit, {r4('arrival_quantity')} AS arrival_quantity, arrival_unit,
+  {dstr('arrival_date')} AS arrival_date, source FROM u""")
