@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,7 +50,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this folder to the executors once per application, as ``--py-files`` would."""
+    context = spark.sparkContext
+    if getattr(context, "_llm_shipped", False):
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    name = os.path.join(tempfile.mkdtemp(prefix="llm-code-"), "llm_code.zip")
+    with zipfile.ZipFile(name, "w") as out:
+        out.write(os.path.join(os.path.dirname(here), "__init__.py"), "mandisight/__init__.py")
+        for file in sorted(os.listdir(here)):
+            if file.endswith(".py"):
+                out.write(os.path.join(here, file), f"mandisight/llm/{file}")
+    context.addPyFile(name)
+    context._llm_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
