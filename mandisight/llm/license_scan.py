@@ -210,50 +210,46 @@ def train(docs: DataFrame, notices: dict[str, list[str]] = NOTICES, sample: int
     return calibrated(model, rows.where("held"), false_share)
 
 
-def softmax_column(scores: list[Column], i: int, temperature: float) -> Column:
-    """Probability of class i (scores relative to it stay finite)."""
-    total = F.lit(0.0)
-    for s in scores:
-        total = total + F.exp(F.least(F.lit(60.0), (s - scores[i]) / temperature))
-    return 1 / total
+def probabilities(temperature: float | Column) -> Column:
+    """Class probabilities from the array column ``scores``."""
+    top = F.array_max("scores")
+    powers = F.transform("scores", lambda x: F.exp((x - top) / temperature))
+    total = F.aggregate(powers, F.lit(0.0), lambda a, x: a + x)
+    return F.transform(powers, lambda x: x / total)
 
 
 def calibrated(model: Model, held: DataFrame, false_share: float) -> Model:
     """The temperature of least log loss on the held-out rows, and the least probability of a family."""
     spark = held.sparkSession
-    rows = held.select(F.monotonically_increasing_id().alias("id"), "label", "weight", "grams")
-    scored = score_columns(rows.select("id", "label", "weight", F.explode_outer("grams").alias("gram")),
-                           ["id", "label", "weight"], model, spark)
-    truth = F.lit(None).cast("int")
-    for i, c in enumerate(model.classes):
-        truth = F.when(F.col("label") == c, F.lit(i)).otherwise(truth)
-    scored = written(scored.withColumn("_true", truth), "license-held")
-    scores = [F.col(f"s{i}") for i in range(len(model.classes))]
+    rows = held.select(F.xxhash64("label", "grams").alias("id"), "label", "weight", "grams").dropDuplicates(["id"])
+    scored = with_scores(rows.select("id", "label", "weight", F.explode_outer("grams").alias("gram")),
+                         ["id", "label", "weight"], model, weight_rows(spark, model))
+    places = F.create_map(*[F.lit(x) for i, c in enumerate(model.classes) for x in (c, i)])
+    scored = written(scored.withColumn("_true", places[F.col("label")]), "license-held")
     grid = [0.25, 0.35, 0.5, 0.7, 1.0, 1.4, 2.0, 2.8, 4.0]
-    losses = []
-    for k, t in enumerate(grid):
-        right = F.lit(0.0)
-        for i in range(len(scores)):
-            right = F.when(F.col("_true") == i, softmax_column(scores, i, t)).otherwise(right)
-        losses.append(F.sum(-F.col("weight") * F.log(F.greatest(right, F.lit(1e-12)))).alias(f"l{k}"))
-    loss = scored.agg(*losses).first()
-    if loss["l0"] is not None:
-        model.temperature = grid[min(range(len(grid)), key=lambda k: loss[f"l{k}"])]
-    best = F.greatest(*[softmax_column(scores, i, model.temperature) for i in range(1, len(scores))])
-    edge = scored.where(F.col("_true") == 0).select(
-        F.percentile_approx(best, 1 - false_share, 10_000)).first()[0]
+    each = scored.select("weight", "_true", "scores", F.explode(F.array(*map(F.lit, grid))).alias("t"))
+    losses = (each.select("t", "weight", F.get(probabilities(F.col("t")), F.col("_true")).alias("p"))
+              .groupBy("t").agg(F.sum(-F.col("weight") * F.log(F.greatest("p", F.lit(1e-12)))).alias("loss"))
+              .orderBy("loss", "t").limit(1).collect())  # one row per temperature of the grid
+    if losses:
+        model.temperature = losses[0]["t"]
+    best = F.array_max(F.slice(probabilities(model.temperature), 2, len(model.classes)))
+    edge = scored.where(F.col("_true") == 0).select(best.alias("p")).select(
+        F.percentile_approx("p", 1 - false_share, 10_000)).first()[0]
     model.least = max(MIN_PROBABILITY, min(0.99, edge or 0.0))
     return model
 
 
-def score_columns(grams: DataFrame, keys: list[str], model: Model, spark: SparkSession,
-                  extra: list[Column] | None = None, lookup: DataFrame | None = None) -> DataFrame:
-    """Class scores s0.. per ``keys`` from exploded rows (keys, gram); rows without a known n-gram keep the intercepts."""
-    w = lookup if lookup is not None else weight_rows(spark, model)
-    # The lookup has one row per n-gram of the notices: a bounded size.
-    sums = [(F.coalesce(F.sum(F.col("w")[i]), F.lit(0.0)) + F.lit(b)).alias(f"s{i}")
-            for i, b in enumerate(model.intercepts)]
-    return grams.join(F.broadcast(w), "gram", "left").groupBy(*keys).agg(*sums, *(extra or []))
+def with_scores(grams: DataFrame, keys: list[str], model: Model, lookup: DataFrame,
+                extra: list[Column] | None = None) -> DataFrame:
+    """Class ``scores`` per ``keys`` from exploded rows (keys, gram); rows without a known n-gram keep the intercepts.
+
+    ``lookup`` has one row per n-gram of the notices, a bounded size.
+    """
+    sums = [F.sum(F.col("w")[i]).alias(f"s{i}") for i in range(len(model.classes))]
+    added = grams.join(F.broadcast(lookup), "gram", "left").groupBy(*keys).agg(*sums, *(extra or []))
+    scores = F.array(*[F.coalesce(F.col(f"s{i}"), F.lit(0.0)) + F.lit(b) for i, b in enumerate(model.intercepts)])
+    return added.withColumn("scores", scores).drop(*[f"s{i}" for i in range(len(model.classes))])
 
 
 def weight_rows(spark: SparkSession, model: Model) -> DataFrame:
@@ -275,16 +271,16 @@ def scan(docs: DataFrame, model: Model, notices: dict[str, list[str]] = NOTICES,
     hits = (lines.select("doc_id", "row", "paragraph", F.explode("grams").alias("gram"))
             .join(F.broadcast(weight_rows(spark, model).select("gram")), "gram", "left_semi").distinct())
     held = [F.sum(F.array_contains("in", i).cast("int")).alias(f"t{i}") for i in sizes]
-    scored = score_columns(hits, ["doc_id", "row", "paragraph"], model, spark, held, lookup)
-    scores = [F.col(f"s{i}") for i in range(len(model.classes))]
-    ranked = []
-    for i, family in enumerate(model.classes[1:], 1):
-        cover = F.greatest(F.lit(0.0), *[F.col(f"t{k}") / n for k, (f, n) in sizes.items() if f == family])
-        # Arrays compare by their first differing item: probability, then the earlier family.
-        ranked.append(F.struct(softmax_column(scores, i, model.temperature).alias("p"), F.lit(-i).alias("i"),
-                               F.lit(family).alias("family"), cover.alias("coverage")))
-    likely = scored.select("doc_id", "row", "paragraph", F.greatest(*ranked).alias("b")).where(
-        F.col("b.p") >= model.least)
+    scored = with_scores(hits, ["doc_id", "row", "paragraph"], model, lookup, held)
+    covers = F.array(F.lit(0.0), *[F.greatest(F.lit(0.0), *[
+        F.col(f"t{k}") / n for k, (f, n) in sizes.items() if f == family]) for family in model.classes[1:]])
+    ranked = F.transform(F.slice(F.arrays_zip(probabilities(model.temperature).alias("p"), F.col("covers")), 2,
+                                 len(model.classes)),
+                         # Structs compare by their first differing field: probability, then the earlier family.
+                         lambda x, i: F.struct(x["p"].alias("p"), (-i).alias("i"), x["covers"].alias("coverage"),
+                                               F.get(F.array(*map(F.lit, model.classes[1:])), i).alias("family")))
+    likely = scored.withColumn("covers", covers).select(
+        "doc_id", "row", "paragraph", F.array_max(ranked).alias("b")).where(F.col("b.p") >= model.least)
     judged = likely.withColumn("ok", F.col("b.coverage") >= min_coverage)
     best = F.struct(F.col("ok"), F.col("b.coverage"), F.col("b.p"), (-F.col("paragraph")).alias("at"), F.col("b.family"))
     verdict = judged.groupBy("doc_id", "row").agg(
