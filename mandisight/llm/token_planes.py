@@ -38,6 +38,7 @@ from mandisight.llm.common import fresh_path, offsets_of, table, text_chunks, wr
 MAGIC = b"TIDPLAN1"
 BLOCK = 1 << 16
 UNIT = 1 << 20
+UNITS_PER_TASK = 4
 END_ID = 1
 
 
@@ -193,7 +194,9 @@ def read_units(manifest: DataFrame, keep_ids: bool = False) -> DataFrame:
     totals = manifest.groupBy("shard").agg(F.sum("n_ids").alias("_n"))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select("shard", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("shard_start"))
-    units = manifest.join(starts, "shard").repartition(F.col("shard"), F.col("unit"))
+    # The rows are few but each stands for up to a million ids: a stated number of tasks keeps them apart.
+    tasks = -(-manifest.count() // UNITS_PER_TASK)
+    units = manifest.join(starts, "shard").repartition(max(1, tasks), F.col("shard"), F.col("unit"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -1,7 +1,7 @@
 """Public tokenizer files, word-run splitting and cached library encoding.
 
 Both JSON tokenizers cut a text into pre-tokens before any merge, and no
-pre-token of either crosses the space of a "plain gap": one space between two
+pre-token of either crosses a "plain gap": one space or line feed between two
 characters that are not white space. A text is therefore cut at its plain
 gaps, every distinct run is encoded once per worker, and a document's ids are
 the concatenation of its runs' ids. Runs that are not plain (other white
@@ -12,6 +12,7 @@ space at an end) send their whole document through the library's own
 from __future__ import annotations
 
 import functools
+import itertools
 import json
 from collections.abc import Callable, Iterable
 
@@ -114,9 +115,9 @@ def split_and_encode(runs: list[str], pattern, pieces: RunCache) -> Ragged:
     return pieces.gather(at), np.diff(cuts)
 
 
-# Ends that are white space in any script, an empty run, or the start of special-token text.
-_ODD = (r"^$|^[\x00-\x20\x7f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-        r"|[\x00-\x20\x7f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]$|<\|")
+# White space at an end (but for one line feed before a word), an empty run, or the start of special-token text.
+_WS = r"\x00-\x20\x7f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_ODD = rf"^\n?$|^\n[{_WS}]|^[{_WS.replace('20', '09', 1)}\x0b-\x20]|[{_WS}]$|<\|"
 
 
 def encode_texts(texts: list, cache: RunCache, whole: Callable[[str], np.ndarray],
@@ -129,7 +130,10 @@ def encode_texts(texts: list, cache: RunCache, whole: Callable[[str], np.ndarray
     texts = [t or "" for t in texts]
     n = len(texts)
     column = pa.array(texts, pa.large_string())
-    parts = pc.split_pattern(column, " ")
+    # A single line feed between words is a run's first character, so that runs do not span lines. A space that
+    # was there before it leaves an empty run, which is odd.
+    parts = pc.split_pattern(pc.replace_substring(column, "\n", " \n"), " ") if leading_space \
+        else pc.ascii_split_whitespace(column)
     ends = parts.offsets.to_numpy()
     coded = pc.dictionary_encode(parts.flatten())
     distinct = coded.dictionary.to_pylist()
@@ -141,7 +145,7 @@ def encode_texts(texts: list, cache: RunCache, whole: Callable[[str], np.ndarray
         # The first run of a text has no space before it: give it a code of its own.
         firsts = codes[ends[:-1]]
         used, back = np.unique(firsts, return_inverse=True)
-        runs = [" " + r for r in distinct] + [distinct[i] for i in used]
+        runs = [r if r[:1] == "\n" else " " + r for r in distinct] + [distinct[i] for i in used]
         codes = codes.copy()
         codes[ends[:-1]] = len(distinct) + back
     else:
@@ -169,16 +173,16 @@ def encode_texts(texts: list, cache: RunCache, whole: Callable[[str], np.ndarray
 
 def ragged(ids: list) -> Ragged:
     lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-    flat = np.fromiter((x for row in ids for x in row), np.int32, int(lengths.sum()))
-    return flat, lengths
+    return np.fromiter(itertools.chain.from_iterable(ids), np.int32, int(lengths.sum())), lengths
 
 
 def _library_runs(path: str, words: bool) -> Callable[[list[str]], Ragged]:
     tok, pattern = library(path), regex.compile(WORD_PATTERN if words else BYTE_PATTERN)
-    tokenize, alphabet = tok.model.tokenize, byte_alphabet()
+    tokenize, alphabet, is_simple = tok.model.tokenize, byte_alphabet(), _SIMPLE.fullmatch
 
     def model_ids(pieces: list[str]) -> Ragged:
-        mapped = (p if p.isascii() and p.isalnum() else "".join(map(alphabet.__getitem__, p.encode())) for p in pieces)
+        # ASCII letters and digits stand for themselves in the byte alphabet.
+        mapped = [p if p.isascii() and p.isalnum() else "".join(map(alphabet.__getitem__, p.encode())) for p in pieces]
         return ragged([[t.id for t in tokenize(p)] for p in mapped])
 
     pieces = RunCache(model_ids)
@@ -187,14 +191,17 @@ def _library_runs(path: str, words: bool) -> Callable[[list[str]], Ragged]:
         if not words:
             return split_and_encode(runs, pattern, pieces)
         # Characters beyond the simple ones: the library normalises and splits the run itself.
-        simple = [bool(_SIMPLE.fullmatch(r)) for r in runs]
-        flat, lengths = split_and_encode([r.lower() if ok else "" for r, ok in zip(runs, simple, strict=True)],
-                                         pattern, pieces)
-        if all(simple):
+        simple = np.fromiter((is_simple(r) is not None for r in runs), bool, len(runs))
+        flat, lengths = split_and_encode([r.lower() for r, ok in zip(runs, simple, strict=True) if ok], pattern, pieces)
+        if simple.all():
             return flat, lengths
-        ids = np.split(flat, offsets_of(lengths)[1:-1])
-        return ragged([i if ok else tok.encode(r, add_special_tokens=False).ids
-                       for i, r, ok in zip(ids, runs, simple, strict=True)])
+        more, counts = ragged([tok.encode(r, add_special_tokens=False).ids
+                               for r, ok in zip(runs, simple, strict=True) if not ok])
+        both = np.zeros(len(runs), np.int64)
+        both[simple], both[~simple] = lengths, counts
+        starts = np.zeros(len(runs), np.int64)
+        starts[simple], starts[~simple] = offsets_of(lengths)[:-1], len(flat) + offsets_of(counts)[:-1]
+        return gather_runs(np.concatenate([flat, more]), starts, both), both
 
     return encode
 
