@@ -39,7 +39,7 @@ from mandisight.llm.common import offsets_of, table, text_chunks, written
 CAPACITY = 2048
 END_ID = 0
 #: Pieces of one length numbered by one task.
-PIECES_PER_GROUP = 4096
+PIECES_PER_GROUP = 512
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
