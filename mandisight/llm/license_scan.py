@@ -159,11 +159,13 @@ def examples(spark: SparkSession, docs: DataFrame, notices: dict[str, list[str]]
     at = F.explode(F.sequence(F.lit(0), F.greatest(n - 4, F.lit(0)))).alias("s")
     runs = t.select("family", "words", at).select("family", "words", "s", F.explode(F.array(
         F.lit(4), F.lit(6), F.lit(8), F.lit(12), F.lit(16), F.lit(24), F.lit(64))).alias("k"))
-    runs = runs.select("family", F.slice("words", F.col("s") + 1, F.col("k")).alias("words")).distinct()
+    runs = runs.select("family", F.slice("words", F.col("s") + 1, F.col("k")).alias("part"),
+                       ((F.col("s") == 0) & (F.col("k") >= n)).alias("whole"))
     # What several families share is no evidence for either: it belongs to the unknown class.
-    families = runs.groupBy("words").agg(F.min("family").alias("a"), F.max("family").alias("b"))
+    families = runs.groupBy("part").agg(F.min("family").alias("a"), F.max("family").alias("b"),
+                                        F.max("whole").alias("whole"))
     known = families.select(F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(UNKNOWN).alias("label"),
-                            grams_of(F.col("words")).alias("grams"))
+                            grams_of(F.col("part")).alias("grams"), "whole")
     # Corpus paragraphs as the unknown class, by the hash of their document and number; those that hold a whole
     # short notice are left out, since they are licences.
     lines = docs.select("doc_id", F.posexplode(F.split(F.col("text"), "\n")).alias("paragraph", "line"))
@@ -172,10 +174,12 @@ def examples(spark: SparkSession, docs: DataFrame, notices: dict[str, list[str]]
     near = lines.where(F.pmod(spot, F.lit(1 << 30)) < int(min(1.0, 1.2 * sample / total) * (1 << 30)))
     some = near.orderBy(spot).limit(sample).select(grams_of(words_of(F.col("line"))).alias("grams"))
     shared = F.size(F.array_intersect("grams", F.array(*[F.lit(g) for g in vocabulary])))
-    background = some.where(shared < 3).select(F.lit(UNKNOWN).alias("label"), "grams")
+    background = some.where(shared < 3).select(F.lit(UNKNOWN).alias("label"), "grams", F.lit(False).alias("whole"))
     # Known examples are few: each stands for several rows of the corpus sample.
     rows = known.withColumn("weight", F.lit(5.0)).unionByName(background.withColumn("weight", F.lit(1.0)))
-    return rows.withColumn("held", F.pmod(F.xxhash64("grams"), F.lit(4)) == 0), vocabulary
+    # Whole notices are always trained on.
+    held = (F.pmod(F.xxhash64("grams"), F.lit(4)) == 0) & ~F.col("whole")
+    return rows.withColumn("held", held).drop("whole"), vocabulary
 
 
 class Model:
