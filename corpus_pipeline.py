@@ -14,7 +14,7 @@ from mandisight.llm import host_rules, lang_id, ngram_join, packing
 from mandisight.llm.common import fresh_path, ship
 
 #: Documents whose predicted language is less certain than this are rejected.
-MIN_LANGUAGE_SCORE = 0.5
+MIN_LANGUAGE_SCORE = 0.3
 
 
 def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

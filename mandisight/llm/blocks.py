@@ -18,24 +18,32 @@ from pyspark.sql import functions as F
 from mandisight.llm.common import written
 from mandisight.llm.components import connected_components, local_components
 
+#: Rows of units that one task compares.
+ROWS_PER_TASK = 8192
+
 #: Links of a unit as (position, position); ``left`` marks members of the first block.
 Finder = Callable[[pd.DataFrame, np.ndarray, bool], tuple[np.ndarray, np.ndarray]]
 
 
-def in_block_pairs(members: DataFrame, group: list[str], size: int, group_sizes: DataFrame) -> DataFrame:
-    """A row of ``members`` (with ``rep``) for every unit it takes part in: ``_i``, ``_j`` and its block ``_b``.
+def in_block_pairs(members: DataFrame, group: list[str], size: int, group_sizes: DataFrame) -> tuple[DataFrame, int]:
+    """A row of ``members`` (with ``rep``) for every unit it takes part in: ``_i``, ``_j`` and its block ``_b``;
+    and how many rows that makes.
 
     ``group_sizes``: the group columns and ``_n``, the number of members.
     """
     blocks = F.ceil(F.col("_n") / size).cast("int")
     dealt = members.join(group_sizes, group).withColumn("_b", F.pmod(F.xxhash64("rep"), blocks).cast("int"))
     other = F.explode(F.sequence(F.lit(0), blocks - 1))
+    rows = group_sizes.agg(F.sum(F.col("_n") * blocks)).first()[0] or 0
     return dealt.withColumn("_o", other).select(
-        *members.columns, F.least("_b", "_o").alias("_i"), F.greatest("_b", "_o").alias("_j"), "_b")
+        *members.columns, F.least("_b", "_o").alias("_i"), F.greatest("_b", "_o").alias("_j"), "_b"), rows
+
 
+def linked(units: DataFrame, group: list[str], find: Finder, rows: int) -> DataFrame:
+    """(rep, n_links, root) of the members that have links in a unit; ``units`` has ``rep`` and ``copies``.
 
-def linked(units: DataFrame, group: list[str], find: Finder) -> DataFrame:
-    """(rep, n_links, root) of the members that have links in a unit; ``units`` has ``rep`` and ``copies``."""
+    ``rows``: how many rows ``units`` has. The tasks follow it, since comparing costs more than the bytes show.
+    """
     keys = [*group, "_i", "_j"]
 
     def work(unit: pd.DataFrame) -> pd.DataFrame | None:
@@ -80,7 +88,7 @@ def linked(units: DataFrame, group: list[str], find: Finder) -> DataFrame:
             if out is not None:
                 yield out
 
-    dealt = units.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys)
+    dealt = units.repartition(max(1, -(-rows // ROWS_PER_TASK)), *keys).sortWithinPartitions(*keys)
     return dealt.mapInPandas(run, "rep long, n_links long, root long")
 
 

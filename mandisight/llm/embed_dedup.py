@@ -209,7 +209,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, confidence
             finders[dim] = finder(dim, threshold, confidence)
         return finders[dim](unit, left, inner)
 
-    found = classes(linked(units, group, find))
+    in_block = dealt.groupBy(*group, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    n = in_pair.join(in_block, [*group, "_b"]).agg(F.sum("_n")).first()[0] or 0
+    found = classes(linked(units, group, find, n))
     result = distinct.join(found, "rep", "left").select(
         "label", "v", (F.col("copies") - 1 + F.coalesce("n_links", F.lit(0))).alias("_links"),
         F.coalesce("component", "rep").alias("_component"))

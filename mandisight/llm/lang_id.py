@@ -169,7 +169,8 @@ class Model:
             score[rows] = 0.0
             return languages, score
         for a, b, counts in batches_of_counts([texts[i] for i in rows], len(self.idf)):
-            p = softmax(tf_idf(counts, self.idf)[:, self.live] @ self.weights / self.temperature)
+            # Not a matrix product: a row scores the same in any batch.
+            p = softmax(np.einsum("ij,jk->ik", tf_idf(counts, self.idf)[:, self.live], self.weights) / self.temperature)
             best = p.argmax(axis=1)
             for i, k, s in zip(rows[a:b], best, p.max(axis=1), strict=True):
                 languages[i], score[i] = self.languages[k], s

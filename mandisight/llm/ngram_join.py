@@ -215,8 +215,8 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, words: int = WOR
     sets = written(shingle_sets(
         source.dropDuplicates(["rep"]).join(candidates.join(copies.drop("key"), "rep"), "rep"), words), "shingles")
     sizes = sets.groupBy("_group").agg(F.count(F.lit(1)).alias("_n"))
-    units = in_block_pairs(sets, ["_group"], block, sizes)
-    found = classes(linked(units, ["_group"], find_links(threshold)))
+    units, n = in_block_pairs(sets, ["_group"], block, sizes)
+    found = classes(linked(units, ["_group"], find_links(threshold), n))
     # One row per class of equal words, then back to every document of the class.
     result = copies.join(found, "rep", "left").select(
         "key", (F.col("copies") - 1 + F.coalesce("n_links", F.lit(0))).alias("n_links"),

@@ -40,6 +40,8 @@ ARCHIVE_BYTES = 64 << 20
 STRETCH_BYTES = 4 << 20
 GAP_BYTES = 64 << 10
 RUN_BYTES = 8 << 20
+#: Archive bytes that a reading task is meant to fetch.
+TASK_BYTES = 16 << 20
 WARC_DATE = "2024-01-01T00:00:00Z"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -162,7 +164,11 @@ def read_records(index: DataFrame, gap: int = GAP_BYTES, most: int = RUN_BYTES,
 
     schema = ("page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
               + ", html string" * keep_html)
-    return index.select("archive", "stretch", "offset", "length").groupBy("archive", "stretch").applyInPandas(run, schema)
+    # Index rows are small but stand for archive bytes: the number of tasks follows those.
+    held = index.agg(F.sum("length")).first()[0] or 0
+    dealt = index.select("archive", "stretch", "offset", "length").repartition(
+        max(1, -(-held // TASK_BYTES)), "archive", "stretch")
+    return dealt.groupBy("archive", "stretch").applyInPandas(run, schema)
 
 
 def op9_warc_index_first(spark: SparkSession, sf_dir: str) -> DataFrame:

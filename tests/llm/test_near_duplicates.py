@@ -109,7 +109,9 @@ def test_components(spark):
 def test_units_hold_every_pair_once(spark):
     members = written(spark.range(50).selectExpr("id AS rep", "id % 2 AS g", "1L AS copies"), "m")
     sizes = members.groupBy("g").count().withColumnRenamed("count", "_n")
-    units = blocks.in_block_pairs(members, ["g"], 6, sizes).toPandas()
+    units, n = blocks.in_block_pairs(members, ["g"], 6, sizes)
+    units = units.toPandas()
+    assert len(units) == n
     seen = Counter()
     for (g, i, j), u in units.groupby(["g", "_i", "_j"]):
         assert len(u) <= 24

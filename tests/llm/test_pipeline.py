@@ -47,7 +47,7 @@ def test_stages_keep_columns_and_awkward_rows(spark):
         assert {r.score for r in out.collect()} <= {"mine"}
         assert staged(spark, empty(spark), stage).count() == 0
     quality = [r.doc_id for r in staged(spark, docs, "quality_rules").collect()]
-    assert sorted(map(str, quality)) == sorted(map(str, [11, 15, 15, 16, None]))
+    assert sorted(map(str, quality)) == ["15", "None"]  # both hosts fail mostly; these rows have none
     single = [r.doc_id for r in staged(spark, docs, "near_duplicates").collect()]
     assert single.count(15) == 1 and 16 not in single and None in single and len(single) == len(TEXTS) + 2
     assert staged(spark, empty(spark), "packing").count() == 0
