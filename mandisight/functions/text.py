@@ -1,9 +1,9 @@
 """Text cleaning for speech (J1-J3) as ordered ``regexp_replace`` chains.
 
-Character classes are spelled in ASCII (``[ \\t\\n\\r\\x0B\\x0C]`` for
-whitespace, ``[0-9]`` for digits) and ``(?d)`` makes ``.``/``^`` treat only
-``\\n`` as a line end, so Java gives the same matches as the line-oriented
-patterns they re-state.
+White space and digits are the Unicode ones: ``\\p{Nd}`` for digits, and the
+characters that count as white space spelled out in ``WS`` (Java's ``\\s`` is
+ASCII unless a flag is set). ``(?d)`` makes ``.`` and ``^`` treat only a line
+feed as a line end.
 """
 
 from __future__ import annotations
@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-WS = r"[ \t\n\r\x0B\x0C]"
+# The white-space characters of the reference's text patterns.
+WS = r"[\x09-\x0D\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
 
 # Markdown removal steps, in order (pattern, replacement).
 MARKDOWN_STEPS = [
@@ -21,7 +22,7 @@ MARKDOWN_STEPS = [
     (rf"(?dm)^{WS}*#+{WS}*", ""),                 # headings
     (r"\*\*|__|\*|_", ""),                        # bold / italic marks
     (rf"(?dm)^{WS}*[-*+]{WS}+", ""),              # bullet markers
-    (rf"(?dm)^{WS}*[0-9]+\.{WS}+", ""),           # numbered markers
+    (rf"(?dm)^{WS}*\p{{Nd}}+\.{WS}+", ""),        # numbered markers
 ]
 
 
@@ -36,7 +37,7 @@ def clean_text_for_speech(text, language_code) -> Column:
         t = F.regexp_replace(t, pattern, repl)
     t = F.translate(t, "\r\n", "  ")
     t = F.when(_c(language_code) == "te", F.regexp_replace(t, "[A-Za-z]+", "")).otherwise(t)
-    t = F.trim(F.regexp_replace(t, f"{WS}+", " "))
+    t = F.trim(F.regexp_replace(t, f"{WS}+", " "))  # one plain space is all that is left at the ends
     return F.when(_c(text).isNull() | (_c(text) == ""), F.lit("")).otherwise(t)
 
 

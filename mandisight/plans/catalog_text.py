@@ -108,8 +108,19 @@ def q_market_payload_default(spark, sf_dir):
                       r4("max_price").alias("max_price"), r4("min_price").alias("min_price"))
 
 
+# Openings put before the documents' texts, which hold no markdown of their
+# own: list markers with Telugu and Devanagari digits, wide and no-break spaces.
+OPENINGS = ["", "\u0967. ", "\u0c67\u0c68.\u00a0", "\u00a0-\u3000", "\u2003## **A**\u00a0\u00a0b\u2009\n1. [c](d) `e`\n"]
+
+
+def _marked_texts(spark, sf_dir):
+    opening = F.element_at(F.array(*[F.lit(o) for o in OPENINGS]), (F.col("doc_id") % len(OPENINGS) + 1).cast("int"))
+    return dt.table(spark, sf_dir, "documents").select(
+        "doc_id", F.concat(opening, "text").alias("text"), "lang")
+
+
 def q_text_clean(spark, sf_dir):
-    d = dt.table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    d = _marked_texts(spark, sf_dir)
     code = language_code(F.col("lang"))
     return d.select("doc_id", code.alias("lang_code"),
                     clean_text_for_speech(F.col("text"), code).alias("clean_text"))
@@ -121,7 +132,7 @@ LANGUAGE_NAMES = ["Telugu", "te-IN", "Hindi", "hi", "Tamil", "ta-IN", "English",
 
 
 def q_text_script_filter(spark, sf_dir):
-    d = dt.table(spark, sf_dir, "documents").select("doc_id", "text")
+    d = _marked_texts(spark, sf_dir)
     name = F.element_at(F.array(*[F.lit(n) for n in LANGUAGE_NAMES]),
                         (F.col("doc_id") % len(LANGUAGE_NAMES) + 1).cast("int"))
     code = language_code(name)

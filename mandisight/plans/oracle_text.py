@@ -6,7 +6,6 @@ from ..operators.payload import ASSISTANT_NAME, FALLBACK_ADVISORY, SYSTEM_PROMPT
 from .sqlrules import RULE_CTES, fmt0
 from .sqltext import LATEST_ROW, PRICES, REQUESTS, SERIES, dstr, r4, rhe, with_ctes
 
-WS = r"[ \t\n\r\x0B\x0C]"
 
 
 def lit(s: str) -> str:
@@ -150,23 +149,33 @@ def lang_code(name: str) -> str:
     return f"(CASE {tags} {names} ELSE 'en' END)"
 
 
+# White space as RE2 names it: Unicode separators, the ASCII controls that separate, and NEL.
+SPACE = r"[\p{Z}\t\n\v\f\r\x1c-\x1f\x{85}]"
+
+
 def clean_text(text: str, code: str) -> str:
-    steps = [(r"```[\s\S]*?```", ""), (r"`.*?`", ""), (r"\[([^\]]+)\]\([^\)]+\)", r"\1"),
-             (rf"(?m)^{WS}*#+{WS}*", ""), (r"\*\*|__|\*|_", ""),
-             (rf"(?m)^{WS}*[-*+]{WS}+", ""), (rf"(?m)^{WS}*[0-9]+\.{WS}+", "")]
+    steps = [("(?s)```.*?```", ""), ("`[^`\n]*`", ""), (r"\[([^\]]+)\]\([^)]+\)", r"\1"),
+             (f"(?m)^{SPACE}*#+{SPACE}*", ""), ("[*_]", ""),
+             (f"(?m)^{SPACE}*[+*-]{SPACE}+", ""), (rf"(?m)^{SPACE}*\p{{Nd}}+\.{SPACE}+", "")]
     t = text
     for pat, rep in steps:
         t = f"regexp_replace({t}, {lit(pat)}, {lit(rep)}, 'g')"
-    t = f"translate({t}, chr(13) || chr(10), '  ')"
-    t = f"(CASE WHEN {code} = 'te' THEN regexp_replace({t}, '[A-Za-z]+', '', 'g') ELSE {t} END)"
-    t = f"trim(regexp_replace({t}, {lit(WS + '+')}, ' ', 'g'))"
-    return f"(CASE WHEN {text} IS NULL OR {text} = '' THEN '' ELSE {t} END)"
+    t = f"(CASE WHEN {code} = 'te' THEN regexp_replace({t}, '[A-Za-z]', '', 'g') ELSE {t} END)"
+    t = f"trim(regexp_replace({t}, {lit(SPACE + '+')}, ' ', 'g'))"
+    return f"coalesce({t}, '')"
+
+
+# The openings of the registered query, stated once more as SQL.
+MARKED = """(SELECT doc_id, lang, CASE doc_id % 5 WHEN 0 THEN '' WHEN 1 THEN chr(2407) || '. '
+  WHEN 2 THEN chr(3175) || chr(3176) || '.' || chr(160) WHEN 3 THEN chr(160) || '-' || chr(12288)
+  ELSE chr(8195) || '## **A**' || chr(160) || chr(160) || 'b' || chr(8201) || chr(10) || '1. [c](d) `e`' || chr(10)
+  END || text AS text FROM documents)"""
 
 
 def _text_clean() -> str:
     return f"""
 SELECT doc_id, lang_code, {clean_text('text', 'lang_code')} AS clean_text
-FROM (SELECT doc_id, text, {lang_code('lang')} AS lang_code FROM documents)"""
+FROM (SELECT doc_id, text, {lang_code('lang')} AS lang_code FROM {MARKED})"""
 
 
 def _text_script_filter() -> str:
@@ -175,7 +184,7 @@ def _text_script_filter() -> str:
     return f"""
 SELECT doc_id, language_name, lang_code, {clean_text('text', 'lang_code')} AS clean_text
 FROM (SELECT doc_id, text, language_name, {lang_code('language_name')} AS lang_code FROM (
-  SELECT doc_id, text, ({arr})[CAST(doc_id % {len(LANGUAGE_NAMES)} + 1 AS INTEGER)] AS language_name FROM documents))"""
+  SELECT doc_id, text, ({arr})[CAST(doc_id % {len(LANGUAGE_NAMES)} + 1 AS INTEGER)] AS language_name FROM {MARKED}))"""
 
 
 def infer(risk: str, trend: str, text: str) -> str:
