@@ -1,16 +1,16 @@
 """Command line for the everyday flows over stored data.
 
-  python -m mandisight.cli bulk-load REPORTS_DIR TABLE
+  python -m mandisight.cli bulk-load REPORTS_DIR TABLE REPORT_OUT [--merge]
   python -m mandisight.cli api-sync LANDING_DIR TABLE [--commodities Onion,Potato,...]
   python -m mandisight.cli carry-forward TABLE LOG [--run-date YYYY-MM-DD]
   python -m mandisight.cli sync-status TABLE LOG
   python -m mandisight.cli history TABLE --commodity X [--market M] [--variety V]
-                                         [--state S] [--district D] [--days 7]
+                                         [--state S] [--district D] [--days 7] --out OUT
   python -m mandisight.cli advisory TABLE REQUESTS FORECASTS PROFILES OUT
 
-Paths may be any Hadoop-compatible URI. Results that are tables are written
-with Spark; only small reports (per-file counts, one status row, one
-history answer) are printed.
+Paths may be any Hadoop-compatible URI. Results that are tables, per-file load
+reports and history answers included, are written whole with Spark as
+Parquet; only single rows of counts or status are printed.
 """
 
 from __future__ import annotations
@@ -28,10 +28,7 @@ from .sources.profiles import read_profiles
 
 
 def _session() -> SparkSession:
-    spark = SparkSession.builder.appName("mandisight").getOrCreate()
-    from .session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(spark)
-    return spark
+    return SparkSession.builder.appName("mandisight").getOrCreate()
 
 
 def main(argv=None) -> None:
@@ -40,6 +37,8 @@ def main(argv=None) -> None:
     b = sub.add_parser("bulk-load")
     b.add_argument("reports")
     b.add_argument("table")
+    b.add_argument("report_out")
+    b.add_argument("--merge", action="store_true", help="upsert into the stored table instead of replacing it")
     a = sub.add_parser("api-sync")
     a.add_argument("landing")
     a.add_argument("table")
@@ -57,6 +56,7 @@ def main(argv=None) -> None:
     for opt in ("market", "variety", "state", "district"):
         h.add_argument(f"--{opt}")
     h.add_argument("--days", type=int, default=7)
+    h.add_argument("--out", required=True)
     v = sub.add_parser("advisory")
     for arg in ("table", "requests", "forecasts", "profiles", "out"):
         v.add_argument(arg)
@@ -65,7 +65,8 @@ def main(argv=None) -> None:
     spark = _session()
     if args.cmd == "bulk-load":
         m: dict = {}
-        jobs.run_bulk_load(spark, args.reports, args.table, metrics=m).show(truncate=False)
+        report = jobs.run_bulk_load(spark, args.reports, args.table, metrics=m, replace=not args.merge)
+        report.write.mode("overwrite").parquet(args.report_out)
         print(m)
     elif args.cmd == "api-sync":
         jobs.run_api_sync(spark, args.landing, args.table, args.commodities.split(",")).show()
@@ -78,7 +79,7 @@ def main(argv=None) -> None:
         params = {"commodity": args.commodity, "market": args.market, "variety": args.variety,
                   "state": args.state, "district": args.district}
         t = reports.read_price_table(spark, args.table)
-        history.filtered_history(t, params, args.days).show(1000, truncate=False)
+        history.filtered_history(t, params, args.days).write.mode("overwrite").parquet(args.out)
     elif args.cmd == "advisory":
         t = reports.read_price_table(spark, args.table)
         req = spark.read.json(args.requests)

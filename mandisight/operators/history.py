@@ -108,6 +108,8 @@ def filtered_history_sets(df: DataFrame, param_sets: Sequence[dict], days: int =
     proven bound), so the final semi join broadcasts it. Two scans in total,
     whatever the number of sets.
     """
+    # A row that passes no set goes before anything is built for it, at the scan where the set's fields allow it.
+    df = df.where(reduce(lambda a, b: a | b, [filter_predicate(p, "not_none") for p in param_sets]))
     ids = F.array_compact(F.array(*[F.when(filter_predicate(p, "not_none"), F.lit(i))
                                     for i, p in enumerate(param_sets)]))
     tagged = df.withColumn("filter_id", F.explode(ids))

@@ -9,7 +9,7 @@ huge feed is combined map-side before any shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import parse_lenient_timestamp
@@ -23,9 +23,23 @@ MSG_EMPTY = "Weather forecast contains no entries."
 
 
 def read_forecast_docs(spark: SparkSession, path: str) -> DataFrame:
-    """A4: landed forecast documents (JSON lines) -> flat blocks."""
+    """A4: landed forecast documents (JSON lines) -> flat blocks of the latest document per location.
+
+    The latest is the one with the greatest ``fetched_at``, then the newest
+    file, then the last line; it is chosen whole, before any reduction, so a
+    stale document adds neither dates nor a status. Documents without a
+    location are one location of their own.
+    """
     docs = spark.read.schema(FORECAST_DOC).json(path)
-    return blocks_from_docs(docs)
+    order = F.struct("fetched_at", F.col("_metadata.file_modification_time"), F.col("_metadata.file_path"),
+                     F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    return blocks_from_docs(latest_documents(docs, order))
+
+
+def latest_documents(docs: DataFrame, order: Column) -> DataFrame:
+    """One document per location, the one of greatest ``order`` (combined in every task before the shuffle)."""
+    latest = docs.select("location_id", F.struct("cod", "city", "list").alias("d"), order.alias("o"))
+    return latest.groupBy("location_id").agg(F.max_by("d", "o").alias("d")).select("location_id", "d.*")
 
 
 def blocks_from_docs(docs: DataFrame) -> DataFrame:
@@ -85,23 +99,14 @@ def daily(blocks: DataFrame, days: DataFrame | None = None) -> DataFrame:
         "conditions", "day_rank")
 
 
-def locations(blocks: DataFrame, days: DataFrame | None = None) -> DataFrame:
-    """One row per forecast document (location) with its status fields."""
-    d = days if days is not None else per_day(blocks)
-    return d.groupBy("location_id").agg(
-        F.max("status_ok").alias("status_ok"), F.sum("n_entries").alias("n_entries"),
-        F.max("city_name").alias("city_name"), F.max("lat").alias("lat"), F.max("lon").alias("lon"))
-
-
-def horizon(blocks: DataFrame, days: DataFrame | None = None) -> DataFrame:
+def horizon(blocks: DataFrame) -> DataFrame:
     """G2 + I21: per-location extremes over the first five valid dates, with
     availability, from one scan of the blocks.
 
     Per-(location, date) rows (``per_day``) are ranked per location with valid
     dates first, then one aggregate per location reads the status over all
     dates and the extremes over ranks 1-5; the aggregate reuses the window's
-    clustering, so the chain has two exchanges and no second scan. ``days``
-    is accepted for callers that already hold the daily table and ignored.
+    clustering, so the chain has two exchanges and no second scan.
     """
     d = per_day(blocks)
     valid = d["status_ok"] & (d["n_valid"] > 0) & d["date"].isNotNull()

@@ -27,8 +27,7 @@ def weather_days(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def weather_horizon(spark: SparkSession, sf_dir: str) -> DataFrame:
-    blocks = dt.forecast_blocks(spark, sf_dir)
-    return weather.horizon(blocks, weather.daily(blocks))
+    return weather.horizon(dt.forecast_blocks(spark, sf_dir))
 
 
 def advisory_table(spark: SparkSession, sf_dir: str, strict: bool = True) -> DataFrame:

@@ -13,6 +13,8 @@ PRICE_COLUMNS = [
 KEY_COLUMNS = [
     "arrival_date", "state", "district", "market", "commodity", "variety", "grade",
 ]
+# The column lists and field names below are those of the stored
+# table, the report files, the API records, the forecast and the profile JSON.
 TEXT_COLUMNS = [
     "state", "district", "market", "commodity_group", "commodity",
     "variety", "grade", "price_unit", "arrival_unit",
@@ -65,6 +67,7 @@ FORECAST_ENTRY = T.StructType([
 ])
 FORECAST_DOC = T.StructType([
     T.StructField("location_id", T.LongType(), True),
+    T.StructField("fetched_at", T.StringType(), True),  # when it was landed, if the lander says so
     T.StructField("cod", T.StringType(), True),
     T.StructField("list", T.ArrayType(FORECAST_ENTRY), True),
     T.StructField("city", T.StructType([

@@ -50,14 +50,18 @@ def build_session(app: str = "mandisight", cpus: int | str = "*",
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the cluster.
 
-    ``spark.checkpoint.dir`` is read from the session; a scratch folder is
-    set only when the setting is absent (local tests).
+    ``spark.checkpoint.dir`` is read from the session. Where it is absent a
+    scratch folder is set for a single-machine session (tests, bench); on a
+    cluster each machine would have its own, so that is an error.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         current = tempfile.mkdtemp(prefix="mandisight-ckpt-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", current)
-    spark.sparkContext.setCheckpointDir(current)
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(current)
     return current
 
 

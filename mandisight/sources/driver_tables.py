@@ -11,7 +11,7 @@ with one fixed mapping (the same text is used by the SQL oracle):
 
 ``nation`` and ``region`` are broadcast unconditionally: TPC-H fixes them
 at 25 and 5 rows. ``part`` and ``supplier`` grow with the scale factor, so
-they are broadcast only behind a row-count check (``sizing``); above the
+they are broadcast only behind a size check (``sizing``); above the
 bound the planner shuffles both sides on the join key.
 """
 
@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numbers import cents_text
-from .sizing import broadcast_if_small, spread
+from .sizing import broadcast_if_small, spread_small
 
 # Ingest order of a price observation (later = larger); the keep-last rules
 # order by these after the business columns.
@@ -33,21 +33,14 @@ def table_path(sf_dir: str, name: str) -> str:
     return f"{sf_dir.rstrip('/')}/{name}.parquet"
 
 
-# Tables whose size grows with the data; their scans are spread over the
-# cores when the files yield too few splits.
+# Tables of events and facts; while small, their scans are dealt over the cores.
 FACT_TABLES = {"lineitem", "orders", "events", "documents", "customer", "conversations", "pages"}
 
 
-_scans: dict[tuple[int, str, str], DataFrame] = {}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Scan of a driver table; the read-only inputs are listed once per session."""
-    key = (id(spark), spark.sparkContext.applicationId, table_path(sf_dir, name))
-    if key not in _scans:
-        df = spark.read.parquet(key[2])
-        _scans[key] = spread(spark, df) if name in FACT_TABLES else df
-    return _scans[key]
+    """Scan of a driver table."""
+    df = spark.read.parquet(table_path(sf_dir, name))
+    return spread_small(df) if name in FACT_TABLES else df
 
 
 def market_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,8 +61,8 @@ def prices(spark: SparkSession, sf_dir: str, with_ties: bool = True) -> DataFram
         "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_shipdate")
     part = table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_brand")
     dim = market_dim(spark, sf_dir)
-    part = broadcast_if_small(spark, part, table_path(sf_dir, "part"))
-    dim = broadcast_if_small(spark, dim, table_path(sf_dir, "supplier"))
+    part = broadcast_if_small(part, table(spark, sf_dir, "part"))
+    dim = broadcast_if_small(dim, table(spark, sf_dir, "supplier"))
     j = (li.join(part, li.l_partkey == part.p_partkey)
          .join(dim, li.l_suppkey == dim.s_suppkey))
     modal = F.try_divide(F.col("l_extendedprice"), F.col("l_quantity"))

@@ -55,11 +55,6 @@ def literal_table(spark: SparkSession, rows, columns) -> DataFrame:
     return spark.sql(f"SELECT * FROM VALUES {values} AS t({', '.join(columns)})")
 
 
-def profile_table(spark: SparkSession) -> DataFrame:
-    """One row per crop key (six rows: a bounded, broadcastable table)."""
-    return literal_table(spark, PROFILE_VALUES, PROFILE_COLUMNS)
-
-
 def driver_profile_table(spark: SparkSession) -> DataFrame:
     """Profiles keyed by the lower-cased driver commodity (``p_type``)."""
     prof = {r[0]: r for r in PROFILE_VALUES}
@@ -87,8 +82,3 @@ def read_profiles(spark: SparkSession, path: str) -> DataFrame:
     return (raw.select(F.explode(F.from_json("value", PROFILE_MAP)).alias("crop_key", "p"))
             .select("crop_key", "p.*"))
 
-
-def profiles_from_text(df: DataFrame, text_col: str) -> DataFrame:
-    """Same parse over a DataFrame column holding profile documents."""
-    return (df.select(F.explode(F.from_json(text_col, PROFILE_MAP)).alias("crop_key", "p"))
-            .select("crop_key", "p.*"))

@@ -1,53 +1,41 @@
-"""Size-checked broadcast of dimension tables.
-
-Spark's size estimate for a join multiplies its inputs, so a small
-dimension joined to two tiny lookups looks too big to broadcast and the
-fact side gets shuffled; AQE only fixes that after the shuffle ran. Here the
-dimension's row count is read first (a Parquet scan without filters is
-answered from the file footers) and the broadcast hint is added only under
-a fixed row bound. Above it the planner keeps its shuffle join, so the hint
-never depends on growth of the data it is applied to.
+"""Size checks from the scan's own statistics.
+
+A file scan's statistics are the bytes of its files at planning time, so
+nothing is counted, run or remembered: a table that has grown is judged by
+its new size.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# At most this many dimension rows (a few narrow columns, < ~64 MB) are
-# broadcast; larger dimensions take a shuffle join.
-MAX_BROADCAST_ROWS = 500_000
-
-_row_counts: dict[tuple[int, str, str], int] = {}
+# Tables of at most this many file bytes (a million or two narrow rows) are
+# broadcast; larger ones take a shuffle join.
+MAX_BROADCAST_BYTES = 16 << 20
+# Tables of at most this many file bytes may be dealt over the cores.
+MAX_SPREAD_BYTES = 256 << 20
 
 
-def table_rows(spark: SparkSession, path: str) -> int:
-    key = (id(spark), spark.sparkContext.applicationId, path)
-    if key not in _row_counts:
-        _row_counts[key] = spark.read.parquet(path).count()
-    return _row_counts[key]
+def file_bytes(df: DataFrame) -> int:
+    """Bytes of the files a plain scan reads."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def broadcast_if_small(spark: SparkSession, df: DataFrame, source_path: str,
-                       max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """``broadcast(df)`` when the table it comes from has at most ``max_rows``
-    rows (``df`` must not have more rows than its source table)."""
-    return F.broadcast(df) if table_rows(spark, source_path) <= max_rows else df
+def broadcast_if_small(df: DataFrame, source: DataFrame) -> DataFrame:
+    """``broadcast(df)`` when ``source``, the scan it comes from, is small
+    (``df`` must not have more rows than its source table)."""
+    return F.broadcast(df) if file_bytes(source) <= MAX_BROADCAST_BYTES else df
 
 
-def spread(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """Spread a scan that yields fewer tasks than the cluster has cores.
+def spread_small(df: DataFrame) -> DataFrame:
+    """Deal a small table over the cores.
 
-    A file written as one row group reads as one task, so every per-row step
-    above it (joins, expressions, the map side of aggregations) runs on one
-    core. Then a round-robin repartition to the default parallelism is
-    cheap and spreads the work; a large input already has at least that
-    many splits and is left untouched (no extra shuffle at scale).
-    Round-robin repartitioning sorts rows first, so a retried task
-    reproduces the same partitions.
+    A small file written as one row group reads as one task, so every
+    per-row step above it would run on one core. The shuffle is bounded by
+    ``MAX_SPREAD_BYTES``; larger tables are read as they are split on disk,
+    whatever the number of cores.
     """
-    target = spark.sparkContext.defaultParallelism
-    splits = df._jdf.queryExecution().executedPlan().execute().getNumPartitions()
-    if splits < target:
-        return df.repartition(target)
-    return df
+    if file_bytes(df) > MAX_SPREAD_BYTES:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)

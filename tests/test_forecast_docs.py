@@ -30,3 +30,15 @@ def test_forecast_documents(spark, tmp_path):
     assert not h[2].available and h[2].message == "Weather forecast is unavailable."
     assert not h[3].available and h[3].message == "Weather forecast contains no entries."
     assert h[2].max_rain_probability_percent == 0.0
+
+
+def test_only_the_latest_document_counts(spark, tmp_path):
+    def doc(fetched, day, temp, name, cod="200"):
+        return {"location_id": 7, "fetched_at": fetched, "cod": cod, "city": {"name": name, "coord": {"lat": temp}},
+                "list": [{"dt_txt": f"2026-07-{day} 00:00:00", "main": {"temp": temp}, "pop": 0.1, "weather": []}]}
+    (tmp_path / "a.json").write_text("\n".join(json.dumps(d) for d in [
+        doc("2026-07-10", 10, 20.0, "New"), doc("2026-07-01", "01", 45.0, "Old")]))
+    (tmp_path / "b.json").write_text(json.dumps(doc("2026-07-05", "05", 50.0, "Older", "404")))
+    h = weather.horizon(weather.read_forecast_docs(spark, str(tmp_path))).collect()
+    assert [(r.location, r.n_days, r.max_forecast_temp_c, r.latitude, r.available) for r in h] == [
+        ("New", 1, 20.0, 20.0, True)]
