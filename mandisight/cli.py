@@ -2,6 +2,7 @@
 
   python -m mandisight.cli bulk-load REPORTS_DIR TABLE REPORT_OUT [--merge]
   python -m mandisight.cli api-sync LANDING_DIR TABLE [--commodities Onion,Potato,...]
+  python -m mandisight.cli incremental-sync LANDING_DIR TABLE CHECKPOINT [--commodities ...]
   python -m mandisight.cli carry-forward TABLE LOG [--run-date YYYY-MM-DD]
   python -m mandisight.cli sync-status TABLE LOG
   python -m mandisight.cli history TABLE --commodity X [--market M] [--variety V]
@@ -25,6 +26,7 @@ from .operators.history import SUPPORTED_COMMODITIES
 from .plans import advisory, jobs
 from .sources import reports
 from .sources.profiles import read_profiles
+from .streaming import incremental_sync
 
 
 def _session() -> SparkSession:
@@ -43,6 +45,10 @@ def main(argv=None) -> None:
     a.add_argument("landing")
     a.add_argument("table")
     a.add_argument("--commodities", default=",".join(SUPPORTED_COMMODITIES))
+    n = sub.add_parser("incremental-sync")
+    for arg in ("landing", "table", "checkpoint"):
+        n.add_argument(arg)
+    n.add_argument("--commodities", default=",".join(SUPPORTED_COMMODITIES))
     c = sub.add_parser("carry-forward")
     c.add_argument("table")
     c.add_argument("log")
@@ -70,6 +76,10 @@ def main(argv=None) -> None:
         print(m)
     elif args.cmd == "api-sync":
         jobs.run_api_sync(spark, args.landing, args.table, args.commodities.split(",")).show()
+    elif args.cmd == "incremental-sync":
+        for counts in incremental_sync.sync_table(spark, args.landing, args.table, args.checkpoint,
+                                                  args.commodities.split(",")):
+            print(counts)
     elif args.cmd == "carry-forward":
         run = dt.date.fromisoformat(args.run_date) if args.run_date else None
         print(jobs.run_carry_forward(spark, args.table, args.log, run))
@@ -86,7 +96,7 @@ def main(argv=None) -> None:
         blocks = weather.read_forecast_docs(spark, args.forecasts)
         prof = read_profiles(spark, args.profiles).withColumnRenamed("crop_key", "commodity_key")
         out = advisory.advisory_for_requests(t, req, blocks, prof)
-        out.drop("fast", "recent_prices").write.mode("overwrite").parquet(args.out)
+        out.drop("fast").write.mode("overwrite").parquet(args.out)
 
 
 if __name__ == "__main__":

@@ -23,7 +23,3 @@ def parse_api_date(c) -> Column:
 def parse_lenient_timestamp(c) -> Column:
     """ISO date or date-time text (``T`` or space separated)."""
     return F.try_to_timestamp(_c(c))
-
-
-def iso_date(c) -> Column:
-    return F.date_format(_c(c), "yyyy-MM-dd")

@@ -96,6 +96,22 @@ def trend_label(change) -> Column:
             .when(ch > 0, F.lit("rising")).otherwise(F.lit("falling")))
 
 
+def plain_double_text(c) -> Column:
+    """A double as text without an exponent up to 1e16 (``10000000.0``, ``0.0005``), shortest digits that
+    read back the same; beyond that, and below 1e-4, ``1e+16`` and ``1e-05``."""
+    x = _c(c).cast("double")
+    text = x.cast("string")
+    # The decimal is made from the double's shortest digits, so it holds them all.
+    fixed = F.regexp_replace(x.cast("decimal(38,20)").cast("string"), "0+$", "")
+    fixed = F.when(fixed.endswith("."), F.concat(fixed, F.lit("0"))).otherwise(fixed)
+    mantissa = F.regexp_replace(F.regexp_extract(text, "^(.*)E", 1), r"\.0$", "")
+    power = F.regexp_extract(text, "E(-?[0-9]+)$", 1).try_cast("int")
+    scientific = F.concat(mantissa, F.when(power < 0, F.lit("e-")).otherwise(F.lit("e+")),
+                          F.when(F.abs(power) < 10, F.lit("0")).otherwise(F.lit("")), F.abs(power).cast("string"))
+    return (F.when(~text.contains("E"), text)
+            .when((F.abs(x) < 1e16) & (F.abs(x) >= 1e-4), fixed).otherwise(scientific))
+
+
 def parse_number_lenient(c, fallback) -> Column:
     """``parseFloat`` of the text with every char but digits and dots removed.
 

@@ -23,12 +23,6 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def js_text(x) -> Column:
-    """``String(number)`` for the values these views carry (no exponents)."""
-    v = _c(x)
-    return F.when(v == F.floor(v), F.floor(v).cast("string")).otherwise(v.cast("string"))
-
-
 def rain_class(rainfall_text) -> Column:
     """K2: >= 50 rainy, >= 20 cloudy, else sunny (missing -> 0)."""
     p = parse_number_lenient(rainfall_text, 0.0)

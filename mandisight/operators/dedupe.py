@@ -23,12 +23,14 @@ def keep_last(df: DataFrame, keys: Sequence[str], order: Column | Sequence[str])
     """
     if not isinstance(order, Column):
         order = F.struct(*[F.col(c) for c in order])
-    payload = [c for c in df.columns if c not in keys]
+    # The order column itself need not travel with the row.
+    payload = [c for c in df.columns if c not in keys and c != "_o"]
     packed = F.struct(*[F.col(c) for c in payload])
+    back = [c for c in df.columns if c != "_o"]
     return (df.groupBy(*keys)
             .agg(F.max_by(packed, order).alias("_row"))
             .select(*keys, *[F.col("_row")[c].alias(c) for c in payload])
-            .select(*df.columns))
+            .select(*back))
 
 
 def keep_first(df: DataFrame, keys: Sequence[str], order: Column | Sequence[str]) -> DataFrame:

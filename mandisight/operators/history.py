@@ -17,6 +17,9 @@ from ..schemas import SERIES
 from .dedupe import keep_first, keep_last
 from .skew import salted_join
 
+# What a price history shows of a row.
+PRICE_VIEW = ["arrival_date", "max_price", "modal_price", "min_price"]
+
 # Crops the price sync accepts (exact case).
 SUPPORTED_COMMODITIES = ["Brinjal", "Cauliflower", "Green Chilli", "Onion", "Potato", "Tomato"]
 
@@ -38,10 +41,16 @@ def latest_n_rows(df: DataFrame, n: int, order: Column, series: Sequence[str] =
     return df.withColumn("row_rank", F.row_number().over(w)).where(F.col("row_rank") <= n)
 
 
-def latest_row(df: DataFrame, order: Column, series: Sequence[str] = SERIES) -> DataFrame:
-    """H1 / H9: the single latest row per series as a partial aggregate."""
+def latest_row(df: DataFrame, order: Column, series: Sequence[str] = SERIES,
+               keep: Sequence[str] | None = None) -> DataFrame:
+    """H1 / H9: the single latest row per series as a partial aggregate.
+
+    ``keep``: the columns wanted besides the series (all, if not given); the
+    others do not travel with the candidates.
+    """
     full = F.struct(F.col("arrival_date"), order)
-    return keep_last(df.withColumn("_o", full), list(series), F.col("_o")).drop("_o")
+    wanted = [c for c in df.columns if c not in series] if keep is None else list(keep)
+    return keep_last(df.select(*series, *wanted, full.alias("_o")), list(series), F.col("_o")).drop("_o")
 
 
 def latest_date_rows(df: DataFrame, series: Sequence[str] = SERIES) -> DataFrame:
@@ -151,3 +160,22 @@ def lookup_latest(requests: DataFrame, latest_full: DataFrame, latest_no_distric
     no_d = (requests.where(blank)
             .join(latest_no_district, [c for c in req_cols if c != "district"], "left"))
     return with_d.unionByName(no_d, allowMissingColumns=True)
+
+
+def history_for_requests(prices: DataFrame, requests: DataFrame, order: Column, n: int = 30) -> DataFrame:
+    """H2 + C6 for a table of requests (req_id, state, district, market, commodity): each request's ``n`` latest
+    rows, ``seq`` 1 = oldest. A blank district matches any district.
+
+    The rows are cut to the latest of each series (of each series over all
+    districts for blank requests) before the requests join them, so a series
+    that holds a third of all rows leaves at most ``n`` rows a task.
+    """
+    blank = F.trim(F.coalesce(F.col("district"), F.lit(""))) == ""
+    wide = [c for c in SERIES if c != "district"]
+    narrow = latest_n_rows(prices, n, order).drop("location_id")
+    any_district = latest_n_rows(prices, n, order, wide).drop("district", "location_id")
+    asked = requests.select("req_id", *SERIES)
+    found = asked.where(~blank).join(narrow, SERIES).select("req_id", *PRICE_VIEW, "row_rank").unionByName(
+        asked.where(blank).join(any_district, wide).select("req_id", *PRICE_VIEW, "row_rank"))
+    newest_first = Window.partitionBy("req_id").orderBy(F.col("row_rank").desc())
+    return found.withColumn("seq", F.row_number().over(newest_first)).drop("row_rank")

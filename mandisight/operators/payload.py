@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numbers import round_half_even
+from ..functions.numbers import round_half_even, plain_double_text
 from ..functions.rules import fmt0
 
 # The LLM prompt templates ({assistant}, {language}, {payload})
@@ -96,13 +96,13 @@ def _fill(template: str, **cols: Column) -> Column:
 
 def py_float(x) -> Column:
     """Python ``str(float)``; NULL -> ``None``."""
-    return F.coalesce(_c(x).cast("double").cast("string"), F.lit("None"))
+    return F.coalesce(plain_double_text(x), F.lit("None"))
 
 
 def py_number(x) -> Column:
     """A JSON number as Python prints it: integral values without ``.0``."""
     v = _c(x).cast("double")
-    return F.coalesce(F.when(v == F.floor(v), F.floor(v).cast("string")).otherwise(v.cast("string")),
+    return F.coalesce(F.when(v == F.floor(v), F.floor(v).cast("string")).otherwise(plain_double_text(v)),
                       F.lit("None"))
 
 
@@ -112,11 +112,14 @@ def py_bool(x) -> Column:
 
 
 def py_str(x) -> Column:
-    """Python ``repr`` of a text (single quotes unless it holds one)."""
+    """Python ``repr`` of a text: single quotes unless it holds one and no double quote; backslashes, line ends,
+    tabs and, where both quotes occur, single quotes are escaped."""
     s = _c(x)
+    for raw, shown in (("\\", "\\\\"), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+        s = F.replace(s, F.lit(raw), F.lit(shown))
     return (F.when(s.isNull(), F.lit("None"))
             .when(s.contains("'") & ~s.contains('"'), F.concat(F.lit('"'), s, F.lit('"')))
-            .otherwise(F.concat(F.lit("'"), s, F.lit("'"))))
+            .otherwise(F.concat(F.lit("'"), F.replace(s, F.lit("'"), F.lit("\\'")), F.lit("'"))))
 
 
 def py_str_list(arr) -> Column:
@@ -235,10 +238,3 @@ def market_card(market_name, latest_modal, latest_max, latest_min) -> list[Colum
         F.when(has, _c(latest_max)).otherwise(F.lit(DEFAULT_MAX)).alias("max_price"),
         F.when(has, _c(latest_min)).otherwise(F.lit(DEFAULT_MIN)).alias("min_price"),
     ]
-
-
-def sync_message(added, day) -> Column:
-    """I20 (see plans.sync for the job)."""
-    from ..plans.sync import MSG_ADDED, MSG_UP_TO_DATE
-    return (F.when(_c(added) > 0, F.format_string(MSG_ADDED, _c(added).cast("string"), _c(day)))
-            .otherwise(F.format_string(MSG_UP_TO_DATE, _c(day))))

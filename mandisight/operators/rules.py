@@ -1,7 +1,7 @@
 """Advisory assembly (F4, F5, I13): market summary + weather + crop profile.
 
-The profile table has one row per supported crop (six rows) and is
-broadcast; the weather horizon has one row per location and joins on the
+The profile table has one row per supported crop (six rows as shipped) and
+is broadcast by its measured size; the weather horizon has one row per location and joins on the
 location key (the planner picks broadcast or shuffle by its measured
 size). The market side keeps its series clustering.
 """
@@ -21,7 +21,7 @@ def attach_profile(df: DataFrame, profiles: DataFrame, commodity: str = "commodi
     ``strict`` drops crops without a profile (the reference raises); else a
     left join keeps them with ``missing_profile`` set.
     """
-    j = df.join(F.broadcast(profiles),
+    j = df.join(profiles,  # small tables are broadcast by their measured size
                 F.lower(F.col(commodity)) == profiles["commodity_key"],
                 "inner" if strict else "left")
     if not strict:

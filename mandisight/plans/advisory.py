@@ -42,9 +42,16 @@ REQUEST_DEFAULTS = {"crop": "Tomato", "state": "Andhra Pradesh", "district": "Pa
                     "market": "Palamaner APMC", "language": "Telugu"}
 
 
+# The place taken where a request states none.
+DEFAULT_LATITUDE, DEFAULT_LONGITUDE = 13.552040, 78.505798
+
+
 def with_request_defaults(requests: DataFrame) -> DataFrame:
-    """NULL or empty request fields take the advisory defaults."""
+    """NULL or empty request fields take the advisory defaults, a missing place the default place."""
     out = requests
+    for c, d in (("latitude", DEFAULT_LATITUDE), ("longitude", DEFAULT_LONGITUDE)):
+        stated = F.col(c).cast("double") if c in requests.columns else F.lit(None).cast("double")
+        out = out.withColumn(c, F.coalesce(stated, F.lit(d)))
     for c, d in REQUEST_DEFAULTS.items():
         if c in requests.columns:
             out = out.withColumn(c, F.coalesce(F.when(F.col(c) != "", F.col(c)), F.lit(d)))
@@ -54,22 +61,26 @@ def with_request_defaults(requests: DataFrame) -> DataFrame:
 
 
 def advisory_for_requests(prices: DataFrame, requests: DataFrame, blocks: DataFrame,
-                          profiles: DataFrame, order=None, strict: bool = True) -> DataFrame:
+                          profiles: DataFrame, order=None, strict: bool = False) -> DataFrame:
     """The advisory endpoint for a whole table of farmer requests.
 
     ``requests``: req_id, crop, state, district, market, language, location_id
     (the forecast location of the farmer). Requests whose market has no price
     history keep NULL prices and trend ``unknown`` (P12); weather is matched on
-    the request's location; the profile on ``lower(crop)``.
+    the request's location; the profile on ``lower(crop)``. A request for a
+    crop without a profile (the reference raises) stays, with
+    ``missing_profile`` set and no advice; ``strict`` drops it.
     """
-    req = with_request_defaults(requests).withColumnRenamed("crop", "commodity")
+    # The forecast's own place keeps the plain names.
+    req = with_request_defaults(requests).withColumnsRenamed(
+        {"crop": "commodity", "latitude": "request_latitude", "longitude": "request_longitude"})
     summary = market.summarize(prices, SERIES, 7, order)
     joined = req.join(summary, SERIES, "left")
     assembled = rules.assemble(joined, weather.horizon(blocks), profiles, strict=strict)
     out = rules.rule_engine(assembled)
     fast = payload.compact_payload(out, F.col("language"))
     lang = F.col("language")
-    return fast.select(
+    told = fast.select(
         "*",
         payload.prompt_text(F.col("fast")).alias("prompt"),
         payload.system_prompt(lang).alias("system_prompt"),
@@ -77,3 +88,8 @@ def advisory_for_requests(prices: DataFrame, requests: DataFrame, blocks: DataFr
         payload.fallback_advisory("commodity", "market", "trend", "seven_day_change_percent",
                                   "latest_modal_price").alias("fallback_advisory"),
         *payload.market_card("market", "latest_modal_price", "latest_max_price", "latest_min_price"))
+    if strict:
+        return told
+    advice = ["recommended_decision", "facts_for_explanation", "reasons", "fast", "prompt", "system_prompt",
+              "user_prompt", "fallback_advisory"]
+    return told.withColumns({c: F.when(~F.col("missing_profile"), F.col(c)) for c in advice})

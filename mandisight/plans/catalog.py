@@ -92,6 +92,15 @@ def q_history_latest_rows(spark, sf_dir):
                     F.col("row_rank").cast("long").alias("row_rank"))
 
 
+def q_history_requests(spark, sf_dir):
+    """H2 + C6: the 30 latest rows of every request, oldest first; a blank district matches any."""
+    req = dt.farmer_requests(spark, sf_dir).withColumnRenamed("crop", "commodity")
+    h = history.history_for_requests(dt.prices(spark, sf_dir), req, _row_order())
+    return h.select("req_id", F.col("seq").cast("long").alias("seq"), d2s("arrival_date").alias("date"),
+                    r4("max_price").alias("maxPrice"), r4("modal_price").alias("modalPrice"),
+                    r4("min_price").alias("minPrice"))
+
+
 def _latest_cols(df):
     return df.select(*SERIES, "commodity_group", "variety", "grade",
                      r4("min_price").alias("min_price"), r4("max_price").alias("max_price"),
@@ -101,7 +110,8 @@ def _latest_cols(df):
 
 
 def q_latest_row(spark, sf_dir):
-    return _latest_cols(history.latest_row(dt.prices(spark, sf_dir), _row_order()))
+    keep = [c for c in PRICE_COLUMNS if c not in SERIES]
+    return _latest_cols(history.latest_row(dt.prices(spark, sf_dir), _row_order(), keep=keep))
 
 
 def q_latest_per_group_ties(spark, sf_dir):
@@ -352,6 +362,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "recent_price_list": q_recent_price_list,
     "history_latest_dates": q_history_latest_dates,
     "history_latest_rows": q_history_latest_rows,
+    "history_requests": q_history_requests,
     "latest_row": q_latest_row,
     "latest_per_group_ties": q_latest_per_group_ties,
     "blank_district_lookup": q_blank_district_lookup,

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import present as K
-from ..functions.numbers import parse_number_lenient, round_half_even
+from ..functions.numbers import parse_number_lenient, round_half_even, plain_double_text
 from ..functions.text import clean_text_for_speech, language_code
 from ..operators import history, payload
 from ..schemas import SERIES
@@ -153,9 +153,9 @@ def q_infer_decision(spark, sf_dir):
 
 def q_advisory_normalise(spark, sf_dir):
     a = _adv(spark, sf_dir)
-    modal = parse_number_lenient(F.col("latest_modal_price").cast("string"), K.DEFAULT_VIEW_MODAL)
-    high = parse_number_lenient(F.col("latest_max_price").cast("string"), modal * F.lit(K.HIGH_FACTOR))
-    low = parse_number_lenient(F.col("latest_min_price").cast("string"), modal * F.lit(K.LOW_FACTOR))
+    modal = parse_number_lenient(plain_double_text("latest_modal_price"), K.DEFAULT_VIEW_MODAL)
+    high = parse_number_lenient(plain_double_text("latest_max_price"), modal * F.lit(K.HIGH_FACTOR))
+    low = parse_number_lenient(plain_double_text("latest_min_price"), modal * F.lit(K.LOW_FACTOR))
     rainfall = F.when(F.coalesce("weather_available", F.lit(False)),
                       F.concat(round_half_even("rule_max_rain_percent", 0).cast("long").cast("string"), F.lit("%")))
     trend = F.coalesce(F.when(F.col("market_signal") == "rising", F.lit("Increasing"))

@@ -51,6 +51,17 @@ FROM (SELECT p.*, row_number() OVER (PARTITION BY {SERIES}
 WHERE row_rank <= 30""")
 
 
+def _history_requests() -> str:
+    return with_ctes(("prices", PRICES), ("req", REQUESTS), body=f"""
+SELECT req_id, CAST(row_number() OVER (PARTITION BY req_id ORDER BY k DESC) AS BIGINT) AS seq, {dstr('arrival_date')} AS date,
+  {r4('max_price')} AS maxPrice, {r4('modal_price')} AS modalPrice, {r4('min_price')} AS minPrice
+FROM (SELECT r.req_id, p.*, row_number() OVER (PARTITION BY r.req_id
+        ORDER BY arrival_date DESC, variety DESC, grade DESC, {TIE_DESC}) AS k
+      FROM req r JOIN prices p ON p.state = r.state AND p.market = r.market AND p.commodity = r.crop
+        AND (trim(r.district) = '' OR p.district = r.district))
+WHERE k <= 30""")
+
+
 def _latest_row() -> str:
     return with_ctes(("prices", PRICES), ("latest", LATEST_ROW), body=f"""
 SELECT {SERIES}, commodity_group, variety, grade, {r4('min_price')} AS min_price,
@@ -475,6 +486,7 @@ def oracle_sql() -> dict[str, str]:
         "recent_price_list": _recent_price_list(),
         "history_latest_dates": _history_latest_dates(),
         "history_latest_rows": _history_latest_rows(),
+        "history_requests": _history_requests(),
         "latest_row": _latest_row(),
         "latest_per_group_ties": _latest_per_group_ties(),
         "blank_district_lookup": _blank_district_lookup(),

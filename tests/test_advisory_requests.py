@@ -38,7 +38,9 @@ def test_advisory_cli(spark, tmp_path):
               str(tmp_path / "kb"), out])
 
     rows = {r.req_id: r for r in spark.read.parquet(out).collect()}
-    assert set(rows) == {1, 2, 3}          # unknown crop: no profile, no advisory
+    assert set(rows) == {1, 2, 3, 4}
+    assert rows[4].missing_profile and rows[4].prompt is None and rows[4].recommended_decision is None
+    assert not rows[1].missing_profile and len(rows[1].recent_prices) > 1
     potato, brinjal, onion = rows[1], rows[2], rows[3]
     assert potato.trend == "rising" and potato.recommended_decision == "monitor_for_1_day_before_selling"
     assert potato.weather_available and potato.rain_risk is False
