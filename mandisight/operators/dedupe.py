@@ -37,9 +37,9 @@ def keep_first(df: DataFrame, keys: Sequence[str], order: Column | Sequence[str]
     """One row per ``keys``: the row with the smallest ``order``."""
     if not isinstance(order, Column):
         order = F.struct(*[F.col(c) for c in order])
-    payload = [c for c in df.columns if c not in keys]
+    payload = [c for c in df.columns if c not in keys and c != "_o"]
     packed = F.struct(*[F.col(c) for c in payload])
     return (df.groupBy(*keys)
             .agg(F.min_by(packed, order).alias("_row"))
             .select(*keys, *[F.col("_row")[c].alias(c) for c in payload])
-            .select(*df.columns))
+            .select(*[c for c in df.columns if c != "_o"]))

@@ -56,21 +56,20 @@ def latest_row(df: DataFrame, order: Column, series: Sequence[str] = SERIES,
 def latest_date_rows(df: DataFrame, series: Sequence[str] = SERIES) -> DataFrame:
     """Every row on the latest date of its series (ties kept).
 
-    ``rank() = 1`` over date desc; the partial ``WindowGroupLimit`` keeps
-    only each task's latest-date rows before the shuffle.
+    The latest date per series is a partial aggregate; the rows join it on
+    (series, date), an equi-join whose hot keys adaptive execution splits, so
+    a series with very many rows on its last date is no single task. As in
+    the reference's self join, a series with a NULL part has no rows.
     """
-    w = Window.partitionBy(*series).orderBy(F.col("arrival_date").desc())
-    return df.withColumn("_r", F.rank().over(w)).where(F.col("_r") == 1).drop("_r")
+    last = df.groupBy(*series).agg(F.max("arrival_date").alias("arrival_date"))
+    return df.join(last, [*series, "arrival_date"], "left_semi").select(*df.columns)
 
 
 def first_of_latest_date(df: DataFrame, order: Column, series: Sequence[str] = SERIES) -> DataFrame:
-    """One row per series from its latest date (the first by ``order``).
-
-    Rank window then a grouped min: the aggregate reuses the window's
-    clustering on the series, so the whole step is one exchange.
-    """
-    on_day = latest_date_rows(df, series)
-    return keep_first(on_day.withColumn("_o", order), list(series), F.col("_o")).drop("_o")
+    """One row per series from its latest date (the first by ``order``): one partial aggregate."""
+    latest_first = F.coalesce(-F.unix_date("arrival_date"), F.lit(2**31 - 1))
+    ranked = df.withColumn("_o", F.struct(latest_first, order))
+    return keep_first(ranked, list(series), F.col("_o")).drop("_o")
 
 
 def filter_predicate(params: dict, mode: str = "not_none") -> Column:
