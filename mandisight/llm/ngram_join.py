@@ -209,8 +209,12 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, words: int = WOR
     banded = signed.select("rep", F.explode("bands").alias("band"))
     shared = (banded.groupBy("band").agg(F.min("rep").alias("root"), F.max("rep").alias("_last"))
               .where(F.col("_last") > F.col("root")).drop("_last"))
-    pointers = banded.join(shared, "band").where("rep <> root").select(
-        F.col("rep").alias("a"), F.col("root").alias("b")).distinct()
+    # A class points to the smallest of its bands' roots, and the other roots point there too: as connected as a
+    # pointer per band, but about one per class, since the classes of a large group share their few roots.
+    roots = banded.join(shared, "band").groupBy("rep").agg(F.collect_set("root").alias("roots")).select(
+        "rep", "roots", F.array_min("roots").alias("b"))
+    pointers = roots.select(F.col("rep").alias("a"), "b").unionByName(
+        roots.select(F.explode("roots").alias("a"), "b")).where("a <> b").distinct()
     candidates = connected_components(pointers).select(F.col("node").alias("rep"), F.col("component").alias("_group"))
     sets = written(shingle_sets(
         source.dropDuplicates(["rep"]).join(candidates.join(copies.drop("key"), "rep"), "rep"), words), "shingles")
