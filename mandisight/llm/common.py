@@ -109,11 +109,3 @@ def gather_runs(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np
     begins = np.cumsum(lengths) - lengths
     return flat[np.repeat(starts - begins, lengths) + np.arange(total)]
 
-
-def remove_tree(path: str) -> None:
-    """Drop a scratch folder of this job in a plain file system, if it is one."""
-    plain = path.removeprefix("file://")
-    if os.path.isdir(plain):
-        import shutil
-
-        shutil.rmtree(plain, ignore_errors=True)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from mandisight.llm import host_rules
+from mandisight.llm import embed_dedup, host_rules, ngram_join, warc
 from mandisight.llm.bpe_rank import op7_bpe_rank_array
 from mandisight.llm.embed_dedup import op5_embedding_near_dedup
 from mandisight.llm.lang_id import op10_lang_id
@@ -28,5 +28,9 @@ QUERIES = {
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_host_rules": host_rules.SQL} | (
-    {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+ORACLE_SQL: dict[str, str] = {
+    "op3_ngram_jaccard_join": ngram_join.SQL,
+    "op4_host_rules": host_rules.SQL,
+    "op5_embedding_near_dedup": embed_dedup.SQL,
+    "op9_warc_index_first": warc.SQL,
+} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

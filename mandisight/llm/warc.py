@@ -174,3 +174,18 @@ def read_records(index: DataFrame, gap: int = GAP_BYTES, most: int = RUN_BYTES,
 def op9_warc_index_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages", "page_id", "url", "html")
     return read_records(write_archives(pages, fresh_path(spark, "warc")))
+
+
+# Base32 of the SHA-1: five hexadecimal digits are 20 bits, four letters.
+SQL = """
+WITH payloads AS (
+  SELECT page_id, coalesce(html, '') AS html, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS keeper FROM pages),
+hashed AS (SELECT *, sha1(html) AS h FROM payloads)
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(0, 8), lambda i: array_to_string(list_transform([15, 10, 5, 0], lambda s:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           CAST((CAST('0x' || substr(h, CAST(i * 5 + 1 AS BIGINT), 5) AS BIGINT) >> s) & 31 AS BIGINT) + 1, 1)), '')), '') AS payload_digest,
+  CASE WHEN page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> keeper THEN keeper END AS refers_to
+FROM hashed
+"""
