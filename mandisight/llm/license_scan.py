@@ -36,6 +36,9 @@ from mandisight.llm.common import table, written
 
 #: Corpus paragraphs that the unknown class is trained on.
 SAMPLE_PARAGRAPHS = 4000
+#: Documents are sampled as if each had this many paragraphs; longer ones only make the choice wider.
+PARAGRAPHS_PER_DOCUMENT = 4
+MAX_ITERATIONS = 60
 #: Share of held-out unknown paragraphs that may pass as a family.
 FALSE_SHARE = 0.002
 MIN_PROBABILITY = 0.5
@@ -132,62 +135,89 @@ def literal_rows(spark: SparkSession, rows: list[dict], schema: str) -> DataFram
     return spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>"))).select("col.*")
 
 
-def templates(spark: SparkSession, notices: dict[str, list[str]]) -> DataFrame:
-    """template, family, words."""
-    rows, t = [], 0
-    for family in sorted(notices):
-        for text in notices[family]:
-            rows.append({"template": t, "family": family, "text": text})
-            t += 1
-    return literal_rows(spark, rows, "template:int,family:string,text:string").select(
-        "template", "family", words_of(F.col("text")).alias("words"))
+class Templates:
+    """The notices as word lists and n-gram sets. A fixed, small set of texts: one job reads their words, the rest
+    is made on the driver."""
+
+    def __init__(self, spark: SparkSession, notices: dict[str, list[str]]):
+        texts = [{"template": t, "family": f, "text": x} for t, (f, x) in enumerate(
+            (f, x) for f in sorted(notices) for x in notices[f])]
+        rows = literal_rows(spark, texts, "template:int,family:string,text:string").select(
+            "template", "family", words_of(F.col("text")).alias("words")).collect()
+        self.families = sorted(notices)
+        self.words = {r["template"]: (r["family"], r["words"]) for r in rows}
+        self.grams = {t: self.grams_of(w) for t, (_, w) in self.words.items()}
+        self.vocabulary = sorted({g for gs in self.grams.values() for g in gs})
+
+    @staticmethod
+    def grams_of(words: list[str]) -> list[str]:
+        """As ``grams_of`` of a column, for one list of words."""
+        return list(dict.fromkeys(" ".join(words[i:i + k]) for k in (2, 3) for i in range(len(words) - k + 1)))
+
+    def examples(self) -> list[dict]:
+        """Runs of words that start anywhere and are at least four words long. What several families share is no
+        evidence for either: it belongs to the unknown class."""
+        seen: dict[tuple[str, ...], tuple[set[str], bool]] = {}
+        for family, words in self.words.values():
+            for start in range(max(1, len(words) - 3)):
+                for k in (4, 6, 8, 12, 16, 24, 64):
+                    part = tuple(words[start:start + k])
+                    families, whole = seen.get(part, (set(), False))
+                    seen[part] = families | {family}, whole or len(part) == len(words)
+        return [{"label": f.pop() if len(f) == 1 else UNKNOWN, "grams": self.grams_of(list(part)), "whole": whole}
+                for part, (f, whole) in sorted((p, (set(f), w)) for p, (f, w) in seen.items())]
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """doc_id, row (hash of the row's text), paragraph, grams of every line of every whole text."""
+    """doc_id, row (hash of the row's text), paragraph, words of every line of every whole text."""
     lines = docs.select("doc_id", F.xxhash64("text").alias("row"),
                         F.posexplode(F.split(F.col("text"), "\n")).alias("paragraph", "line"))
-    return lines.where(F.col("line") != "").select("doc_id", "row", "paragraph", grams_of(words_of(F.col("line"))).alias("grams"))
+    return lines.where(F.col("line") != "").select("doc_id", "row", "paragraph", words_of(F.col("line")).alias("words"))
 
 
-def examples(spark: SparkSession, docs: DataFrame, notices: dict[str, list[str]], sample: int) -> tuple[DataFrame, list[str]]:
-    """Training rows (label, grams, held) and the vocabulary."""
-    t = templates(spark, notices)
-    vocabulary = sorted(r["g"] for r in t.select(F.explode(grams_of(F.col("words"))).alias("g")).distinct().collect())
+def known_grams(lines: DataFrame, lookup: DataFrame, first_words: list[str]) -> DataFrame:
+    """(doc_id, row, paragraph, gram): the distinct n-grams of ``paragraphs`` that the notices hold.
+
+    Every place of a paragraph gives a row of its word and the next two. Only places whose first word starts an
+    n-gram of the notices make n-grams, and only n-grams of the notices go on.
+    """
     n = F.size("words")
-    # Runs of words that start anywhere and are at least four words long, and the whole notice.
-    at = F.explode(F.sequence(F.lit(0), F.greatest(n - 4, F.lit(0)))).alias("s")
-    runs = t.select("family", "words", at).select("family", "words", "s", F.explode(F.array(
-        F.lit(4), F.lit(6), F.lit(8), F.lit(12), F.lit(16), F.lit(24), F.lit(64))).alias("k"))
-    runs = runs.select("family", F.slice("words", F.col("s") + 1, F.col("k")).alias("part"),
-                       ((F.col("s") == 0) & (F.col("k") >= n)).alias("whole"))
-    # What several families share is no evidence for either: it belongs to the unknown class.
-    families = runs.groupBy("part").agg(F.min("family").alias("a"), F.max("family").alias("b"),
-                                        F.max("whole").alias("whole"))
-    known = families.select(F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(UNKNOWN).alias("label"),
-                            grams_of(F.col("part")).alias("grams"), "whole")
-    # Corpus paragraphs as the unknown class, by the hash of their document and number; those that hold a whole
-    # short notice are left out, since they are licences.
-    lines = docs.select("doc_id", F.posexplode(F.split(F.col("text"), "\n")).alias("paragraph", "line"))
-    spot = F.xxhash64("doc_id", "paragraph", "line")
-    total = docs.select(F.sum(F.size(F.split("text", "\n")).cast("long"))).first()[0] or 1
-    near = lines.where(F.pmod(spot, F.lit(1 << 30)) < int(min(1.0, 1.2 * sample / total) * (1 << 30)))
-    some = near.orderBy(spot).limit(sample).select(grams_of(words_of(F.col("line"))).alias("grams"))
-    shared = F.size(F.array_intersect("grams", F.array(*[F.lit(g) for g in vocabulary])))
+    places = lines.where(n >= 2).select("doc_id", "row", "paragraph", F.inline(F.arrays_zip(
+        F.col("words").alias("a"), F.slice("words", 2, n).alias("b"), F.slice("words", 3, n).alias("c"))))
+    places = places.toDF("doc_id", "row", "paragraph", "a", "b", "c").where(
+        F.col("a").isin(first_words) & F.col("b").isNotNull())
+    grams = places.select("doc_id", "row", "paragraph", F.explode(F.array(
+        F.concat_ws(" ", "a", "b"), F.when(F.col("c").isNotNull(), F.concat_ws(" ", "a", "b", "c")))).alias("gram"))
+    return grams.join(F.broadcast(lookup.select("gram")), "gram", "left_semi").distinct()
+
+
+def examples(docs: DataFrame, known: Templates, sample: int) -> DataFrame:
+    """Training rows (label, grams, weight, held)."""
+    spark = docs.sparkSession
+    # The unknown class: paragraphs of a bounded number of documents, in an order given by hashes. Those that share
+    # three or more n-grams with the notices are left out, since they may be licences.
+    n_docs = docs.count()
+    spot = F.pmod(F.xxhash64("doc_id", F.lit(21)), F.lit(1 << 30))
+    near = docs.where(spot < int(min(1.0, sample / PARAGRAPHS_PER_DOCUMENT / max(1, n_docs)) * (1 << 30)))
+    lines = near.select("doc_id", F.posexplode(F.split(F.col("text"), "\n")).alias("paragraph", "line"))
+    some = (lines.orderBy(F.xxhash64("doc_id", "paragraph", "line"), "line").limit(sample)
+            .select(words_of(F.col("line")).alias("words")).select(grams_of(F.col("words")).alias("grams")))
+    shared = F.size(F.array_intersect("grams", F.array(*[F.lit(g) for g in known.vocabulary])))
     background = some.where(shared < 3).select(F.lit(UNKNOWN).alias("label"), "grams", F.lit(False).alias("whole"))
     # Known examples are few: each stands for several rows of the corpus sample.
-    rows = known.withColumn("weight", F.lit(5.0)).unionByName(background.withColumn("weight", F.lit(1.0)))
+    notices = literal_rows(spark, known.examples(), "label:string,grams:array<string>,whole:boolean")
+    rows = notices.withColumn("weight", F.lit(5.0)).unionByName(background.withColumn("weight", F.lit(1.0)))
     # Whole notices are always trained on.
     held = (F.pmod(F.xxhash64("grams"), F.lit(4)) == 0) & ~F.col("whole")
-    return rows.withColumn("held", held).drop("whole"), vocabulary
+    return rows.withColumn("held", held).drop("whole")
 
 
 class Model:
     """Sparse weights of the families, and the calibration."""
 
-    def __init__(self, classes: list[str], vocabulary: list[str], weights: list[list[float]], intercepts: list[float],
+    def __init__(self, classes: list[str], known: Templates, weights: list[list[float]], intercepts: list[float],
                  temperature: float, least: float):
-        self.classes, self.vocabulary, self.weights = classes, vocabulary, weights
+        self.classes, self.known, self.weights = classes, known, weights
         self.intercepts, self.temperature, self.least = intercepts, temperature, least
 
 
@@ -196,20 +226,20 @@ def train(docs: DataFrame, notices: dict[str, list[str]] = NOTICES, sample: int
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import CountVectorizerModel
 
-    spark = docs.sparkSession
-    rows, vocabulary = examples(spark, docs.select("doc_id", "text"), notices, sample)
-    rows = written(rows, "license-examples")
-    classes = [UNKNOWN, *sorted(notices)]
+    known = Templates(docs.sparkSession, notices)
+    # A few thousand rows, whatever the corpus holds: one partition, so that an iteration is one task.
+    rows = written(examples(docs.select("doc_id", "text"), known, sample).coalesce(1), "license-examples").coalesce(1)
+    classes = [UNKNOWN, *known.families]
     number = F.create_map(*[F.lit(x) for i, c in enumerate(classes) for x in (c, float(i))])
-    vectors = CountVectorizerModel.from_vocabulary(vocabulary, "grams", "features")
+    vectors = CountVectorizerModel.from_vocabulary(known.vocabulary, "grams", "features")
     vectors.setBinary(True)
     ready = vectors.transform(rows.withColumn("label", number[F.col("label")]))
-    learner = LogisticRegression(family="multinomial", elasticNetParam=0.5, regParam=2e-4, maxIter=100,
-                                 standardization=False, weightCol="weight", aggregationDepth=2)
+    learner = LogisticRegression(family="multinomial", elasticNetParam=0.5, regParam=2e-4, maxIter=MAX_ITERATIONS,
+                                 standardization=False, weightCol="weight")
     fitted = learner.fit(ready.where(~F.col("held")))
     # One row per class and one column per n-gram of the vocabulary, both bounded by the notices.
     matrix = fitted.coefficientMatrix.toArray().T
-    model = Model(classes, vocabulary, [[float(x) for x in r] for r in matrix],
+    model = Model(classes, known, [[float(x) for x in r] for r in matrix],
                   [float(x) for x in fitted.interceptVector], 1.0, MIN_PROBABILITY)
     return calibrated(model, rows.where("held"), false_share)
 
@@ -257,25 +287,25 @@ def with_scores(grams: DataFrame, keys: list[str], model: Model, lookup: DataFra
 
 
 def weight_rows(spark: SparkSession, model: Model) -> DataFrame:
-    return literal_rows(spark, [{"gram": g, "w": w} for g, w in zip(model.vocabulary, model.weights, strict=True)],
-                        "gram:string,w:array<double>")
+    """gram, its weights ``w`` by class, and the templates it is ``in``."""
+    places: dict[str, list[int]] = {}
+    for t, grams in model.known.grams.items():
+        for g in grams:
+            places.setdefault(g, []).append(t)
+    return literal_rows(spark, [{"gram": g, "w": w, "in": places[g]} for g, w in zip(
+        model.known.vocabulary, model.weights, strict=True)], "gram:string,w:array<double>,in:array<int>")
 
 
-def scan(docs: DataFrame, model: Model, notices: dict[str, list[str]] = NOTICES,
-         min_coverage: float = MIN_COVERAGE) -> DataFrame:
+def scan(docs: DataFrame, model: Model, min_coverage: float = MIN_COVERAGE) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
-    t = written(templates(spark, notices).select("template", "family", F.explode(grams_of(F.col("words"))).alias("gram")),
-                "templates")
-    sizes = {r["template"]: (r["family"], r["n"]) for r in
-             t.groupBy("template", "family").agg(F.count(F.lit(1)).alias("n")).collect()}
-    lookup = weight_rows(spark, model).join(t.groupBy("gram").agg(F.collect_set("template").alias("in")), "gram")
-    lines = paragraphs(docs)
-    # Only n-grams of the notices go on; the same row twice counts its paragraphs once.
-    hits = (lines.select("doc_id", "row", "paragraph", F.explode("grams").alias("gram"))
-            .join(F.broadcast(weight_rows(spark, model).select("gram")), "gram", "left_semi").distinct())
+    sizes = {t: (family, len(model.known.grams[t])) for t, (family, _) in model.known.words.items()}
+    lookup = weight_rows(spark, model)
+    # The same row twice counts its paragraphs once.
+    hits = known_grams(paragraphs(docs), lookup, sorted({g.split(" ")[0] for g in model.known.vocabulary}))
     held = [F.sum(F.array_contains("in", i).cast("int")).alias(f"t{i}") for i in sizes]
-    scored = with_scores(hits, ["doc_id", "row", "paragraph"], model, lookup, held)
+    # Written twice on the way: the few rows left are cheap, the expressions over them would repeat in one plan.
+    scored = written(with_scores(hits, ["doc_id", "row", "paragraph"], model, lookup, held), "license-scores")
     covers = F.array(F.lit(0.0), *[F.greatest(F.lit(0.0), *[
         F.col(f"t{k}") / n for k, (f, n) in sizes.items() if f == family]) for family in model.classes[1:]])
     ranked = F.transform(F.slice(F.arrays_zip(probabilities(model.temperature).alias("p"), F.col("covers")), 2,
@@ -283,8 +313,9 @@ def scan(docs: DataFrame, model: Model, notices: dict[str, list[str]] = NOTICES,
                          # Structs compare by their first differing field: probability, then the earlier family.
                          lambda x, i: F.struct(x["p"].alias("p"), (-i).alias("i"), x["covers"].alias("coverage"),
                                                F.get(F.array(*map(F.lit, model.classes[1:])), i).alias("family")))
-    likely = scored.withColumn("covers", covers).select(
-        "doc_id", "row", "paragraph", F.array_max(ranked).alias("b")).where(F.col("b.p") >= model.least)
+    likely = written(scored.withColumn("covers", covers).select(
+        "doc_id", "row", "paragraph", F.array_max(ranked).alias("b")), "license-families").where(
+        F.col("b.p") >= model.least)
     judged = likely.withColumn("ok", F.col("b.coverage") >= min_coverage)
     best = F.struct(F.col("ok"), F.col("b.coverage"), F.col("b.p"), (-F.col("paragraph")).alias("at"), F.col("b.family"))
     verdict = judged.groupBy("doc_id", "row").agg(
