@@ -97,8 +97,11 @@ def judge(docs: DataFrame, host: str = "source", max_rate: float = MAX_HOST_RATE
     marked = measured(docs.drop(*names))
     # Measured once, then read for the host counts and for the verdicts.
     marked = written(marked if keep_text else marked.drop("text"), "measured")
+    # As a written table the hosts have a known size: while it is small it is broadcast, and the documents are not
+    # shuffled by host at all.
+    rates = written(host_rates(marked, host, strength), "hosts")
     verdict = F.col("base_failed") | F.coalesce(F.col("host_rate") > max_rate, F.lit(False))
-    return marked.join(host_rates(marked, host, strength), host, "left").withColumn("kept", ~verdict)
+    return marked.join(rates, host, "left").withColumn("kept", ~verdict)
 
 
 def op4_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
