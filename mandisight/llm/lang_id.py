@@ -210,11 +210,12 @@ def train(labelled: DataFrame, most: int = SAMPLE_DOCS, features: int = FEATURES
     languages = sorted(rows["lang"].unique())
     if not languages:
         return Model([], idf, np.zeros((features, 1)), 1.0)
-    counts = np.zeros((len(rows), features), np.int32)
-    for row, at, n in zip(counts, rows["at"], rows["n"], strict=True):
-        row[at] = n
-    x = tf_idf(counts, idf)
+    # Row by row, so that the driver holds one matrix in single precision and no copies of it.
+    x = np.zeros((len(rows), features), np.float32)
+    for row, at, n in zip(x, rows["at"], rows["n"], strict=True):
+        row[at] = tf_idf(np.asarray(n)[None, :], idf[at])[0]
     y = np.array([languages.index(v) for v in rows["lang"]])
+    del rows
     order = np.random.default_rng(0).permutation(len(x))
     held = order[::CALIBRATION] if len(x) >= 8 * CALIBRATION else order[:0]
     learn = np.setdiff1d(order, held)
