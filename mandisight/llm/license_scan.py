@@ -7,8 +7,11 @@ sample of the corpus's own paragraphs and the short runs that several
 families share. An L1 share in the penalty keeps the weights sparse. A
 held-out quarter sets the temperature of the probabilities and the least
 probability at which a family is accepted, so that at most a stated share of
-unknown paragraphs passes. A prediction counts only if the paragraph also
-holds enough of one notice (template) of that family.
+unknown paragraphs passes; a paragraph that holds a notice whole needs no
+least probability. A prediction counts only if the paragraph also holds
+enough of one notice (template) of that family. ``All rights reserved.``
+alone is a notice, but stands beside granting licences too, so any other
+confirmed notice of the document goes before it.
 
 The vocabulary is the n-grams of the notices. A paragraph without any of them
 has the intercepts alone, which is the unknown class, so scoring joins the
@@ -45,6 +48,8 @@ MIN_PROBABILITY = 0.5
 #: Share of a template's n-grams that a paragraph must hold, at least.
 MIN_COVERAGE = 0.5
 UNKNOWN = "unknown"
+#: A notice that also stands beside granting licences.
+RESERVATION = "All rights reserved."
 
 # Public licence notices by family.
 NOTICES: dict[str, list[str]] = {
@@ -105,6 +110,7 @@ NOTICES: dict[str, list[str]] = {
         "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
     ],
     "proprietary": [
+        RESERVATION,
         "All rights reserved. No part of this publication may be reproduced without the prior written permission of the publisher.",
         "Unauthorized copying of this file, via any medium, is strictly prohibited. Proprietary and confidential.",
     ],
@@ -303,21 +309,28 @@ def scan(docs: DataFrame, model: Model, min_coverage: float = MIN_COVERAGE) -> D
     lookup = weight_rows(spark, model)
     # The same row twice counts its paragraphs once.
     hits = known_grams(paragraphs(docs), lookup, sorted({g.split(" ")[0] for g in model.known.vocabulary}))
+    plain = {t for t, (_, words) in model.known.words.items() if " ".join(words) != RESERVATION.lower().rstrip(".")}
     held = [F.sum(F.array_contains("in", i).cast("int")).alias(f"t{i}") for i in sizes]
     # Written twice on the way: the few rows left are cheap, the expressions over them would repeat in one plan.
     scored = written(with_scores(hits, ["doc_id", "row", "paragraph"], model, lookup, held), "license-scores")
-    covers = F.array(F.lit(0.0), *[F.greatest(F.lit(0.0), *[
-        F.col(f"t{k}") / n for k, (f, n) in sizes.items() if f == family]) for family in model.classes[1:]])
-    ranked = F.transform(F.slice(F.arrays_zip(probabilities(model.temperature).alias("p"), F.col("covers")), 2,
-                                 len(model.classes)),
+
+    def covers(templates: set[int]) -> Column:
+        return F.array(F.lit(0.0), *[F.greatest(F.lit(0.0), F.lit(0.0), *[
+            F.col(f"t{k}") / n for k, (f, n) in sizes.items() if f == family and k in templates])
+            for family in model.classes[1:]])
+
+    ranked = F.transform(F.slice(F.arrays_zip(probabilities(model.temperature).alias("p"), F.col("covers"),
+                                              F.col("terms")), 2, len(model.classes)),
                          # Structs compare by their first differing field: probability, then the earlier family.
                          lambda x, i: F.struct(x["p"].alias("p"), (-i).alias("i"), x["covers"].alias("coverage"),
+                                               (x["terms"] >= min_coverage).alias("terms"),
                                                F.get(F.array(*map(F.lit, model.classes[1:])), i).alias("family")))
-    likely = written(scored.withColumn("covers", covers).select(
+    likely = written(scored.withColumn("covers", covers(set(sizes))).withColumn("terms", covers(plain)).select(
         "doc_id", "row", "paragraph", F.array_max(ranked).alias("b")), "license-families").where(
-        F.col("b.p") >= model.least)
+        (F.col("b.p") >= model.least) | (F.col("b.coverage") >= 1.0))
     judged = likely.withColumn("ok", F.col("b.coverage") >= min_coverage)
-    best = F.struct(F.col("ok"), F.col("b.coverage"), F.col("b.p"), (-F.col("paragraph")).alias("at"), F.col("b.family"))
+    best = F.struct(F.col("ok"), F.col("b.terms"), F.col("b.coverage"), F.col("b.p"),
+                    (-F.col("paragraph")).alias("at"), F.col("b.family"))
     verdict = judged.groupBy("doc_id", "row").agg(
         F.max(best).alias("best"), F.sum(F.col("ok").cast("long")).alias("n"))
     rows = docs.select("doc_id", F.xxhash64("text").alias("row"), F.coalesce(F.size(F.filter(

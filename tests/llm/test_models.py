@@ -151,6 +151,23 @@ def test_licences(licence_rows):
         assert r.n_paragraphs == len([x for x in (text or "").split("\n") if x])
 
 
+def verdicts(spark, model, texts):
+    rows = license_scan.scan(documents(spark, texts), model).collect()
+    return [r.license for r in sorted(rows, key=lambda r: r.doc_id)]
+
+
+def test_every_notice_of_every_family(spark, licence_rows):
+    cases = [(family, n) for family, notices in license_scan.NOTICES.items() for n in notices]
+    cases += [("proprietary", "All rights reserved."), ("proprietary", "Some Body 2011. all rights reserved")]
+    want = [family for family, _ in cases]
+    assert verdicts(spark, licence_rows[1], [f"first words\n\n{n}\nlast words" for _, n in cases]) == want
+
+
+def test_a_reservation_does_not_outrank_a_licence(spark, licence_rows):
+    texts = [f"Some Body 2011\nAll rights reserved.\n\n{n}" for n in NOTICE]
+    assert verdicts(spark, licence_rows[1], texts) == list(NOTICE.values())
+
+
 def test_licences_empty_and_native(spark, licence_rows):
     _, model, docs, _ = licence_rows
     assert license_scan.scan(empty(spark), model).count() == 0
