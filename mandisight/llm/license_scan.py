@@ -13,14 +13,21 @@ enough of one notice (template) of that family. ``All rights reserved.``
 alone is a notice, but stands beside granting licences too, so any other
 confirmed notice of the document goes before it.
 
+Notices are often wrapped. Besides the lines, runs of words that start at an
+n-gram of the notices and go on over the following lines are classified, as
+many words as the longest notice has; a notice's coverage counts only as many
+words as it has itself. A run only confirms: it counts where its coverage is
+enough, and where no line and no other run that overlaps it covers more.
+
 The vocabulary is the n-grams of the notices. A paragraph without any of them
 has the intercepts alone, which is the unknown class, so scoring joins the
 corpus's n-grams with that small table and only what matches goes on.
 
-Result per document: license (the family of the best confirmed paragraph;
+Result per document: license (the family of the best confirmed line or run;
 ``unknown`` where some paragraph looked like a licence but no family was
-confirmed; ``none``), paragraph (its number from 0, least of equals),
-probability, coverage, n_paragraphs and n_license_paragraphs.
+confirmed; ``none``), paragraph (the number from 0 of its first line, least of
+equals), probability, coverage, n_paragraphs (lines) and n_license_paragraphs
+(confirmed lines and runs).
 
 Defined results: null and empty texts have no paragraph and ``none``;
 paragraphs of fewer than two words are unknown; ties go to the first family
@@ -31,8 +38,9 @@ table gives no rows; extra columns are not read.
 from __future__ import annotations
 
 import json
+import math
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mandisight.llm.common import table, written
@@ -55,6 +63,7 @@ RESERVATION = "All rights reserved."
 NOTICES: dict[str, list[str]] = {
     "agpl-3.0": [
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
         "This work is licensed under the GNU Affero General Public License, version 3.",
     ],
     "apache-2.0": [
@@ -98,6 +107,8 @@ NOTICES: dict[str, list[str]] = {
     "lgpl": [
         "This work is licensed under the GNU Lesser General Public License, version 3.",
         "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License",
+        "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     ],
     "mit": [
         "Released under the MIT License.",
@@ -174,27 +185,65 @@ class Templates:
                 for part, (f, whole) in sorted((p, (set(f), w)) for p, (f, w) in seen.items())]
 
 
-def paragraphs(docs: DataFrame) -> DataFrame:
-    """doc_id, row (hash of the row's text), paragraph, words of every line of every whole text."""
-    lines = docs.select("doc_id", F.xxhash64("text").alias("row"),
-                        F.posexplode(F.split(F.col("text"), "\n")).alias("paragraph", "line"))
-    return lines.where(F.col("line") != "").select("doc_id", "row", "paragraph", words_of(F.col("line")).alias("words"))
-
+def known_grams(docs: DataFrame, lookup: DataFrame, first_words: list[str]) -> DataFrame:
+    """doc_id, row (hash of the row's text), paragraph, at (the place of the first word in the text), last (the line
+    of the last word), end (the place after it), gram: the n-grams of every whole text that the notices hold.
 
-def known_grams(lines: DataFrame, lookup: DataFrame, first_words: list[str]) -> DataFrame:
-    """(doc_id, row, paragraph, gram): the distinct n-grams of ``paragraphs`` that the notices hold.
-
-    Every place of a paragraph gives a row of its word and the next two. Only places whose first word starts an
-    n-gram of the notices make n-grams, and only n-grams of the notices go on.
+    Every place of a text gives a row of its word and the next two. Only places whose first word starts an n-gram of
+    the notices make n-grams, and only n-grams of the notices go on.
     """
+    lines = docs.select("doc_id", F.xxhash64("text").alias("row"),
+                        F.transform(F.split(F.col("text"), "\n"), words_of).alias("lines"))
+    flat = lines.select("doc_id", "row", F.flatten("lines").alias("words"), F.flatten(F.transform(
+        "lines", lambda ws, i: F.array_repeat(i, F.size(ws)))).alias("line"))
     n = F.size("words")
-    places = lines.where(n >= 2).select("doc_id", "row", "paragraph", F.inline(F.arrays_zip(
-        F.col("words").alias("a"), F.slice("words", 2, n).alias("b"), F.slice("words", 3, n).alias("c"))))
-    places = places.toDF("doc_id", "row", "paragraph", "a", "b", "c").where(
+    places = flat.where(n >= 2).select("doc_id", "row", F.posexplode(F.arrays_zip(
+        F.col("words").alias("a"), F.slice("words", 2, n).alias("b"), F.slice("words", 3, n).alias("c"),
+        F.col("line").alias("la"), F.slice("line", 2, n).alias("lb"), F.slice("line", 3, n).alias("lc"))))
+    places = places.select("doc_id", "row", F.col("pos").alias("at"), "col.*").where(
         F.col("a").isin(first_words) & F.col("b").isNotNull())
-    grams = places.select("doc_id", "row", "paragraph", F.explode(F.array(
-        F.concat_ws(" ", "a", "b"), F.when(F.col("c").isNotNull(), F.concat_ws(" ", "a", "b", "c")))).alias("gram"))
-    return grams.join(F.broadcast(lookup.select("gram")), "gram", "left_semi").distinct()
+    grams = places.select("doc_id", "row", F.col("la").alias("paragraph"), "at", F.explode(F.array(
+        F.struct(F.concat_ws(" ", "a", "b").alias("gram"), F.col("lb").alias("last"), (F.col("at") + 2).alias("end")),
+        F.when(F.col("c").isNotNull(), F.struct(F.concat_ws(" ", "a", "b", "c").alias("gram"),
+                                                F.col("lc").alias("last"), (F.col("at") + 3).alias("end"))))).alias("g"))
+    grams = grams.select("doc_id", "row", "paragraph", "at", "g.*")
+    return grams.join(F.broadcast(lookup.select("gram")), "gram", "left_semi")
+
+
+#: What tells lines and runs apart: first line, first place, last place (of lines), whether it is one line.
+UNIT = ["doc_id", "row", "paragraph", "at", "until", "alone"]
+
+
+def units(hits: DataFrame, words: int, least: int) -> DataFrame:
+    """(UNIT, gram, off): the distinct n-grams of every line, and of ``words`` words from every place of ``hits`` where
+    these go over a line's end and hold ``least`` n-grams. ``off`` is the number of words of a run up to the n-gram's
+    end, 0 in lines."""
+    lines = (hits.where(F.col("last") == F.col("paragraph")).groupBy("doc_id", "row", "paragraph")
+             .agg(F.min("at").alias("at"), F.max("at").alias("until"), F.collect_set("gram").alias("grams"))
+             .select("doc_id", "row", "paragraph", "at", "until", F.lit(True).alias("alone"),
+                     F.explode("grams").alias("gram"), F.lit(0).alias("off")))
+    starts = hits.groupBy("doc_id", "row", "paragraph", "at").agg(
+        F.collect_set(F.struct("gram", "last", "end")).alias("here"))
+    ahead = Window.partitionBy("doc_id", "row").orderBy("at").rangeBetween(0, words - 2)
+    near = F.filter("near", lambda x: x["end"] <= F.col("at") + words)
+    runs = (starts.withColumn("near", F.flatten(F.collect_list("here").over(ahead))).withColumn("near", near)
+            .where((F.size("near") >= least) & F.exists("near", lambda x: x["last"] > F.col("paragraph")))
+            .select("doc_id", "row", "paragraph", "at", F.explode("near").alias("g"))
+            .groupBy("doc_id", "row", "paragraph", "at", F.col("g.gram").alias("gram"))
+            .agg((F.min("g.end") - F.col("at")).alias("off")))
+    return lines.unionByName(runs.select("doc_id", "row", "paragraph", "at", F.col("at").alias("until"),
+                                         F.lit(False).alias("alone"), "gram", "off"))
+
+
+def without_overlaps(confirmed: DataFrame, words: int) -> DataFrame:
+    """The ``confirmed`` units that no better unit overlaps. Lines do not stand back for lines."""
+    rank = F.struct("b.terms", "b.coverage", "alone", (-F.col("at")).alias("first"))
+    near = Window.partitionBy("doc_id", "row").orderBy("at").rangeBetween(-words, words)
+    others = confirmed.withColumn("rank", rank).withColumn(
+        "near", F.collect_list(F.struct("at", "until", "alone", "rank")).over(near))
+    beaten = F.exists("near", lambda x: (x["rank"] > F.col("rank")) & ~(x["alone"] & F.col("alone"))
+                      & (x["at"] <= F.col("until")) & (x["until"] >= F.col("at")))
+    return others.where(~beaten).drop("rank", "near")
 
 
 def examples(docs: DataFrame, known: Templates, sample: int) -> DataFrame:
@@ -305,31 +354,39 @@ def weight_rows(spark: SparkSession, model: Model) -> DataFrame:
 def scan(docs: DataFrame, model: Model, min_coverage: float = MIN_COVERAGE) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
-    sizes = {t: (family, len(model.known.grams[t])) for t, (family, _) in model.known.words.items()}
+    sizes = {t: (family, len(model.known.grams[t]), len(words)) for t, (family, words) in model.known.words.items()}
+    longest = max((words for _, _, words in sizes.values()), default=2)
+    least = min((math.ceil(min_coverage * n) for _, n, _ in sizes.values()), default=1)
     lookup = weight_rows(spark, model)
-    # The same row twice counts its paragraphs once.
-    hits = known_grams(paragraphs(docs), lookup, sorted({g.split(" ")[0] for g in model.known.vocabulary}))
+    # Written, since lines and runs are made of it. The same row twice counts its paragraphs once.
+    hits = written(known_grams(docs, lookup, sorted({g.split(" ")[0] for g in model.known.vocabulary})), "license-hits")
     plain = {t for t, (_, words) in model.known.words.items() if " ".join(words) != RESERVATION.lower().rstrip(".")}
-    held = [F.sum(F.array_contains("in", i).cast("int")).alias(f"t{i}") for i in sizes]
+    held = [F.sum((F.array_contains("in", i) & (F.col("off") <= words)).cast("int")).alias(f"t{i}")
+            for i, (_, _, words) in sizes.items()]
     # Written twice on the way: the few rows left are cheap, the expressions over them would repeat in one plan.
-    scored = written(with_scores(hits, ["doc_id", "row", "paragraph"], model, lookup, held), "license-scores")
+    scored = written(with_scores(units(hits, longest, least), UNIT, model, lookup, held), "license-scores")
 
     def covers(templates: set[int]) -> Column:
-        return F.array(F.lit(0.0), *[F.greatest(F.lit(0.0), F.lit(0.0), *[
-            F.col(f"t{k}") / n for k, (f, n) in sizes.items() if f == family and k in templates])
-            for family in model.classes[1:]])
+        """By class: the greatest coverage, and the words of that template (the fewest of equals)."""
+        return F.array(*[F.array_max(F.array(*[F.struct(F.lit(c).alias("c") if k is None else (F.col(f"t{k}") / c).alias(
+            "c"), F.lit(-w).alias("w")) for k, c, w in [(None, 0.0, 0)] + [
+                (k, n, w) for k, (f, n, w) in sizes.items() if f == family and k in templates]]))
+            for family in model.classes])
 
     ranked = F.transform(F.slice(F.arrays_zip(probabilities(model.temperature).alias("p"), F.col("covers"),
                                               F.col("terms")), 2, len(model.classes)),
                          # Structs compare by their first differing field: probability, then the earlier family.
-                         lambda x, i: F.struct(x["p"].alias("p"), (-i).alias("i"), x["covers"].alias("coverage"),
-                                               (x["terms"] >= min_coverage).alias("terms"),
+                         lambda x, i: F.struct(x["p"].alias("p"), (-i).alias("i"), x["covers"]["c"].alias("coverage"),
+                                               (x["terms"]["c"] >= min_coverage).alias("terms"),
+                                               (-x["covers"]["w"]).alias("words"),
                                                F.get(F.array(*map(F.lit, model.classes[1:])), i).alias("family")))
     likely = written(scored.withColumn("covers", covers(set(sizes))).withColumn("terms", covers(plain)).select(
-        "doc_id", "row", "paragraph", F.array_max(ranked).alias("b")), "license-families").where(
+        *UNIT, F.array_max(ranked).alias("b")), "license-families").where(
         (F.col("b.p") >= model.least) | (F.col("b.coverage") >= 1.0))
-    judged = likely.withColumn("ok", F.col("b.coverage") >= min_coverage)
-    best = F.struct(F.col("ok"), F.col("b.terms"), F.col("b.coverage"), F.col("b.p"),
+    likely = likely.withColumn("ok", F.col("b.coverage") >= min_coverage).withColumn(
+        "until", F.when(F.col("alone"), F.col("until")).otherwise(F.col("at") + F.col("b.words") - 1))
+    judged = without_overlaps(likely.where("ok"), longest).unionByName(likely.where(~F.col("ok") & F.col("alone")))
+    best = F.struct(F.col("ok"), F.col("b.terms"), F.col("b.coverage"), F.col("alone"), F.col("b.p"),
                     (-F.col("paragraph")).alias("at"), F.col("b.family"))
     verdict = judged.groupBy("doc_id", "row").agg(
         F.max(best).alias("best"), F.sum(F.col("ok").cast("long")).alias("n"))

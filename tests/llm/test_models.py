@@ -2,6 +2,7 @@
 
 import random
 import re
+import textwrap
 
 import numpy as np
 import pytest
@@ -168,6 +169,39 @@ def test_a_reservation_does_not_outrank_a_licence(spark, licence_rows):
     assert verdicts(spark, licence_rows[1], texts) == list(NOTICE.values())
 
 
+GPL_3 = """\
+This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version."""
+BSD_3 = """\
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+    * Redistributions of source code must retain the above copyright
+      notice, this list of conditions and the following disclaimer.
+    * Neither the name of the copyright holder nor the names of its
+      contributors may be used to endorse or promote products derived
+      from this software without specific prior written permission."""
+
+
+def test_wrapped_headers(spark, licence_rows):
+    cases = {GPL_3: "gpl-3.0", GPL_3.replace("GNU General", "GNU Affero General"): "agpl-3.0",
+             GPL_3.replace("GNU General", "GNU Lesser General"): "lgpl", BSD_3: "bsd",
+             f"Copyright 2011 Some Body\nAll rights reserved.\n\n{BSD_3}": "bsd"}
+    texts = [*cases, *["\n".join(f" * {line}" for line in t.split("\n")) for t in cases],
+             *[t.replace("\n", "\r\n\r\n") for t in cases]]
+    assert verdicts(spark, licence_rows[1], texts) == list(cases.values()) * 3
+
+
+@pytest.mark.parametrize("width", [40, 72])
+def test_every_notice_wrapped(spark, licence_rows, width):
+    cases = [(family, n) for family, notices in license_scan.NOTICES.items() for n in notices]
+    texts = ["some words of this story\n\n" + textwrap.fill(n, width) + "\nand the end" for _, n in cases]
+    rows = sorted(license_scan.scan(documents(spark, texts), licence_rows[1]).collect(), key=lambda r: r.doc_id)
+    for (family, n), r in zip(cases, rows, strict=True):
+        assert (r.license, r.paragraph) == (family, 2), (n, r)
+
+
 def test_licences_empty_and_native(spark, licence_rows):
     _, model, docs, _ = licence_rows
     assert license_scan.scan(empty(spark), model).count() == 0
