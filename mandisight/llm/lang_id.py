@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import regex
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mandisight.llm.common import fold, table, text_chunks
@@ -177,18 +177,36 @@ class Model:
         return languages, np.clip(score, 0.0, 1.0)
 
 
+def quotas(sizes: dict[str, int], most: int) -> dict[str, int]:
+    """Equal parts of ``most`` by language; what small languages leave goes to the others. At least one for each."""
+    out, left = {}, most
+    for i, k in enumerate(sorted(sizes, key=lambda k: (sizes[k], k))):
+        out[k] = min(sizes[k], max(1, left // (len(sizes) - i)))
+        left = max(0, left - out[k])
+    return out
+
+
+def hash_bound(share: float) -> int:
+    """The 64-bit hash up to which ``share`` of all hashes lie."""
+    return min((1 << 63) - 1, int(min(1.0, share) * (1 << 64)) - (1 << 63))
+
+
 def sample_of(labelled: DataFrame, most: int) -> DataFrame:
-    """At most ``most`` rows in an order given by the text's hash, an equal share per language."""
-    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    """At most ``most`` different (text, lang) in an order given by the text's hash, by ``quotas`` (one per language
+    where there are more languages)."""
+    spot = F.xxhash64("text", F.lit(10))
+    sizes = {r["lang"]: r["n"] for r in labelled.select("lang", spot.alias("spot")).distinct().groupBy("lang").agg(
+        F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
         return labelled.limit(0)
-    share = most / len(sizes)
-    # Keep a little over each language's share, then cut to the bound in hash order.
-    spot = F.pmod(F.xxhash64(F.col("text"), F.lit(10)), F.lit(1 << 20))
-    limits = F.create_map(*[F.lit(x) for k, n in sizes.items()
-                            for x in (k, int(min(1.0, 1.2 * share / n) * (1 << 20)))])
-    return (labelled.where(spot < limits[F.col("lang")])
-            .orderBy(F.xxhash64("text", F.lit(11)), "lang").limit(most))
+    parts = quotas(sizes, most)
+    # Keep a little over each language's part, then cut every language to its own in hash order.
+    bounds = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, hash_bound((1.2 * parts[k] + 30) / n))])
+    near = labelled.select("text", "lang").where(spot <= bounds[F.col("lang")]).distinct()
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("text", F.lit(11)), "text"))
+    limits = F.create_map(*[F.lit(x) for k, n in parts.items() for x in (k, n)])
+    return near.withColumn("_place", place).where(F.col("_place") <= limits[F.col("lang")]).orderBy(
+        F.xxhash64("text", F.lit(11)), "lang").drop("_place")
 
 
 def train(labelled: DataFrame, most: int = SAMPLE_DOCS, features: int = FEATURES, epochs: int = EPOCHS) -> Model:

@@ -71,6 +71,23 @@ def test_language_awkward_rows(spark):
     assert lang_id.predict(empty(spark), model).count() == 0
 
 
+def test_language_sample_of_copies_and_small_languages(spark):
+    rows = [("one text of many copies", "aa")] * 200 + [("first", "bb"), ("second", "bb"), ("only", "cc")]
+    rows += [(f"text {i}", "dd") for i in range(400)]
+    got = [tuple(r) for r in lang_id.sample_of(spark.createDataFrame(rows, "text string, lang string"), 24).collect()]
+    assert len(got) == len(set(got)) == 24
+    assert sorted(r for r in got if r[1] != "dd") == sorted({r for r in rows if r[1] != "dd"})
+
+
+def test_language_sample_of_huge_languages():
+    sizes = {f"l{i:02}": 10 ** 10 for i in range(100)} | {"small": 1}
+    parts = lang_id.quotas(sizes, lang_id.SAMPLE_DOCS)
+    assert parts["small"] == 1 and sum(parts.values()) == lang_id.SAMPLE_DOCS
+    share = parts["l00"] / sizes["l00"]
+    assert abs((lang_id.hash_bound(share) + 2 ** 63) / 2 ** 64 / share - 1) < 1e-6
+    assert lang_id.hash_bound(2.0) == 2 ** 63 - 1
+
+
 def test_prior_and_risk_on_known_mixture():
     rng = np.random.default_rng(2)
 
