@@ -35,11 +35,14 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest doc_id of every near-duplicate group, once; rows without a doc_id stay."""
+    """The document of the smallest doc_id of every near-duplicate group, once; rows without a doc_id stay.
+    Different texts of one doc_id are different documents."""
     ship(spark)
-    kept = ngram_join.jaccard_join(docs.select("doc_id", "text")).where(
-        F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    rows = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    # Texts without a word are one text.
+    kept = ngram_join.keyed_join(docs.select("doc_id", "text")).where(
+        F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id", F.coalesce("key", F.lit("")).alias("_key")).distinct()
+    keyed = docs.withColumn("_key", F.coalesce(ngram_join.word_key(F.col("text")), F.lit("")))
+    rows = keyed.join(kept, ["doc_id", "_key"], "left_semi").dropDuplicates(["doc_id", "_key"]).drop("_key")
     return rows.unionByName(docs.where(F.col("doc_id").isNull())).select(*docs.columns)
 
 

@@ -19,7 +19,9 @@ Defined results: words are separated by ASCII white space and compared as
 they are; a text of one to four words is a single shingle of all its words; a
 text without a word (null, empty, white space) links with nothing; rows with
 a null doc_id keep a null class and no links; rows that repeat a doc_id
-count as copies; an empty table gives no rows; extra columns are not read.
+count as copies where their words are equal and are joined as any two texts
+where not (of a linked pair with one doc_id, one text is kept); an empty table
+gives no rows; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -118,7 +120,8 @@ def band_hashes(shingles: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def signatures(distinct: DataFrame, bands: int, rows: int, words: int) -> DataFrame:
-    """(rep, bands) of classes (rep, words: the normalised text)."""
+    """The columns of ``distinct`` with ``words`` (normalised text) replaced by ``bands``."""
+    others = [f for f in distinct.schema if f.name != "words"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -126,11 +129,12 @@ def signatures(distinct: DataFrame, bands: int, rows: int, words: int) -> DataFr
             for a, b in text_chunks(texts):
                 flat, counts = shingle_hashes(texts[a:b], words)
                 cuts = offsets_of(counts)
-                yield pd.DataFrame({"rep": batch["rep"].iloc[a:b].to_numpy(), "bands": [
+                yield batch.iloc[a:b].drop(columns="words").assign(bands=[
                     band_hashes(flat[x:y], bands, rows) if y > x else np.zeros(0, np.int64)
-                    for x, y in zip(cuts[:-1], cuts[1:], strict=True)]})
+                    for x, y in zip(cuts[:-1], cuts[1:], strict=True)])
 
-    return distinct.mapInPandas(run, "rep long, bands array<long>")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in others)
+    return distinct.select(*[f.name for f in others], "words").mapInPandas(run, schema + ", bands array<long>")
 
 
 def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
@@ -190,22 +194,35 @@ def find_links(threshold: float):
     return find
 
 
+def word_key(text) -> F.Column:
+    """The class of equal words of a text; null without a word."""
+    words = normalised(text)
+    return F.when(words != "", F.sha2(words, 256))
+
+
 def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS,
                  recall: float = TARGET_RECALL, block: int = BLOCK) -> DataFrame:
     """doc_id, n_links (other documents linked directly), class_id (smallest doc_id reachable) and kept for every
     row of ``docs`` (doc_id, text)."""
+    return keyed_join(docs, threshold, words, recall, block).drop("key")
+
+
+def keyed_join(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS,
+               recall: float = TARGET_RECALL, block: int = BLOCK) -> DataFrame:
+    """As ``jaccard_join``, with the ``word_key`` of every row (null without a doc_id)."""
     bands, rows = banding(threshold, recall)
-    keyed = docs.select("doc_id", normalised(F.col("text")).alias("words"))
-    keyed = keyed.withColumn("key", F.when(F.col("doc_id").isNotNull() & (F.col("words") != ""),
-                                           F.sha2(F.col("words"), 256)))
-    members = written(keyed.select("doc_id", "key"), "members")
+    members = written(docs.select("doc_id", F.when(F.col("doc_id").isNotNull(), word_key(F.col("text"))).alias("key")),
+                      "members")
     copies = written(members.where(F.col("key").isNotNull()).groupBy("key")
-                     .agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "copies")
-    # A class is represented by the row of its smallest doc_id; equal ids of equal words are one row.
-    source = docs.select(F.col("doc_id").alias("rep"), normalised(F.col("text")).alias("words")).where(
-        F.col("rep").isNotNull() & (F.col("words") != ""))
+                     .agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies")), "classes")
+    # A number of its own for every class, in the order of the smallest doc_ids; written, so that it stays the same.
+    copies = written(copies.orderBy("first", "key").withColumn("rep", F.monotonically_increasing_id()), "copies")
+    # A class is represented by a row of its smallest doc_id; equal ids of equal words are one row.
+    source = docs.select(F.col("doc_id").alias("first"), word_key(F.col("text")).alias("key"),
+                         normalised(F.col("text")).alias("words")).where(
+        F.col("first").isNotNull() & F.col("key").isNotNull())
     signed = written(signatures(source, bands, rows, words), "signatures")
-    signed = signed.join(copies.select("rep"), "rep", "left_semi")
+    signed = signed.join(copies.select("first", "key", "rep"), ["first", "key"])
     banded = signed.select("rep", F.explode("bands").alias("band"))
     shared = (banded.groupBy("band").agg(F.min("rep").alias("root"), F.max("rep").alias("_last"))
               .where(F.col("_last") > F.col("root")).drop("_last"))
@@ -217,18 +234,22 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, words: int = WOR
         roots.select(F.explode("roots").alias("a"), "b")).where("a <> b").distinct()
     candidates = connected_components(pointers).select(F.col("node").alias("rep"), F.col("component").alias("_group"))
     sets = written(shingle_sets(
-        source.dropDuplicates(["rep"]).join(candidates.join(copies.drop("key"), "rep"), "rep"), words), "shingles")
+        source.dropDuplicates(["first", "key"]).join(candidates.join(copies, "rep"), ["first", "key"])
+        .drop("first", "key"), words), "shingles")
     sizes = sets.groupBy("_group").agg(F.count(F.lit(1)).alias("_n"))
     units, n = in_block_pairs(sets, ["_group"], block, sizes)
     found = classes(linked(units, ["_group"], find_links(threshold), n))
     # One row per class of equal words, then back to every document of the class.
     result = copies.join(found, "rep", "left").select(
-        "key", (F.col("copies") - 1 + F.coalesce("n_links", F.lit(0))).alias("n_links"),
-        F.coalesce("component", "rep").alias("class_id"))
+        "key", (F.col("copies") - 1 + F.coalesce("n_links", F.lit(0))).alias("n_links"), "rep",
+        F.coalesce("component", "rep").alias("component"))
+    # The smallest number of a component is that of its smallest doc_id.
+    result = result.join(copies.select(F.col("rep").alias("component"), F.col("first").alias("class_id")), "component")
+    result = result.select("key", "n_links", "class_id", (F.col("rep") == F.col("component")).alias("_root"))
     return members.join(result, "key", "left").select(
         "doc_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("class_id", "doc_id").alias("class_id"),
-        F.coalesce(F.col("doc_id") == F.coalesce("class_id", "doc_id"), F.lit(True)).alias("kept"))
+        F.coalesce((F.col("doc_id") == F.col("class_id")) & F.col("_root"), F.lit(True)).alias("kept"), "key")
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

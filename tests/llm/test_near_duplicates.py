@@ -7,6 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from mandisight.llm import blocks, embed_dedup, ngram_join
 from mandisight.llm.common import written
 from mandisight.llm.components import connected_components, local_components
@@ -191,3 +192,16 @@ def test_estimates_are_unbiased_and_bounds_hold():
     reached = truth >= 0.93
     assert reached.sum() > 100 and (estimate >= least[:, None])[reached].all()
     assert (estimate >= least[:, None]).mean() < 0.05  # most pairs need no exact recomputation
+
+
+def test_different_texts_of_one_id(spark):
+    one, two, near_two = (" ".join(w) for w in (passage(60, 1), passage(60, 2), [*passage(60, 2), "more"]))
+    docs = spark.createDataFrame([(5, one), (5, two), (3, near_two), (7, one), (9, f"{one} more")],
+                                 "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_links, r.class_id, r.kept) for r in ngram_join.jaccard_join(docs).collect())
+    assert got == [(3, 1, 3, True), (5, 1, 3, False), (5, 2, 5, True), (7, 2, 5, False), (9, 2, 5, False)]
+    kept = corpus_pipeline.keep_one_copy(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == [(3, near_two), (5, one)]
+    apart = corpus_pipeline.keep_one_copy(spark, docs.where("doc_id = 5"), "")
+    assert sorted(r.text for r in apart.collect()) == sorted([one, two])
