@@ -195,7 +195,7 @@ class RankArrayBpe:
 
     def encode(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
         """(flat ids, ids per text)."""
-        return vocab.encode_texts(texts, self.cache, self.encode_whole, leading_space=True)
+        return vocab.encode_texts(texts, self.cache, self.encode_whole)
 
     # -- decoding --------------------------------------------------------
     def decode(self, flat: np.ndarray, counts: np.ndarray) -> list[str]:

@@ -77,7 +77,7 @@ def fold(doc_id: str | Column, folds: int) -> Column:
                    if isinstance(doc_id, str) else doc_id.cast("string").cast("binary")) % folds
 
 
-def text_chunks(texts: list, max_chars: int = 4_000_000) -> Iterator[tuple[int, int]]:
+def text_chunks(texts: list, max_chars: int = 1_000_000) -> Iterator[tuple[int, int]]:
     """Bounds of runs of rows whose texts together hold about ``max_chars``
     characters (one longer text is a run of its own)."""
     start, held = 0, 0

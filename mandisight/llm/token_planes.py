@@ -39,6 +39,8 @@ MAGIC = b"TIDPLAN1"
 BLOCK = 1 << 16
 UNIT = 1 << 20
 UNITS_PER_TASK = 4
+#: Characters encoded together: the more, the more words repeat.
+CHUNK_CHARS = 4_000_000
 END_ID = 1
 
 
@@ -170,7 +172,7 @@ def write_shards(docs: DataFrame, folder: str, path: str | None = None, end_id:
         for batch in batches:
             texts = [t if isinstance(t, str) else "" for t in batch["text"]]
             doc_ids = batch["doc_id"].astype("Int64")
-            for a, b in text_chunks(texts):
+            for a, b in text_chunks(texts, CHUNK_CHARS):
                 flat, counts = encode(texts[a:b])
                 cuts = offsets_of(counts)
                 if writer is None:

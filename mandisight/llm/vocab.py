@@ -1,12 +1,19 @@
-"""Public tokenizer files, word-run splitting and cached library encoding.
-
-Both JSON tokenizers cut a text into pre-tokens before any merge, and no
-pre-token of either crosses a "plain gap": one space or line feed between two
-characters that are not white space. A text is therefore cut at its plain
-gaps, every distinct run is encoded once per worker, and a document's ids are
-the concatenation of its runs' ids. Runs that are not plain (other white
-space at an end) send their whole document through the library's own
-``encode``; the results are equal either way (tests compare both).
+"""Public tokenizer files and library encoding of many texts at once.
+
+Byte level: tiktoken with the ranks of the JSON file, where its ids ascend with
+its merges (tests compare every code point with the tokenizers library). Texts
+that hold the string of an added token go through the library's own ``encode``.
+
+Word level: white space carries no id, so a text is cut at ASCII white space
+and every distinct run of a batch is split into pre-tokens by Arrow's regular
+expressions; the ids of distinct pre-tokens are remembered by the worker. Runs
+beyond plain Latin characters, and texts with special-token strings, go
+through the library's own ``encode``.
+
+``encode_texts`` cuts texts at their "plain gaps" for encoders of single runs:
+no pre-token of the byte-level pattern crosses one space or line feed between
+two characters that are not white space. Runs that are not plain (other white
+space at an end) send their whole document through a plain encoder.
 """
 
 from __future__ import annotations
@@ -26,16 +33,18 @@ from mandisight.llm.common import gather_runs, offsets_of
 WORD_BPE = "word_bpe_49k.json"
 BYTE_BPE = "byte_bpe_50k.json"
 
-#: Distinct runs a worker remembers before it starts afresh.
-MAX_CACHED_RUNS = 400_000
+#: Bytes of items and ids that a worker remembers (about); beyond it the older half is forgotten.
+MAX_CACHED_BYTES = 64 << 20
+#: Bytes that an entry takes besides its text and ids (dictionary slot, string header, places).
+ENTRY_BYTES = 180
 
 # The split patterns stated in the two tokenizer files (the
 # byte-level one is the pre-tokenizer's built-in pattern).
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
-#: Runs of these characters are their own NFC form, lower-case one by one and hold no white space.
-_SIMPLE = regex.compile(r"[\x21-\x7e\xc0-\xff]*")
+# Characters that are their own NFC form, lower-case one by one and hold no white space.
+_SIMPLE = r"^[\x21-\x7e\x{c0}-\x{ff}]*$"
 
 
 def tokenizer_path(name: str) -> str:
@@ -78,23 +87,31 @@ Ragged = tuple[np.ndarray, np.ndarray]
 class RunCache:
     """Ids of the items seen so far, as one flat array with lengths."""
 
-    def __init__(self, encode: Callable[[list], Ragged], limit: int = MAX_CACHED_RUNS):
+    def __init__(self, encode: Callable[[list], Ragged], limit: int = MAX_CACHED_BYTES):
         self.encode, self.limit = encode, limit
-        self.clear()
-
-    def clear(self) -> None:
         self.index: dict = {}
+        self.held = 0
         self.flat, self.lengths, self.starts = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
+    def _forget_older_half(self) -> None:
+        keep = len(self.index) // 2
+        newer = list(itertools.islice(self.index, len(self.index) - keep, None))
+        at = np.arange(len(self.index) - keep, len(self.index))
+        self.flat, self.lengths = self.gather(at), self.lengths[at]
+        self.starts = offsets_of(self.lengths)[:-1]
+        self.index = dict(zip(newer, range(keep), strict=True))
+        self.held = sum(map(len, newer)) + ENTRY_BYTES * keep + 4 * len(self.flat)
+
     def lookup(self, items: list) -> np.ndarray:
-        """Place of every (distinct) item; the new ones are encoded together."""
-        if len(self.index) > self.limit:
-            self.clear()
+        """Place of every (distinct) item; the new ones are encoded together. Places hold until the next call."""
+        if self.held > self.limit:
+            self._forget_older_half()
         index = self.index
         new = [x for x in items if x not in index]
         if new:
             flat, lengths = self.encode(new)
             index.update(zip(new, range(len(index), len(index) + len(new)), strict=True))
+            self.held += sum(map(len, new)) + ENTRY_BYTES * len(new) + 4 * len(flat)
             self.flat = np.concatenate([self.flat, flat.astype(np.int32, copy=False)])
             self.lengths = np.concatenate([self.lengths, lengths])
             self.starts = offsets_of(self.lengths)[:-1]
@@ -120,101 +137,164 @@ _WS = r"\x00-\x20\x7f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202
 _ODD = rf"^\n?$|^\n[{_WS}]|^[{_WS.replace('20', '09', 1)}\x0b-\x20]|[{_WS}]$|<\|"
 
 
-def encode_texts(texts: list, cache: RunCache, whole: Callable[[str], np.ndarray],
-                 leading_space: bool) -> Ragged:
+def used_codes(codes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The codes (below ``n``) that occur, ascending, and the place of each of ``codes`` among them."""
+    mark = np.zeros(n, bool)
+    mark[codes] = True
+    return np.flatnonzero(mark), (np.cumsum(mark) - 1)[codes]
+
+
+def with_whole(flat: np.ndarray, per_doc: np.ndarray, odd_doc: np.ndarray, whole: Callable[[int], np.ndarray]) -> Ragged:
+    """Put the ids of whole documents (``odd_doc``, without ids so far) in their places."""
+    if not odd_doc.any():
+        return flat, per_doc
+    cuts, pieces, lengths = offsets_of(per_doc), [], per_doc.copy()
+    done = 0
+    for i in np.flatnonzero(odd_doc):
+        ids = whole(i)
+        pieces += [flat[cuts[done]:cuts[i]], ids]
+        lengths[i], done = len(ids), i
+    pieces.append(flat[cuts[done]:])
+    return np.concatenate(pieces).astype(np.int32, copy=False), lengths
+
+
+def encode_texts(texts: list, cache: RunCache, whole: Callable[[str], np.ndarray]) -> Ragged:
     """Ids of many texts as (flat int32 ids, ids per text). Null counts as empty.
 
-    ``leading_space``: runs after the first keep the space before them (byte
-    level); otherwise spaces carry no id (word level).
+    Runs after the first keep the space before them (byte level).
     """
     texts = [t or "" for t in texts]
-    n = len(texts)
-    column = pa.array(texts, pa.large_string())
     # A single line feed between words is a run's first character, so that runs do not span lines. A space that
     # was there before it leaves an empty run, which is odd.
-    parts = pc.split_pattern(pc.replace_substring(column, "\n", " \n"), " ") if leading_space \
-        else pc.ascii_split_whitespace(column)
+    parts = pc.split_pattern(pc.replace_substring(pa.array(texts, pa.large_string()), "\n", " \n"), " ")
     ends = parts.offsets.to_numpy()
     coded = pc.dictionary_encode(parts.flatten())
     distinct = coded.dictionary.to_pylist()
     codes = coded.indices.to_numpy()
-    # Where white space carries no id, only special-token text needs a pass of its own.
-    odd = pc.match_substring_regex(coded.dictionary, _ODD if leading_space else r"<\|").to_numpy(zero_copy_only=False)
-    odd_doc = np.add.reduceat(odd[codes], ends[:-1]) > 0 if len(codes) else np.zeros(n, bool)
-    if leading_space:
-        # The first run of a text has no space before it: give it a code of its own.
-        firsts = codes[ends[:-1]]
-        used, back = np.unique(firsts, return_inverse=True)
-        runs = [r if r[:1] == "\n" else " " + r for r in distinct] + [distinct[i] for i in used]
-        codes = codes.copy()
-        codes[ends[:-1]] = len(distinct) + back
-    else:
-        runs = distinct
+    odd = pc.match_substring_regex(coded.dictionary, _ODD).to_numpy(zero_copy_only=False)
+    odd_doc = np.add.reduceat(odd[codes], ends[:-1]) > 0 if len(codes) else np.zeros(len(texts), bool)
+    # The first run of a text has no space before it: give it a code of its own.
+    used, back = used_codes(codes[ends[:-1]], len(distinct))
+    runs = [r if r[:1] == "\n" else " " + r for r in distinct] + [distinct[i] for i in used]
+    codes = codes.copy()
+    codes[ends[:-1]] = len(distinct) + back
     live = ~np.repeat(odd_doc, np.diff(ends))
-    wanted, back = np.unique(codes[live], return_inverse=True)
+    wanted, back = used_codes(codes[live], len(runs))
     at = cache.lookup([runs[i] for i in wanted])
-    run_len = np.zeros(len(codes), np.int64)
-    run_len[live] = cache.lengths[at][back]
-    run_start = np.zeros(len(codes), np.int64)
-    run_start[live] = cache.starts[at][back]
+    run_len, run_start = np.zeros(len(codes), np.int64), np.zeros(len(codes), np.int64)
+    run_len[live], run_start[live] = cache.lengths[at][back], cache.starts[at][back]
     flat = gather_runs(cache.flat, run_start, run_len)
-    per_doc = np.add.reduceat(run_len, ends[:-1]) if n else np.zeros(0, np.int64)
-    if not odd_doc.any():
-        return flat, per_doc
-    cuts, pieces, lengths = offsets_of(per_doc), [], per_doc.copy()
-    done = 0
-    for i in np.flatnonzero(odd_doc):
-        ids = whole(texts[i])
-        pieces += [flat[cuts[done]:cuts[i]], ids]
-        lengths[i], done = len(ids), i
-    pieces.append(flat[cuts[done]:])
-    return np.concatenate(pieces).astype(np.int32, copy=False), lengths
+    per_doc = np.add.reduceat(run_len, ends[:-1]) if len(texts) else np.zeros(0, np.int64)
+    return with_whole(flat, per_doc, odd_doc, lambda i: whole(texts[i]))
 
 
 def ragged(ids: list) -> Ragged:
     lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+    if len(ids) and isinstance(ids[0], np.ndarray):
+        return np.concatenate(ids).astype(np.int32, copy=False), lengths
     return np.fromiter(itertools.chain.from_iterable(ids), np.int32, int(lengths.sum())), lengths
 
 
-def _library_runs(path: str, words: bool) -> Callable[[list[str]], Ragged]:
-    tok, pattern = library(path), regex.compile(WORD_PATTERN if words else BYTE_PATTERN)
-    tokenize, alphabet, is_simple = tok.model.tokenize, byte_alphabet(), _SIMPLE.fullmatch
+@functools.cache
+def byte_ranks(path: str):
+    """tiktoken's encoder with the ranks of a byte-level vocabulary file, or None where its ids do not follow its merges."""
+    import tiktoken
+
+    merged = [c for _, _, c in merge_ranks(path)[1]]
+    if any(a >= b for a, b in itertools.pairwise(merged)):
+        return None
+    plain, vocab = token_bytes(path), model_file(path)["model"]["vocab"]
+    special = {t["id"] for t in model_file(path)["added_tokens"]}
+    return tiktoken.Encoding("byte-level", pat_str=BYTE_PATTERN, special_tokens={},
+                             mergeable_ranks={plain[i]: i for i in vocab.values() if i not in special})
+
+
+def plain_ids(path: str) -> Callable[[str], list[int]]:
+    """text -> ids of a byte-level vocabulary, the strings of special tokens being plain text."""
+    ranks = byte_ranks(path)
+    if ranks is not None:
+        return ranks.encode_ordinary
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(path)
+    tok.no_truncation()
+    tok.no_padding()
+    tok.encode_special_tokens = True
+    return lambda text: tok.encode(text, add_special_tokens=False).ids
+
+
+def _byte_encoder(path: str) -> Callable[[list], Ragged]:
+    tok, plain = library(path), plain_ids(path)
+    special = [t["content"] for t in model_file(path)["added_tokens"]]
+
+    def ids(text: str) -> list[int]:
+        if any(s in text for s in special):
+            return tok.encode(text, add_special_tokens=False).ids
+        return plain(text)
+
+    return lambda texts: ragged([np.array(ids(t) if t else [], np.int32) for t in texts])
+
+
+class WordEncoder:
+    """Texts to ids of the word-level vocabulary (lower case, white space dropped)."""
 
-    def model_ids(pieces: list[str]) -> Ragged:
+    # The pattern for runs without white space, each pre-token behind a mark that no simple run holds.
+    _MARKED = WORD_PATTERN.replace(r"[^\s", "[^")
+
+    def __init__(self, path: str):
+        self.tok = library(path)
+        self.pieces, self.others = RunCache(self._piece_ids), RunCache(self._other_ids)
+
+    def _piece_ids(self, pieces: list[str]) -> Ragged:
         # ASCII letters and digits stand for themselves in the byte alphabet.
+        tokenize, alphabet = self.tok.model.tokenize, byte_alphabet()
         mapped = [p if p.isascii() and p.isalnum() else "".join(map(alphabet.__getitem__, p.encode())) for p in pieces]
         return ragged([[t.id for t in tokenize(p)] for p in mapped])
 
-    pieces = RunCache(model_ids)
-
-    def encode(runs: list[str]) -> Ragged:
-        if not words:
-            return split_and_encode(runs, pattern, pieces)
-        # Characters beyond the simple ones: the library normalises and splits the run itself.
-        simple = np.fromiter((is_simple(r) is not None for r in runs), bool, len(runs))
-        flat, lengths = split_and_encode([r.lower() for r, ok in zip(runs, simple, strict=True) if ok], pattern, pieces)
-        if simple.all():
+    def _other_ids(self, runs: list[str]) -> Ragged:
+        return ragged([self.tok.encode(r, add_special_tokens=False).ids for r in runs])
+
+    def _run_ids(self, runs: pa.Array) -> Ragged:
+        """Ids of distinct runs, in their order."""
+        simple = pc.match_substring_regex(runs, _SIMPLE)
+        lowered = pc.utf8_lower(runs.filter(simple))
+        split = pc.split_pattern(pc.ascii_ltrim(pc.replace_substring_regex(
+            lowered, f"({self._MARKED})", "\x01\\1"), characters="\x01"), "\x01")
+        coded, ends = pc.dictionary_encode(split.flatten()), split.offsets.to_numpy()
+        at = self.pieces.lookup(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+        flat, lengths = self.pieces.gather(at), np.diff(offsets_of(self.pieces.lengths[at])[ends])
+        if len(lengths) == len(runs):
             return flat, lengths
-        more, counts = ragged([tok.encode(r, add_special_tokens=False).ids
-                               for r, ok in zip(runs, simple, strict=True) if not ok])
-        both = np.zeros(len(runs), np.int64)
-        both[simple], both[~simple] = lengths, counts
-        starts = np.zeros(len(runs), np.int64)
-        starts[simple], starts[~simple] = offsets_of(lengths)[:-1], len(flat) + offsets_of(counts)[:-1]
+        other = ~simple.to_numpy(zero_copy_only=False)
+        found = self.others.lookup(runs.filter(pa.array(other)).to_pylist())
+        more, counts = self.others.gather(found), self.others.lengths[found]
+        both, starts = np.zeros(len(runs), np.int64), np.zeros(len(runs), np.int64)
+        both[~other], both[other] = lengths, counts
+        starts[~other], starts[other] = offsets_of(lengths)[:-1], len(flat) + offsets_of(counts)[:-1]
         return gather_runs(np.concatenate([flat, more]), starts, both), both
 
-    return encode
+    def __call__(self, texts: list) -> Ragged:
+        texts = [t or "" for t in texts]
+        parts = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
+        coded, ends = pc.dictionary_encode(parts.flatten()), parts.offsets.to_numpy()
+        codes, distinct = coded.indices.to_numpy(), coded.dictionary
+        odd_doc = np.zeros(len(texts), bool)
+        if len(codes):
+            odd = pc.match_substring(distinct, "<|").to_numpy(zero_copy_only=False)
+            odd_doc = np.add.reduceat(odd[codes], ends[:-1]) > 0
+        flat, lengths = self._run_ids(distinct)
+        run_len = lengths[codes]
+        run_len[np.repeat(odd_doc, np.diff(ends))] = 0
+        flat = gather_runs(flat, offsets_of(lengths)[:-1][codes], run_len)
+        per_doc = np.add.reduceat(run_len, ends[:-1]) if len(texts) else np.zeros(0, np.int64)
+        return with_whole(flat, per_doc, odd_doc, lambda i: np.array(
+            self.tok.encode(texts[i], add_special_tokens=False).ids, np.int32))
 
 
 @functools.cache
 def library_encoder(path: str, words: bool) -> Callable[[list], Ragged]:
     """texts -> (flat ids, ids per text), equal to the library's encode."""
-    tok, cache = library(path), RunCache(_library_runs(path, words))
-
-    def whole(text: str) -> np.ndarray:
-        return np.array(tok.encode(text, add_special_tokens=False).ids, np.int32)
-
-    return lambda texts: encode_texts(texts, cache, whole, leading_space=not words)
+    return WordEncoder(path) if words else _byte_encoder(path)
 
 
 def token_bytes(path: str) -> list[bytes]:
