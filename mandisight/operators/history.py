@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schemas import SERIES
+from ..sources.sizing import broadcast_if_small
 from .dedupe import keep_first, keep_last
 from .skew import salted_join
 
@@ -128,6 +129,56 @@ def filtered_history_sets(df: DataFrame, param_sets: Sequence[dict], days: int =
             .orderBy("filter_id", "arrival_date", "market", "variety"))
 
 
+# Filters of a history request besides the commodity; each may be left open (NULL).
+OPEN_FILTERS = ["state", "district", "market", "variety"]
+
+
+def open_mask() -> Column:
+    """Which of OPEN_FILTERS a request sets, as a bit mask (at most 16 values)."""
+    return reduce(lambda a, b: a + b, [F.col(c).isNotNull().cast("int") * (1 << k) for k, c in enumerate(OPEN_FILTERS)])
+
+
+def _masked(df: DataFrame, masks: Sequence[int], *carry: str) -> DataFrame:
+    """Each row once per mask, with the filter columns that the mask leaves open set to NULL (``_k_*``)."""
+    each = df.withColumn("_mask", F.explode(F.array(*[F.lit(m) for m in masks])))
+    keys = [F.when(F.col("_mask").bitwiseAND(1 << k) != 0, F.col(c)).alias(f"_k_{c}") for k, c in enumerate(OPEN_FILTERS)]
+    return each.select(*carry, "_mask", F.col("commodity").alias("_k_commodity"), *keys)
+
+
+def history_for_filters(prices: DataFrame, requests: DataFrame, days: int = 7,
+                        show: Sequence[str] = (*SERIES, "variety", "grade", *PRICE_VIEW)) -> DataFrame:
+    """C5 for a table of requests (req_id, commodity, state, district, market, variety): the rows of each request
+    on the latest ``days`` distinct dates among the rows that pass its filters.
+
+    A NULL filter is left open; a NULL commodity matches nothing (SQL ``=``). A set filter never matches a NULL.
+    ``requests`` is a stored table: which filters its requests set is at most 16 masks, and a price row meets each
+    mask in use once, with the open columns blanked, so every join is an equi-join and the plan does not grow with
+    the number of requests. Two scans of the prices: a narrow one for the dates, reduced to distinct
+    (filters, date) inside the tasks, and one for the rows.
+    """
+    asked = requests.where(F.col("commodity").isNotNull()).select(
+        "req_id", open_mask().alias("_mask"), *[F.col(c).alias(f"_k_{c}") for c in ("commodity", *OPEN_FILTERS)])
+    masks = sorted(r["_mask"] for r in asked.select("_mask").distinct().collect()) or [0]  # at most 16
+    keys = ["_mask", "_k_commodity", *[f"_k_{c}" for c in OPEN_FILTERS]]
+
+    def same(left: DataFrame, right: DataFrame, names: Sequence[str]) -> Column:
+        # Open filters are NULL on both sides; a set filter is not NULL in the request.
+        return reduce(lambda a, b: a & b, [left[c].eqNullSafe(right[c]) for c in names])
+
+    wanted = broadcast_if_small(asked.select(*keys).distinct(), requests)
+    dated = _masked(prices, masks, "arrival_date")
+    found = dated.join(wanted, same(dated, wanted, keys), "left_semi").where(F.col("arrival_date").isNotNull()).distinct()
+    latest = Window.partitionBy(*keys).orderBy(F.col("arrival_date").desc())
+    top = (found.withColumn("_r", F.row_number().over(latest)).where(F.col("_r") <= days)
+           .select(*keys, F.col("arrival_date").alias("_date")))
+    # At most ``days`` rows a request.
+    dates = asked.join(top, same(asked, top, keys)).select("req_id", *[asked[c] for c in keys], "_date")
+    rows = _masked(prices.withColumn("_row", F.struct(*show)), masks, "_row", "arrival_date")
+    return (rows.join(broadcast_if_small(dates, requests, days),
+                      same(rows, dates, keys) & (F.col("arrival_date") == F.col("_date")))
+            .select("req_id", "_row.*"))
+
+
 def supported(df: DataFrame, names: Sequence[str] = SUPPORTED_COMMODITIES,
               column: str = "commodity") -> DataFrame:
     """C4: exact-case membership; a literal IN list is pushed to the scan."""

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from .sqlrules import KB, RULE_CTES, WEATHER_CTES
-from .sqltext import (BASE_CTES, LATEST_ROW, PRICES, REQUESTS, SERIES, TIE_DESC, cents_text,
-                      dstr, pct, r4, rhe, with_ctes)
+from .sqltext import (BASE_CTES, LATEST_ROW, MARKET_DIM, PRICES, REQUESTS, SERIES, TIE_DESC, cents_text,
+                      _cycle, dstr, pct, r4, rhe, with_ctes)
 
 
 def _market_summary() -> str:
@@ -118,6 +118,23 @@ FROM prices WHERE {cond} AND arrival_date IN (
     return with_ctes(("prices", PRICES), body="\nUNION ALL\n".join(parts))
 
 
+def _history_filter_requests() -> str:
+    brand = "'Brand#' || CAST((s_suppkey + mask) % 25 + 1 AS VARCHAR)"
+    values = [("state", "state"), ("district", "district"), ("market", "market"), ("variety", brand)]
+    filters = ", ".join(f"CASE WHEN (mask >> {b}) % 2 = 1 THEN {v} END AS {c}" for b, (c, v) in enumerate(values))
+    req = f"""
+SELECT s_suppkey * 16 + mask AS req_id,
+  CASE WHEN s_suppkey % 7 <> 3 THEN ([{_cycle}])[CAST(s_suppkey % 6 + 1 AS INTEGER)] END AS commodity, {filters}
+FROM ({MARKET_DIM}), range(16) masks(mask) WHERE s_suppkey % 7 <> 3 OR mask = s_suppkey % 16"""
+    passes = " AND ".join(f"(r.{c} IS NULL OR r.{c} = p.{c})" for c, _ in values)
+    return with_ctes(("prices", PRICES), ("req", req), body=f"""
+SELECT req_id, {SERIES}, {dstr('arrival_date')} AS arrival_date, variety, grade,
+  {r4('modal_price')} AS modal_price, l_orderkey, l_linenumber
+FROM (SELECT r.req_id, p.*, dense_rank() OVER (PARTITION BY r.req_id ORDER BY p.arrival_date DESC) AS k
+      FROM req r JOIN prices p ON p.commodity = r.commodity AND {passes})
+WHERE k <= 7""")
+
+
 def _supported_commodities() -> str:
     from .catalog import DRIVER_SUPPORTED
     names = ", ".join(f"'{n}'" for n in DRIVER_SUPPORTED)
@@ -471,6 +488,8 @@ def oracle_sql() -> dict[str, str]:
         "bad_files": _bad_files(),
         "bulk_load_table": _bulk_load_table(),
         "api_sync_table": _api_sync_table(),
+        # Two syncs leave the same table however they came in, and a replay changes nothing.
+        "stream_sync_table": _api_sync_table(),
         "landed_forecast": _landed_forecast(),
         "carry_forward": _carry_forward(),
         "sync_status": _sync_status(),
@@ -491,6 +510,7 @@ def oracle_sql() -> dict[str, str]:
         "latest_per_group_ties": _latest_per_group_ties(),
         "blank_district_lookup": _blank_district_lookup(),
         "optional_filters": _optional_filters(),
+        "history_filter_requests": _history_filter_requests(),
         "supported_commodities": _supported_commodities(),
         "markets_per_commodity": _markets_per_commodity(),
     }

@@ -191,6 +191,20 @@ def farmer_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def filter_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One history request per supplier and filter mask: its own place, the crop of its turn, a brand of its turn;
+    the bits of the mask say which of state, district, market and variety are set. Every seventh supplier asks
+    with the mask of its key alone and names no commodity."""
+    dim = market_dim(spark, sf_dir).withColumn("mask", F.explode(F.sequence(F.lit(0), F.lit(15))))
+    k, mask = F.col("s_suppkey"), F.col("mask")
+    crop = F.element_at(F.array(*[F.lit(c) for c in COMMODITY_CYCLE]), (k % len(COMMODITY_CYCLE) + 1).cast("int"))
+    brand = F.concat(F.lit("Brand#"), ((k + mask) % 25 + 1).cast("string"))
+    return dim.where((k % 7 != 3) | (mask == k % 16)).select(
+        (k * 16 + mask).alias("req_id"), F.when(k % 7 != 3, crop).alias("commodity"),
+        *[F.when(mask.bitwiseAND(1 << b) != 0, value).alias(name) for b, (name, value) in enumerate(
+            [("state", F.col("state")), ("district", F.col("district")), ("market", F.col("market")), ("variety", brand)])])
+
+
 def sync_log_from_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sync log rows: one entry per order month, records added = orders in it."""
     o = table(spark, sf_dir, "orders").select("o_orderdate")

@@ -22,10 +22,10 @@ def file_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def broadcast_if_small(df: DataFrame, source: DataFrame) -> DataFrame:
+def broadcast_if_small(df: DataFrame, source: DataFrame, rows_each: int = 1) -> DataFrame:
     """``broadcast(df)`` when ``source``, the scan it comes from, is small
-    (``df`` must not have more rows than its source table)."""
-    return F.broadcast(df) if file_bytes(source) <= MAX_BROADCAST_BYTES else df
+    (``df`` must not have more than ``rows_each`` rows per row of its source table)."""
+    return F.broadcast(df) if file_bytes(source) * rows_each <= MAX_BROADCAST_BYTES else df
 
 
 def spread_small(df: DataFrame) -> DataFrame:
