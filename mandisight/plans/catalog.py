@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates as D
-from ..functions.numbers import round_half_even, safe_float
+from ..functions.numbers import round_half_even, safe_float, scaled_round
 from ..operators import cleanse, history, market, rules, upsert
 from ..operators.dedupe import keep_last
 from ..schemas import KEY_COLUMNS, PRICE_COLUMNS, SERIES
@@ -24,7 +24,7 @@ from . import sync
 
 
 def r4(c):
-    return round_half_even(c, 4)
+    return scaled_round(c, 4)
 
 
 def d2s(c):
@@ -282,6 +282,16 @@ def q_parse_dates(spark, sf_dir):
                     F.date_format(D.parse_lenient_timestamp("date_text"), "yyyy-MM-dd HH:mm:ss").alias("lenient_ts"))
 
 
+def q_round_ties(spark, sf_dir):
+    """Values whose scaled double is a tie, at 2, 1, 0 and -1 decimals, as Python's ``round`` rounds them."""
+    n = F.col("l_orderkey") * 100 + F.col("l_partkey") % 100
+    half = dt.table(spark, sf_dir, "lineitem").select(
+        ((n * 10 + 5) * F.when(F.col("l_linenumber") % 2 == 0, -1).otherwise(1)).alias("n")).distinct()
+    x = F.col("n").cast("double")
+    return half.select("n", round_half_even(x / 1000.0, 2).alias("hundredths"), round_half_even(x / 100.0, 1).alias("tenths"),
+                       round_half_even(x / 10.0, 0).alias("whole"), round_half_even(x, -1).alias("tens"))
+
+
 def q_null_defaults(spark, sf_dir):
     p = dt.prices(spark, sf_dir)
     ln = F.col("l_linenumber")
@@ -344,6 +354,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "clean_api_numbers": q_clean_api_numbers,
     "parse_dates": q_parse_dates,
     "null_defaults": q_null_defaults,
+    "round_ties": q_round_ties,
     "dedupe_keep_last": q_dedupe_keep_last,
     "upsert_full": q_upsert_full,
     "upsert_prices_only": q_upsert_prices_only,

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import present as K
-from ..functions.numbers import parse_number_lenient, round_half_even, plain_double_text
+from ..functions.numbers import parse_number_lenient, plain_double_text, round_half_even, scaled_round
 from ..functions.text import clean_text_for_speech, language_code
 from ..operators import history, payload
 from ..schemas import SERIES
@@ -18,7 +18,7 @@ LANGUAGE = "Telugu"
 
 
 def r4(c):
-    return round_half_even(c, 4)
+    return scaled_round(c, 4)
 
 
 def d2s(c):

@@ -267,6 +267,27 @@ FROM cleaned GROUP BY commodity
 UNION ALL SELECT 'SMALL-short', 'skipped', 13, 0""")
 
 
+def _quarantined_lines() -> str:
+    columns = ["state", "district", "market", "commodity_group", "commodity", "variety", "grade", "min_price",
+               "max_price", "modal_price", "price_unit", "arrival_quantity", "arrival_unit", "arrival_date"]
+
+    def written(names: list[str]) -> str:
+        # As a CSV writer leaves a field: padding cut, quoted if it holds a comma or nothing.
+        return " || ',' || ".join(
+            f"CASE WHEN trim({c}) LIKE '%,%' THEN '\"' || trim({c}) || '\"' WHEN trim({c}) = '' THEN '\"\"' "
+            f"ELSE coalesce(trim({c}), '') END" for c in names)
+
+    return with_ctes(("prices", PRICES), ("raw", _raw()), body=f"""
+SELECT export, reason, text, count(*) AS n_lines FROM (
+  SELECT commodity AS export, {written(columns)} AS text,
+    CASE WHEN l_linenumber = 5 THEN 'no market' WHEN l_linenumber = 3 THEN 'bad arrival_date'
+         WHEN l_linenumber = 1 THEN 'no modal_price' END AS reason FROM raw
+  UNION ALL
+  SELECT 'SMALL-short', {written([c for c in columns if c != 'arrival_unit'])}, 'file has 13 fields'
+  FROM raw WHERE commodity = 'SMALL')
+WHERE reason IS NOT NULL GROUP BY export, reason, text""")
+
+
 def _bulk_load_table() -> str:
     last = f"""
 SELECT * EXCLUDE (k) FROM (SELECT c.*, row_number() OVER (PARTITION BY {_KEY}
@@ -356,6 +377,14 @@ SELECT l_orderkey, l_linenumber, date_text,
 FROM texts""")
 
 
+def _round_ties() -> str:
+    return f"""
+SELECT n, {rhe('n / 1000.0::DOUBLE', 2)} AS hundredths, {rhe('n / 100.0::DOUBLE', 1)} AS tenths,
+  {rhe('n / 10.0::DOUBLE', 0)} AS whole, {rhe('n', -1)} AS tens
+FROM (SELECT DISTINCT ((l_orderkey * 100 + l_partkey % 100) * 10 + 5) * CASE WHEN l_linenumber % 2 = 0 THEN -1 ELSE 1 END AS n
+      FROM lineitem)"""
+
+
 def _null_defaults() -> str:
     return with_ctes(("prices", PRICES), body=f"""
 SELECT l_orderkey, l_linenumber,
@@ -481,11 +510,13 @@ def oracle_sql() -> dict[str, str]:
         "clean_api_numbers": _clean_api_numbers(),
         "parse_dates": _parse_dates(),
         "null_defaults": _null_defaults(),
+        "round_ties": _round_ties(),
         "dedupe_keep_last": _dedupe_keep_last(),
         "upsert_full": _upsert_full(),
         "upsert_prices_only": _upsert_prices_only(),
         "upsert_counts": _upsert_counts(),
         "bad_files": _bad_files(),
+        "quarantined_lines": _quarantined_lines(),
         "bulk_load_table": _bulk_load_table(),
         "api_sync_table": _api_sync_table(),
         # Two syncs leave the same table however they came in, and a replay changes nothing.

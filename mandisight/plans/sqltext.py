@@ -13,16 +13,21 @@ SERIES = "state, district, market, commodity"
 
 
 def rhe(expr: str, digits: int = 0) -> str:
-    """Half-to-even rounding on the scaled double (``round_even(.., 0)`` is rint)."""
-    if digits >= 0:
-        scale = f"{float(10 ** digits)!r}::DOUBLE"
-        return f"(round_even(CAST({expr} AS DOUBLE) * {scale}, 0) / {scale})"
-    scale = f"{float(10 ** (-digits))!r}::DOUBLE"
-    return f"(round_even(CAST({expr} AS DOUBLE) / {scale}, 0) * {scale})"
+    """Python's ``round``, half to even, in whole numbers: the double times 2**64 is exact (from 2**-12 on), so the
+    quotient by the unit and its remainder say where the value lies."""
+    times, unit = (10 ** digits, 1) if digits >= 0 else (1, 10 ** -digits)
+    one = 2 ** 64
+    n = f"CAST(abs(v) * {float(one)!r}::DOUBLE AS HUGEINT) * {times}"
+    part, rest = f"(({n}) // {one * unit}::HUGEINT)", f"(2 * (({n}) % {one * unit}::HUGEINT))"
+    up = f"(CASE WHEN {rest} > {one * unit}::HUGEINT OR ({rest} = {one * unit}::HUGEINT AND {part} % 2 = 1) THEN 1 ELSE 0 END)"
+    back = f"/ {float(times)!r}::DOUBLE" if digits >= 0 else f"* {float(unit)!r}::DOUBLE"
+    return (f"list_transform([CAST({expr} AS DOUBLE)], lambda v: CASE WHEN abs(v) >= {2.0**53 / times!r}::DOUBLE THEN v "
+            f"ELSE CAST({part} + {up} AS DOUBLE) {back} * (CASE WHEN v < 0 THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END) END)[1]")
 
 
 def r4(expr: str) -> str:
-    return rhe(expr, 4)
+    """How results are shown: four decimals of the scaled double, the same bits on any engine."""
+    return f"(round_even(CAST({expr} AS DOUBLE) * 10000.0::DOUBLE, 0) / 10000.0::DOUBLE)"
 
 
 def dstr(expr: str) -> str:

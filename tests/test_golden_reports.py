@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from mandisight.operators import market
 from mandisight.plans.sync import bulk_load
+from mandisight.schemas import PRICE_COLUMNS
 from mandisight.sources import reports
 
 TITLE = ",,,,,,,Daily Price Arrival Report-01-06-2026 to 08-07-2026 for Andhra Pradesh,,,,,,\n"
@@ -52,8 +53,10 @@ def _write_reports(tmp_path):
 
 @pytest.fixture()
 def loaded(spark, tmp_path):
-    path = _write_reports(tmp_path)
-    clean, report = reports.load_reports(spark, path)
+    (tmp_path / "in").mkdir()
+    path = _write_reports(tmp_path / "in")
+    scan = reports.scan_reports(spark, path, str(tmp_path / "staged"))
+    clean, report = scan.rows, scan.report
     return clean, report
 
 
@@ -66,6 +69,38 @@ def test_load_counts_and_bad_file(loaded):
     assert clean.count() == sum(len(p) + 1 for p, _ in SERIES.values())
 
 
+def _line(**changes):
+    row = dict(zip(PRICE_COLUMNS, ["Andhra Pradesh", "Chittor", "Palamaner APMC", "Vegetables", "Potato", "V", "FAQ",
+                                   "900.00", "1100.00", "1000.00", "Rs./Quintal", "2.00", "Metric Tonnes", "30-06-2026"]))
+    return ",".join((row | changes).values())
+
+
+def test_quarantine_names_every_lost_line(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    bad = {_line(state=""): "no state", _line(market="N/A"): "no market", _line(commodity="null"): "no commodity",
+           _line(arrival_date=""): "no arrival_date", _line(arrival_date="31-02-2026"): "bad arrival_date",
+           _line(modal_price="NaN"): "no modal_price", _line(modal_price="1x"): "bad modal_price",
+           "only,three,fields": "no commodity", ",".join(PRICE_COLUMNS): "bad arrival_date"}
+    (tmp_path / "in" / "good.csv").write_text("\n".join([_line(), "", "   ", *bad, _line(modal_price='"1,000.00"')]) + "\n")
+    (tmp_path / "in" / "wide.csv").write_text(_line() + "\n" + _line() + ",more\n")
+    scan = reports.scan_reports(spark, str(tmp_path / "in"), str(tmp_path / "staged"))
+    lost = {(r.source_file.rsplit("/", 1)[1], r.text, r.reason) for r in scan.quarantine.collect()}
+    assert lost == {("good.csv", t, reason) for t, reason in bad.items()} | {
+        ("wide.csv", t, "file has 15 fields") for t in (_line(), _line() + ",more")}
+    assert [r.modal_price for r in scan.rows.orderBy("line").collect()] == [1000.0, 1000.0]
+    files = {r.file_name: (r.status, r.n_fields, r.valid_rows) for r in scan.report.collect()}
+    assert files == {"good.csv": ("loaded", 14, 2), "wide.csv": ("skipped", 15, 0)}
+
+
+def test_bulk_load_without_a_valid_file_still_leaves_the_quarantine(spark, tmp_path):
+    from mandisight.plans import jobs
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.csv").write_text("a,b\n")
+    with pytest.raises(ValueError):
+        jobs.run_bulk_load(spark, str(tmp_path / "in"), str(tmp_path / "table"), quarantine_path=str(tmp_path / "lost"))
+    assert [(r.reason, r.text) for r in spark.read.parquet(str(tmp_path / "lost")).collect()] == [("file has 2 fields", "a,b")]
+
+
 def test_numbers_and_dates_parsed(loaded):
     clean, _ = loaded
     r = clean.where((F.col("commodity") == "Brinjal") & (F.col("arrival_date") == dt.date(2026, 7, 1))).first()

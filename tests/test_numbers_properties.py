@@ -4,8 +4,10 @@ Each hypothesis example is a batch of values evaluated in one Spark job.
 """
 
 import math
+import random
 import re
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -16,15 +18,29 @@ finite = st.floats(min_value=-1e7, max_value=1e7, allow_nan=False, allow_infinit
 
 
 @settings(max_examples=4, deadline=None)
-@given(st.lists(finite, min_size=1, max_size=300), st.sampled_from([0, 1, 2, 4]))
+@given(st.lists(finite, min_size=1, max_size=300), st.sampled_from([0, 1, 2, 4, -1]))
 def test_round_half_even_matches_python_round(spark, xs, digits):
     df = spark.createDataFrame([(x,) for x in xs], "x double")
     got = [r[0] for r in df.select(round_half_even("x", digits)).collect()]
-    for x, g in zip(xs, got):
-        scaled = x * 10 ** digits
-        if abs(scaled - math.floor(scaled) - 0.5) == 0.0:
-            continue  # the scaled double is an exact tie: documented difference
-        assert g == round(x, digits) or abs(g - round(x, digits)) <= 1e-9 * max(1.0, abs(x)), (x, g)
+    assert got == [round(x, digits) for x in xs]
+
+
+@pytest.mark.parametrize("digits", [0, 1, 2, 3, 4, -1])
+def test_values_at_and_beside_ties_round_as_in_python(spark, digits):
+    rng = random.Random(digits)
+    ties = [2.675, 1.005, 0.285, 0.5, 1.5, 2.5, -2.5, -0.285, 0.0, 1e15 + 0.5, 2.0**52 + 1, 2.0**53 + 2, 1e300, 5e-324]
+    ties += [(2 * rng.randrange(10**6) + 1) * 5 / 10 ** (digits + 1) for _ in range(3000)]
+    ties += [-x for x in ties]
+    xs = ties + [math.nextafter(x, math.inf) for x in ties] + [math.nextafter(x, -math.inf) for x in ties]
+    df = spark.createDataFrame([(x,) for x in xs], "x double")
+    got = [r[0] for r in df.select(round_half_even("x", digits)).collect()]
+    assert [(x, g) for x, g in zip(xs, got) if g != round(x, digits)] == []
+
+
+def test_round_half_even_keeps_null_nan_and_infinity(spark):
+    df = spark.createDataFrame([(None,), (math.inf,), (-math.inf,), (math.nan,)], "x double")
+    got = [r[0] for r in df.select(round_half_even("x", 2)).collect()]
+    assert got[:3] == [None, math.inf, -math.inf] and math.isnan(got[3])
 
 
 def js_parse(value, fallback):

@@ -74,12 +74,14 @@ def test_low_cardinality_join_is_salted(spark):
     assert "_salt" in plan
 
 
-def test_report_loader_never_shuffles_by_file(spark, tmp_path):
+def test_report_loader_scans_the_text_once_and_never_shuffles_by_file(spark, tmp_path):
     from mandisight.sources import reports
-    (tmp_path / "a.csv").write_text("x,y\n")
-    clean, _ = reports.load_reports(spark, str(tmp_path))
-    plan = _spark_plan(clean)
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.csv").write_text("x,y\n")
+    scan = reports.scan_reports(spark, str(tmp_path / "in"), str(tmp_path / "staged"))
+    plan = _spark_plan(scan.rows)
     assert "BroadcastHashJoin" in plan and "hashpartitioning(source_file" not in plan
+    assert not any("FileScan text" in _spark_plan(df) for df in (scan.rows, scan.report, scan.quarantine))
 
 
 def test_filtered_history_broadcasts_bounded_dates(spark):
