@@ -9,6 +9,8 @@ import zipfile
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -91,6 +93,21 @@ def text_chunks(texts: list, max_chars: int = 1_000_000) -> Iterator[tuple[int,
         yield start, len(texts)
 
 
+def text_runs(batches: Iterator[pa.RecordBatch], max_bytes: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+    """Arrow batches cut into runs of rows whose ``text`` holds about ``max_bytes`` (one longer text is a run of its
+    own); null texts become empty."""
+    for batch in batches:
+        at = batch.schema.get_field_index("text")
+        batch = batch.set_column(at, "text", pc.fill_null(batch.column(at), ""))
+        held = np.cumsum(pc.binary_length(batch.column(at)).to_numpy(zero_copy_only=False), dtype=np.int64)
+        start = 0
+        while start < batch.num_rows:
+            done = held[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(held, done + max_bytes, side="right")))
+            yield batch.slice(start, stop - start)
+            start = stop
+
+
 def offsets_of(lengths: np.ndarray) -> np.ndarray:
     """Start offsets, with the total at the end."""
     out = np.zeros(len(lengths) + 1, np.int64)

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mandisight.llm import store
-from mandisight.llm.common import ASCII_SPACE, fresh_path, offsets_of, table, text_chunks, written
+from mandisight.llm.common import ASCII_SPACE, fresh_path, offsets_of, table, text_runs, written
 
 MIN_DOCS = 10
 MIN_CHARS = 1
@@ -50,6 +50,8 @@ KEYS_PER_SHARD = 1 << 20
 GAMMA = 2
 #: Bytes of shards that a worker keeps between runs of texts.
 HELD_BYTES = 64 << 20
+#: Text that is split and probed together.
+RUN_BYTES = 4_000_000
 
 MAGIC = b"LINEMPH1"
 
@@ -184,28 +186,12 @@ def hashes(keys: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return both[:, 0].copy(), both[:, 1].copy()
 
 
-def _runs(batches: Iterator[pa.RecordBatch], longest: int = 4_000_000) -> Iterator[tuple[pa.Array | None, pa.Array]]:
-    """(ids, texts) in runs of bounded size, null texts as empty ones."""
-    for batch in batches:
-        texts = pc.fill_null(batch.column("text"), "")
-        ids = batch.column("doc_id") if "doc_id" in batch.schema.names else None
-        sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False)
-        for a, b in text_chunks(_Sizes(sizes), longest):
-            yield ids.slice(a, b - a) if ids is not None else None, texts.slice(a, b - a)
-
-
-class _Sizes(list):
-    """Texts known by their size only, for ``text_chunks``."""
-
-    def __init__(self, sizes):
-        super().__init__(map(range, sizes.tolist()))
-
-
 def line_counts(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """(h1, h2, n): the number of documents that hold each distinct line key of at least ``min_chars`` code points."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in _runs(batches):
+        for run_ in text_runs(batches, RUN_BYTES):
+            texts = run_.column("text")
             offsets, _, coded = split_lines(texts)
             codes, distinct = coded.indices.to_numpy().astype(np.int64), coded.dictionary
             doc = np.repeat(np.arange(len(texts)), np.diff(offsets))
@@ -266,7 +252,8 @@ def drop_lines(docs: DataFrame, index: DataFrame, min_docs: int = MIN_DOCS, min_
     lines = LineIndex(files[0]["n_shards"] if files else 1, {r["shard"]: r["uri"] for r in files})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in _runs(batches):
+        for run_ in text_runs(batches, RUN_BYTES):
+            ids, texts = run_.column("doc_id"), run_.column("text")
             offsets, flat, coded = split_lines(texts)
             long_enough = pc.greater_equal(pc.utf8_length(coded.dictionary), min_chars).to_numpy(zero_copy_only=False)
             gone = (lines.count(*hashes(coded.dictionary)) >= min_docs) & long_enough

@@ -27,20 +27,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from mandisight.llm import store, vocab
-from mandisight.llm.common import fresh_path, offsets_of, table, text_chunks, written
+from mandisight.llm.common import fresh_path, offsets_of, table, text_runs, written
 
 MAGIC = b"TIDPLAN1"
 BLOCK = 1 << 16
 UNIT = 1 << 20
 UNITS_PER_TASK = 4
-#: Characters encoded together: the more, the more words repeat.
-CHUNK_CHARS = 4_000_000
+#: Text encoded together: the more, the more words repeat.
+CHUNK_BYTES = 4_000_000
 END_ID = 1
 
 
@@ -155,6 +156,7 @@ class ShardReader:
             start = stop
 
 
+UNIT_COLUMNS = ["shard", "uri", "unit", "first_doc", "n_docs", "first_id", "n_ids"]
 UNIT_SCHEMA = "shard int, uri string, unit int, first_doc long, n_docs long, first_id long, n_ids long"
 
 
@@ -164,30 +166,28 @@ def write_shards(docs: DataFrame, folder: str, path: str | None = None, end_id:
     returned table (one row per reading unit) is the manifest and names the files that count."""
     file = path or vocab.tokenizer_path(vocab.WORD_BPE)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         encode, writer = vocab.library_encoder(file, True), None
         shard = TaskContext.get().partitionId()
-        for batch in batches:
-            texts = [t if isinstance(t, str) else "" for t in batch["text"]]
-            doc_ids = batch["doc_id"].astype("Int64")
-            for a, b in text_chunks(texts, CHUNK_CHARS):
-                flat, counts = encode(texts[a:b])
-                cuts = offsets_of(counts)
-                if writer is None:
-                    writer = ShardWriter(f"{folder}/shard-{shard:06d}-{uuid.uuid4().hex}.tid", kind, block, unit)
-                for k in range(b - a):
-                    doc_id = doc_ids.iloc[a + k]
-                    writer.add(None if doc_id is pd.NA else int(doc_id),
-                               np.append(flat[cuts[k]:cuts[k + 1]], end_id).astype("<u4"))
+        for run_ in text_runs(batches, CHUNK_BYTES):
+            flat, counts = encode(run_.column("text"))
+            # The end id behind every document's ids.
+            closed = np.insert(flat.astype("<u4"), np.cumsum(counts), end_id)
+            cuts = offsets_of(counts + 1)
+            if writer is None:
+                writer = ShardWriter(f"{folder}/shard-{shard:06d}-{uuid.uuid4().hex}.tid", kind, block, unit)
+            for doc_id, a, b in zip(run_.column("doc_id").to_pylist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                writer.add(doc_id, closed[a:b])
         if writer:
             writer.close()
-            yield pd.DataFrame([(shard, writer.uri, i, *u) for i, u in enumerate(writer.units)],
-                               columns=["shard", "uri", "unit", "first_doc", "n_docs", "first_id", "n_ids"])
+            rows = [(shard, writer.uri, i, *u) for i, u in enumerate(writer.units)]
+            yield pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=UNIT_COLUMNS).astype({"shard": "int32", "unit": "int32"}),
+                                             preserve_index=False)
 
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return written(ordered.mapInPandas(run, UNIT_SCHEMA), "token-manifest")
+    ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    return written(ordered.mapInArrow(run, UNIT_SCHEMA), "token-manifest")
 
 
 def read_units(manifest: DataFrame, keep_ids: bool = False) -> DataFrame:

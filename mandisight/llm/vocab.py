@@ -5,9 +5,9 @@ its merges (tests compare every code point with the tokenizers library). Texts
 that hold the string of an added token go through the library's own ``encode``.
 
 Word level: white space carries no id, so a text is cut at ASCII white space
-and every distinct run of a batch is split into pre-tokens by Arrow's regular
-expressions; the ids of distinct pre-tokens are remembered by the worker. Runs
-beyond plain Latin characters, and texts with special-token strings, go
+and the distinct runs of a batch are split into pre-tokens by Arrow's regular
+expressions and encoded in one pass of tiktoken over the ranks of the file.
+Runs beyond plain Latin characters, and texts with special-token strings, go
 through the library's own ``encode``.
 
 ``encode_texts`` cuts texts at their "plain gaps" for encoders of single runs:
@@ -235,50 +235,86 @@ def _byte_encoder(path: str) -> Callable[[list], Ragged]:
     return lambda texts: ragged([np.array(ids(t) if t else [], np.int32) for t in texts])
 
 
+#: Ends a pre-token of the word-level vocabulary; no simple run holds it.
+_END = "\0"
+
+
+@functools.cache
+def word_ranks(path: str):
+    """tiktoken's encoder of a word-level vocabulary file, and which ids end a word; None where its ids do not
+    follow its merges.
+
+    The end of a word is written as a byte of its own. The ids of single bytes with that end come before all merged
+    ids, so the last byte of a word takes its end before anything else merges, as in the library's model.
+    """
+    import tiktoken
+
+    words = model_file(path)["model"]["vocab"]
+    suffix = model_file(path)["model"]["end_of_word_suffix"]
+    back = {c: b for b, c in byte_alphabet().items()}
+    special = {t["content"] for t in model_file(path)["added_tokens"]}
+    ranks = {bytes(back[c] for c in w.removesuffix(suffix)) + _END.encode() * w.endswith(suffix): i
+             for w, i in words.items() if w not in special}
+    merged = [c for _, _, c in merge_ranks(path)[1]]
+    first = max(i for w, i in ranks.items() if len(w.removesuffix(_END.encode()) or w) == 1)
+    if any(a >= b for a, b in itertools.pairwise([first, *merged])):
+        return None
+    ends = np.zeros(max(ranks.values()) + 1, bool)
+    ends[[i for w, i in ranks.items() if len(w) > 1 and w.endswith(_END.encode())]] = True
+    return tiktoken.Encoding("word-level", pat_str=rf"[^{_END}]+{_END}", special_tokens={}, mergeable_ranks=ranks), ends
+
+
 class WordEncoder:
     """Texts to ids of the word-level vocabulary (lower case, white space dropped)."""
 
-    # The pattern for runs without white space, each pre-token behind a mark that no simple run holds.
-    _MARKED = WORD_PATTERN.replace(r"[^\s", "[^")
+    # The pattern for lower-case runs without white space.
+    _PIECE = WORD_PATTERN.replace(r"[^\s", "[^")
 
     def __init__(self, path: str):
-        self.tok = library(path)
-        self.pieces, self.others = RunCache(self._piece_ids), RunCache(self._other_ids)
-
-    def _piece_ids(self, pieces: list[str]) -> Ragged:
-        # ASCII letters and digits stand for themselves in the byte alphabet.
-        tokenize, alphabet = self.tok.model.tokenize, byte_alphabet()
-        mapped = [p if p.isascii() and p.isalnum() else "".join(map(alphabet.__getitem__, p.encode())) for p in pieces]
-        return ragged([[t.id for t in tokenize(p)] for p in mapped])
+        self.tok, self.ranks = library(path), word_ranks(path)
+        self.others = RunCache(self._other_ids)
 
     def _other_ids(self, runs: list[str]) -> Ragged:
         return ragged([self.tok.encode(r, add_special_tokens=False).ids for r in runs])
 
+    def _simple_ids(self, runs: pa.Array) -> Ragged:
+        """Ids of simple runs: one pass over all their pre-tokens, each with its end."""
+        lowered, words = pc.utf8_lower(runs), pc.utf8_is_alpha(runs)
+        split = pc.replace_substring_regex(lowered.filter(pc.invert(words)), f"({self._PIECE})", rf"\1{_END}")
+        whole = pc.binary_join_element_wise(lowered.filter(words), pa.scalar(_END, runs.type), pa.scalar("", runs.type))
+        order = np.concatenate([np.flatnonzero(words), np.flatnonzero(pc.invert(words))])
+        marked = pa.concat_arrays([whole, split])
+        ranks, ends = self.ranks
+        ids = np.array(ranks.encode_ordinary("".join(marked.to_pylist())), np.int32)
+        # A pre-token's last id, and only that, ends a word.
+        piece_cuts = np.concatenate([[0], np.flatnonzero(ends[ids]) + 1])
+        pieces = offsets_of(pc.count_substring(marked, _END).to_numpy(zero_copy_only=False).astype(np.int64))
+        cuts = piece_cuts[pieces]
+        starts, lengths = np.empty(len(runs), np.int64), np.empty(len(runs), np.int64)
+        starts[order], lengths[order] = cuts[:-1], np.diff(cuts)
+        return gather_runs(ids, starts, lengths), lengths
+
     def _run_ids(self, runs: pa.Array) -> Ragged:
         """Ids of distinct runs, in their order."""
-        simple = pc.match_substring_regex(runs, _SIMPLE)
-        lowered = pc.utf8_lower(runs.filter(simple))
-        split = pc.split_pattern(pc.ascii_ltrim(pc.replace_substring_regex(
-            lowered, f"({self._MARKED})", "\x01\\1"), characters="\x01"), "\x01")
-        coded, ends = pc.dictionary_encode(split.flatten()), split.offsets.to_numpy()
-        at = self.pieces.lookup(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
-        flat, lengths = self.pieces.gather(at), np.diff(offsets_of(self.pieces.lengths[at])[ends])
-        if len(lengths) == len(runs):
+        simple = pc.match_substring_regex(runs, _SIMPLE) if self.ranks else pa.array(np.zeros(len(runs), bool))
+        plain = simple.to_numpy(zero_copy_only=False)
+        flat, lengths = self._simple_ids(runs.filter(simple)) if plain.any() else ragged([])
+        if plain.all():
             return flat, lengths
-        other = ~simple.to_numpy(zero_copy_only=False)
-        found = self.others.lookup(runs.filter(pa.array(other)).to_pylist())
+        found = self.others.lookup(runs.filter(pc.invert(simple)).to_pylist())
         more, counts = self.others.gather(found), self.others.lengths[found]
         both, starts = np.zeros(len(runs), np.int64), np.zeros(len(runs), np.int64)
-        both[~other], both[other] = lengths, counts
-        starts[~other], starts[other] = offsets_of(lengths)[:-1], len(flat) + offsets_of(counts)[:-1]
+        both[plain], both[~plain] = lengths, counts
+        starts[plain], starts[~plain] = offsets_of(lengths)[:-1], len(flat) + offsets_of(counts)[:-1]
         return gather_runs(np.concatenate([flat, more]), starts, both), both
 
-    def __call__(self, texts: list) -> Ragged:
-        texts = [t or "" for t in texts]
-        parts = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
-        coded, ends = pc.dictionary_encode(parts.flatten()), parts.offsets.to_numpy()
+    def __call__(self, texts: list | pa.Array) -> Ragged:
+        column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
+        column = pc.fill_null(column, "")
+        parts = pc.ascii_split_whitespace(column)
+        coded, ends = pc.dictionary_encode(parts.flatten()), parts.offsets.to_numpy().astype(np.int64)
         codes, distinct = coded.indices.to_numpy(), coded.dictionary
-        odd_doc = np.zeros(len(texts), bool)
+        odd_doc = np.zeros(len(column), bool)
         if len(codes):
             odd = pc.match_substring(distinct, "<|").to_numpy(zero_copy_only=False)
             odd_doc = np.add.reduceat(odd[codes], ends[:-1]) > 0
@@ -286,9 +322,9 @@ class WordEncoder:
         run_len = lengths[codes]
         run_len[np.repeat(odd_doc, np.diff(ends))] = 0
         flat = gather_runs(flat, offsets_of(lengths)[:-1][codes], run_len)
-        per_doc = np.add.reduceat(run_len, ends[:-1]) if len(texts) else np.zeros(0, np.int64)
+        per_doc = np.add.reduceat(run_len, ends[:-1]) if len(column) else np.zeros(0, np.int64)
         return with_whole(flat, per_doc, odd_doc, lambda i: np.array(
-            self.tok.encode(texts[i], add_special_tokens=False).ids, np.int32))
+            self.tok.encode(column[int(i)].as_py(), add_special_tokens=False).ids, np.int32))
 
 
 @functools.cache
