@@ -36,11 +36,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mandisight.llm import vocab
-from mandisight.llm.common import gather_runs, offsets_of, table, text_chunks, written
+from mandisight.llm.common import gather_runs, offsets_of, table, text_runs, written
 
 PIECE_MODEL = "piece_bpe_32k.model"
 #: Bytes of a text that one entry of the state vector walks through.
 STRETCH = 1024
+#: Text aligned together; a token costs some hundred bytes of arrays on the way.
+RUN_BYTES = 400_000
 
 SPACE_MARK = "▁"
 
@@ -284,17 +286,15 @@ def alignments(docs: DataFrame, path_a: str | None = None, path_b: str | None =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work, pairs = aligner(file_a, file_b), pair_table(file_a, file_b)
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for s, e in text_chunks(texts):
-                al = work.align(texts[s:e])
-                links = pairs.number(al.a[al.close_a], al.b[al.close_b]).astype(np.int32)
-                groups = al.groups
-                yield pa.RecordBatch.from_arrays([
-                    batch.column("doc_id").slice(s, e - s), np.diff(al.cuts_a), np.diff(al.cuts_b), np.diff(al.cuts_g),
-                    pa.ListArray.from_arrays(pa.array(al.cuts_g, pa.int32()), pa.array(links)),
-                    pa.array([hashlib.sha256(g.encode()).hexdigest() if g else "" for g in groups]),
-                    *([pa.array(groups)] if keep_groups else [])], names=names)
+        for run_ in text_runs(batches, RUN_BYTES):
+            al = work.align(run_.column("text").to_pylist())
+            links = pairs.number(al.a[al.close_a], al.b[al.close_b]).astype(np.int32)
+            groups = al.groups
+            yield pa.RecordBatch.from_arrays([
+                run_.column("doc_id"), np.diff(al.cuts_a), np.diff(al.cuts_b), np.diff(al.cuts_g),
+                pa.ListArray.from_arrays(pa.array(al.cuts_g, pa.int32()), pa.array(links)),
+                pa.array([hashlib.sha256(g.encode()).hexdigest() if g else "" for g in groups]),
+                *([pa.array(groups)] if keep_groups else [])], names=names)
 
     return written(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
         run, "doc_id long, n_a long, n_b long, n_groups long, pairs array<int>, groups_sha256 string"
