@@ -62,7 +62,11 @@ def day_over_day(daily: DataFrame, series: Sequence[str] = SERIES) -> DataFrame:
 def summarize(prices: DataFrame, series: Sequence[str] = SERIES, n: int = 7,
               order: Column | None = None, carry: Sequence[str] = ()) -> DataFrame:
     """One summary row per series with at least one valid record."""
-    top = latest_dates(daily_last(prices, series, order, carry), series, n)
+    return summarize_days(latest_dates(daily_last(prices, series, order, carry), series, n), series, carry)
+
+
+def summarize_days(top: DataFrame, series: Sequence[str] = SERIES, carry: Sequence[str] = ()) -> DataFrame:
+    """``summarize`` of rows that are already each series' latest days (one per date, ``rn`` 1 = latest)."""
     latest = F.max_by(F.struct(*[F.col(c) for c in DAY_FIELDS + list(carry)]), "arrival_date")
     agg = top.groupBy(*series).agg(
         F.count(F.lit(1)).alias("n_days"),

@@ -7,8 +7,7 @@ from .sqltext import (BASE_CTES, LATEST_ROW, MARKET_DIM, PRICES, REQUESTS, SERIE
                       _cycle, dstr, pct, r4, rhe, with_ctes)
 
 
-def _market_summary() -> str:
-    return with_ctes(*BASE_CTES, body=f"""
+_SUMMARY_BODY = f"""
 SELECT {SERIES}, n_days, {dstr('period_from')} AS period_from, {dstr('period_to')} AS period_to,
   {r4('latest_min_price')} AS latest_min_price, {r4('latest_max_price')} AS latest_max_price,
   {r4('latest_modal_price')} AS latest_modal_price,
@@ -16,7 +15,11 @@ SELECT {SERIES}, n_days, {dstr('period_from')} AS period_from, {dstr('period_to'
   {r4('previous_day_modal_price')} AS previous_day_modal_price,
   {r4('day_over_day_change_percent')} AS day_over_day_change_percent,
   {r4('seven_day_change_percent')} AS seven_day_change_percent, trend
-FROM summary""")
+FROM summary"""
+
+
+def _market_summary() -> str:
+    return with_ctes(*BASE_CTES, body=_SUMMARY_BODY)
 
 
 def _price_day_over_day() -> str:
@@ -452,6 +455,26 @@ def _upsert_prices_only() -> str:
                      body=_canon("u", "l_orderkey, l_linenumber, source"))
 
 
+def _tail_summary() -> str:
+    daily = f"""
+SELECT * EXCLUDE (k) FROM (
+  SELECT *, row_number() OVER (PARTITION BY {SERIES}, arrival_date ORDER BY variety DESC, grade DESC) AS k
+  FROM u WHERE modal_price IS NOT NULL AND NOT isnan(modal_price)) WHERE k = 1"""
+    rest = [(n, q.replace("arg_max(location_id, arrival_date) AS location_id,", "")) for n, q in BASE_CTES[2:]]
+    return with_ctes(("prices", PRICES), *_BATCHES, ("u", _PRICES_ONLY), ("daily", daily), *rest,
+                     body=_SUMMARY_BODY)
+
+
+def _sync_log_table() -> str:
+    return with_ctes(("prices", PRICES), *_BATCHES[:1], ("log", """
+SELECT row_number() OVER (ORDER BY y) AS id, y || '-12-31T06:00:00' AS synced_at, n FROM (
+  SELECT year(o_orderdate) AS y, count(*) AS n FROM orders WHERE o_orderdate IS NOT NULL GROUP BY 1)"""), body="""
+SELECT synced_at AS last_synced_at, n AS last_records_added, (SELECT count(*) FROM target) AS total_records,
+  (SELECT count(*) FROM log) AS log_entries,
+  'Synced ' || n || ' new price record(s) for ' || substr(synced_at, 1, 10) || '.' AS message
+FROM log ORDER BY id DESC LIMIT 1""")
+
+
 def _upsert_counts() -> str:
     return with_ctes(("prices", PRICES), *_BATCHES, ("u", _PRICES_ONLY), body="""
 SELECT CAST(sum(CASE WHEN source = 'incoming' THEN 1 ELSE 0 END) AS BIGINT) AS rows_applied,
@@ -521,6 +544,8 @@ def oracle_sql() -> dict[str, str]:
         "api_sync_table": _api_sync_table(),
         # Two syncs leave the same table however they came in, and a replay changes nothing.
         "stream_sync_table": _api_sync_table(),
+        "tail_summary": _tail_summary(),
+        "sync_log_table": _sync_log_table(),
         "landed_forecast": _landed_forecast(),
         "carry_forward": _carry_forward(),
         "sync_status": _sync_status(),
