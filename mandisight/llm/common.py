@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -18,6 +21,11 @@ from pyspark.sql import functions as F
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 
 
+#: Rows of an Arrow batch: with texts of some kB a few MB, on both sides of the pipe.
+TEXTS_PER_BATCH = 1000
+_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from ``spark.checkpoint.dir``.
 
@@ -53,7 +61,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this folder to the executors once per application, as ``--py-files`` would."""
+    """Send this folder to the executors once per application, as ``--py-files`` would; and let Arrow batches hold
+    fewer rows than Spark's default, which is meant for narrow rows, not for texts (a setting of the user stays)."""
+    if spark.conf.get(_BATCH_ROWS) == "10000":
+        spark.conf.set(_BATCH_ROWS, str(TEXTS_PER_BATCH))
     context = spark.sparkContext
     if getattr(context, "_llm_shipped", False):
         return
@@ -108,6 +119,17 @@ def text_runs(batches: Iterator[pa.RecordBatch], max_bytes: int = 1_000_000) ->
             start = stop
 
 
+def given_back(rows: Iterator) -> Iterator:
+    """Pass a task's rows on; at its end the worker, which Spark keeps for later tasks, gives unused memory back."""
+    try:
+        yield from rows
+    finally:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(AttributeError, OSError):  # not every C library has it
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 def offsets_of(lengths: np.ndarray) -> np.ndarray:
     """Start offsets, with the total at the end."""
     out = np.zeros(len(lengths) + 1, np.int64)

@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mandisight.llm.common import fold, table, text_chunks
+from mandisight.llm.common import fold, given_back, table, text_chunks
 
 FEATURES = 1 << 12
 MAX_GRAM = 3
@@ -36,6 +36,8 @@ SAMPLE_DOCS = 3000
 CALIBRATION = 4
 ALPHA, BETA, L1, L2 = 0.1, 1.0, 0.02, 0.02
 EPOCHS, BATCH = 4, 16
+#: Share of right predictions that may lie below the floor of certain scores.
+RIGHT_BELOW = 0.002
 UNDETERMINED = "und"
 
 _LETTER = regex.compile(r"\p{L}")
@@ -88,7 +90,7 @@ def document_frequencies(docs: DataFrame, features: int = FEATURES) -> tuple[np.
         yield pd.DataFrame({"feature": at, "n": total[at]})
 
     # At most features + 1 rows reach the driver.
-    rows = (docs.select("text").mapInPandas(run, "feature long, n long")
+    rows = (docs.select("text").mapInPandas(lambda batches: given_back(run(batches)), "feature long, n long")
             .groupBy("feature").agg(F.sum("n").alias("n")).collect())
     total = np.zeros(features + 1, np.int64)
     for r in rows:
@@ -156,8 +158,10 @@ def temperature_of(logits: np.ndarray, y: np.ndarray) -> float:
 
 
 class Model:
-    def __init__(self, languages: list[str], idf: np.ndarray, weights: np.ndarray, temperature: float):
-        self.languages, self.idf, self.temperature = languages, idf, temperature
+    """``floor``: the score below which a prediction is uncertain (see ``floor_of``)."""
+
+    def __init__(self, languages: list[str], idf: np.ndarray, weights: np.ndarray, temperature: float, floor: float = 0.0):
+        self.languages, self.idf, self.temperature, self.floor = languages, idf, temperature, floor
         # Only features with a weight are kept.
         self.live = np.flatnonzero(np.abs(weights).any(axis=1))
         self.weights = weights[self.live].astype(np.float32)
@@ -177,6 +181,16 @@ class Model:
         return languages, np.clip(score, 0.0, 1.0)
 
 
+def floor_of(p: np.ndarray, y: np.ndarray) -> float:
+    """The score that RIGHT_BELOW of the right predictions of calibration rows lie below; 0 without such rows.
+
+    So the floor says the same for any number of languages: what scores lower is less certain than almost every
+    right prediction.
+    """
+    right = p.argmax(axis=1) == y
+    return float(np.quantile(p.max(axis=1)[right], RIGHT_BELOW)) - 1e-6 if right.any() else 0.0
+
+
 def quotas(sizes: dict[str, int], most: int) -> dict[str, int]:
     """Equal parts of ``most`` by language; what small languages leave goes to the others. At least one for each."""
     out, left = {}, most
@@ -244,7 +258,11 @@ def train(labelled: DataFrame, most: int = SAMPLE_DOCS, features: int = FEATURES
             part = learn[a:a + BATCH]
             ftrl.step(x[part], hot[y[part]])
     weights = ftrl.weights()
-    return Model(languages, idf, weights, temperature_of(x[held] @ weights, y[held]) if len(held) else 1.0)
+    if not len(held):
+        return Model(languages, idf, weights, 1.0)
+    logits = x[held] @ weights
+    temperature = temperature_of(logits, y[held])
+    return Model(languages, idf, weights, temperature, floor_of(softmax(logits / temperature), y[held]))
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
@@ -252,13 +270,15 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
     @F.pandas_udf("lang_pred string, score double")
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for batch in texts:
-            languages, score = model.predict(batch.tolist())
-            yield pd.DataFrame({"lang_pred": languages, "score": score})
+        def judged() -> Iterator[pd.DataFrame]:
+            for batch in texts:
+                languages, score = model.predict(batch.tolist())
+                yield pd.DataFrame({"lang_pred": languages, "score": score})
+
+        return given_back(judged())
 
-    judged = docs.withColumn("_judged", run(F.col("text")))
-    return judged.withColumn("lang_pred", F.col("_judged.lang_pred")).withColumn(
-        "score", F.col("_judged.score")).drop("_judged")
+    kept = docs.select(F.struct(*[c for c in docs.columns if c not in ("lang_pred", "score")]).alias("_row"), "text")
+    return kept.select("_row", run(F.col("text")).alias("_judged")).select("_row.*", "_judged.*")
 
 
 def held_out(doc_id: str | Column = "doc_id") -> Column:

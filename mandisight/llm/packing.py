@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from mandisight.llm import vocab
-from mandisight.llm.common import offsets_of, table, text_chunks, written
+from mandisight.llm.common import given_back, offsets_of, table, text_chunks, written
 
 CAPACITY = 2048
 END_ID = 0
@@ -71,7 +71,7 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, e
                 yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32",
                                                   *(["ids"] if keep_ids else [])])
 
-    return docs.select("doc_id", "text").mapInPandas(run, PIECE_SCHEMA + ", ids array<int>" * keep_ids)
+    return docs.select("doc_id", "text").mapInPandas(lambda batches: given_back(run(batches)), PIECE_SCHEMA + ", ids array<int>" * keep_ids)
 
 
 class Plan:

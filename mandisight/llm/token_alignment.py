@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mandisight.llm import vocab
-from mandisight.llm.common import gather_runs, offsets_of, table, text_runs, written
+from mandisight.llm.common import gather_runs, given_back, offsets_of, table, text_runs, written
 
 PIECE_MODEL = "piece_bpe_32k.model"
 #: Bytes of a text that one entry of the state vector walks through.
@@ -297,7 +297,7 @@ def alignments(docs: DataFrame, path_a: str | None = None, path_b: str | None =
                 *([pa.array(groups)] if keep_groups else [])], names=names)
 
     return written(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        run, "doc_id long, n_a long, n_b long, n_groups long, pairs array<int>, groups_sha256 string"
+        lambda batches: given_back(run(batches)), "doc_id long, n_a long, n_b long, n_groups long, pairs array<int>, groups_sha256 string"
         + ", groups string" * keep_groups), "alignments")
 
 

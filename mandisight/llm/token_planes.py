@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from mandisight.llm import store, vocab
-from mandisight.llm.common import fresh_path, offsets_of, table, text_runs, written
+from mandisight.llm.common import fresh_path, given_back, offsets_of, table, text_runs, written
 
 MAGIC = b"TIDPLAN1"
 BLOCK = 1 << 16
@@ -187,7 +187,7 @@ def write_shards(docs: DataFrame, folder: str, path: str | None = None, end_id:
                                              preserve_index=False)
 
     ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return written(ordered.mapInArrow(run, UNIT_SCHEMA), "token-manifest")
+    return written(ordered.mapInArrow(lambda batches: given_back(run(batches)), UNIT_SCHEMA), "token-manifest")
 
 
 def read_units(manifest: DataFrame, keep_ids: bool = False) -> DataFrame:

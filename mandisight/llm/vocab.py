@@ -63,8 +63,8 @@ def byte_alphabet() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-@functools.cache
 def model_file(path: str) -> dict:
+    """The parsed file; not kept, since a worker needs it only to build its tables."""
     with open(path, encoding="utf-8") as f:
         return json.load(f)
 
@@ -203,10 +203,10 @@ def byte_ranks(path: str):
     merged = [c for _, _, c in merge_ranks(path)[1]]
     if any(a >= b for a, b in itertools.pairwise(merged)):
         return None
-    plain, vocab = token_bytes(path), model_file(path)["model"]["vocab"]
-    special = {t["id"] for t in model_file(path)["added_tokens"]}
+    plain, file = token_bytes(path), model_file(path)
+    special = {t["id"] for t in file["added_tokens"]}
     return tiktoken.Encoding("byte-level", pat_str=BYTE_PATTERN, special_tokens={},
-                             mergeable_ranks={plain[i]: i for i in vocab.values() if i not in special})
+                             mergeable_ranks={plain[i]: i for i in file["model"]["vocab"].values() if i not in special})
 
 
 def plain_ids(path: str) -> Callable[[str], list[int]]:
@@ -224,12 +224,12 @@ def plain_ids(path: str) -> Callable[[str], list[int]]:
 
 
 def _byte_encoder(path: str) -> Callable[[list], Ragged]:
-    tok, plain = library(path), plain_ids(path)
+    plain = plain_ids(path)
     special = [t["content"] for t in model_file(path)["added_tokens"]]
 
     def ids(text: str) -> list[int]:
         if any(s in text for s in special):
-            return tok.encode(text, add_special_tokens=False).ids
+            return library(path).encode(text, add_special_tokens=False).ids
         return plain(text)
 
     return lambda texts: ragged([np.array(ids(t) if t else [], np.int32) for t in texts])
@@ -249,10 +249,10 @@ def word_ranks(path: str):
     """
     import tiktoken
 
-    words = model_file(path)["model"]["vocab"]
-    suffix = model_file(path)["model"]["end_of_word_suffix"]
+    file = model_file(path)
+    words, suffix = file["model"]["vocab"], file["model"]["end_of_word_suffix"]
     back = {c: b for b, c in byte_alphabet().items()}
-    special = {t["content"] for t in model_file(path)["added_tokens"]}
+    special = {t["content"] for t in file["added_tokens"]}
     ranks = {bytes(back[c] for c in w.removesuffix(suffix)) + _END.encode() * w.endswith(suffix): i
              for w, i in words.items() if w not in special}
     merged = [c for _, _, c in merge_ranks(path)[1]]
@@ -271,11 +271,11 @@ class WordEncoder:
     _PIECE = WORD_PATTERN.replace(r"[^\s", "[^")
 
     def __init__(self, path: str):
-        self.tok, self.ranks = library(path), word_ranks(path)
+        self.path, self.ranks = path, word_ranks(path)
         self.others = RunCache(self._other_ids)
 
     def _other_ids(self, runs: list[str]) -> Ragged:
-        return ragged([self.tok.encode(r, add_special_tokens=False).ids for r in runs])
+        return ragged([library(self.path).encode(r, add_special_tokens=False).ids for r in runs])
 
     def _simple_ids(self, runs: pa.Array) -> Ragged:
         """Ids of simple runs: one pass over all their pre-tokens, each with its end."""
@@ -324,7 +324,7 @@ class WordEncoder:
         flat = gather_runs(flat, offsets_of(lengths)[:-1][codes], run_len)
         per_doc = np.add.reduceat(run_len, ends[:-1]) if len(column) else np.zeros(0, np.int64)
         return with_whole(flat, per_doc, odd_doc, lambda i: np.array(
-            self.tok.encode(column[int(i)].as_py(), add_special_tokens=False).ids, np.int32))
+            library(self.path).encode(column[int(i)].as_py(), add_special_tokens=False).ids, np.int32))
 
 
 @functools.cache

@@ -3,6 +3,7 @@
 import re
 
 import corpus_pipeline
+from pyspark.sql import functions as F
 import __spark_entry__
 from mandisight.llm import lang_id
 from mandisight.llm.common import fresh_path
@@ -53,9 +54,39 @@ def test_stages_keep_columns_and_awkward_rows(spark):
     assert staged(spark, empty(spark), "packing").count() == 0
 
 
+def test_language_stage_without_labels_and_with_one_language(spark):
+    texts = ["ein kurzer deutscher Satz " * 3, "another English text of words", None, "123 456", ""]
+    for lang, kept in ((None, [0, 1, 2, 3, 4]), ("de", [0, 1])):
+        docs = documents(spark, texts * 12).withColumn("lang", F.lit(lang).cast("string"))
+        ids = [r.doc_id % 5 for r in staged(spark, docs, "language_id").collect()]
+        assert sorted(set(ids)) == kept and len(ids) == 12 * len(kept)
+
+
+def test_language_stage_equals_plain_predictions(spark):
+    """The stage keeps what the model, applied to each text alone, scores at its floor or above."""
+    docs = spark.read.parquet(f"{SF0001}/documents.parquet")
+    model = lang_id.train(docs.where(~lang_id.held_out()).select("text", "lang"))
+    want = set()
+    for r in docs.collect():
+        (pred,), (score,) = model.predict([r.text])
+        if pred != lang_id.UNDETERMINED and score >= model.floor:
+            want.add(r.doc_id)
+    assert {r.doc_id for r in staged(spark, docs, "language_id").collect()} == want
+
+
+def test_clashing_columns_are_carried_on(spark):
+    clean = " ".join(passage(70))
+    docs = documents(spark, [clean, clean + " more", "other " + clean]).selectExpr(
+        "*", "1 as _key", "2 as _row", "3 as _judged", "4 as lang_pred", "5 as _hashes", "6 as key", "7 as _text")
+    for stage, _ in corpus_pipeline.STAGES[:-1]:
+        out = staged(spark, docs, stage)
+        assert out.columns == docs.columns
+        assert all((r["_key"], r["_row"], r["_judged"], r["lang_pred"], r["_hashes"]) == (1, 2, 3, 4, 5) for r in out.collect())
+
+
 def test_registration():
     names = __spark_entry__.queries()
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert len([x for x in names if re.match(rf"op{n}_", x)]) == 1
     assert "pipeline" in names and SCHEMA
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "quality_rules", "near_duplicates", "packing"]
