@@ -23,7 +23,8 @@ from pyspark.sql import SparkSession
 
 from .operators import history, weather
 from .operators.history import SUPPORTED_COMMODITIES
-from .plans import advisory, jobs
+from .plans import advisory, jobs, tails
+from .schemas import PRICE_COLUMNS
 from .sources import reports
 from .sources.profiles import read_profiles
 from .streaming import incremental_sync
@@ -41,6 +42,7 @@ def main(argv=None) -> None:
     b.add_argument("table")
     b.add_argument("report_out")
     b.add_argument("--merge", action="store_true", help="upsert into the stored table instead of replacing it")
+    b.add_argument("--quarantine", help="folder for the lines that gave no row, with their reason")
     a = sub.add_parser("api-sync")
     a.add_argument("landing")
     a.add_argument("table")
@@ -49,6 +51,8 @@ def main(argv=None) -> None:
     for arg in ("landing", "table", "checkpoint"):
         n.add_argument(arg)
     n.add_argument("--commodities", default=",".join(SUPPORTED_COMMODITIES))
+    for loader in (b, a, n):
+        loader.add_argument("--tails", help="tail table of the latest days per series, kept up to date")
     c = sub.add_parser("carry-forward")
     c.add_argument("table")
     c.add_argument("log")
@@ -63,6 +67,13 @@ def main(argv=None) -> None:
         h.add_argument(f"--{opt}")
     h.add_argument("--days", type=int, default=7)
     h.add_argument("--out", required=True)
+    q = sub.add_parser("history-requests")
+    for arg in ("table", "requests", "out"):
+        q.add_argument(arg)
+    q.add_argument("--days", type=int, default=7)
+    m = sub.add_parser("summary")
+    for arg in ("tails", "out"):
+        m.add_argument(arg)
     v = sub.add_parser("advisory")
     for arg in ("table", "requests", "forecasts", "profiles", "out"):
         v.add_argument(arg)
@@ -71,14 +82,16 @@ def main(argv=None) -> None:
     spark = _session()
     if args.cmd == "bulk-load":
         m: dict = {}
-        report = jobs.run_bulk_load(spark, args.reports, args.table, metrics=m, replace=not args.merge)
+        report = jobs.run_bulk_load(spark, args.reports, args.table, metrics=m, replace=not args.merge,
+                                    quarantine_path=args.quarantine, tails_path=args.tails)
         report.write.mode("overwrite").parquet(args.report_out)
         print(m)
     elif args.cmd == "api-sync":
-        jobs.run_api_sync(spark, args.landing, args.table, args.commodities.split(",")).show()
+        jobs.run_api_sync(spark, args.landing, args.table, args.commodities.split(","),
+                          tails_path=args.tails).show()
     elif args.cmd == "incremental-sync":
         for counts in incremental_sync.sync_table(spark, args.landing, args.table, args.checkpoint,
-                                                  args.commodities.split(",")):
+                                                  args.commodities.split(","), tails_path=args.tails):
             print(counts)
     elif args.cmd == "carry-forward":
         run = dt.date.fromisoformat(args.run_date) if args.run_date else None
@@ -90,6 +103,12 @@ def main(argv=None) -> None:
                   "state": args.state, "district": args.district}
         t = reports.read_price_table(spark, args.table)
         history.filtered_history(t, params, args.days).write.mode("overwrite").parquet(args.out)
+    elif args.cmd == "history-requests":
+        t = reports.read_price_table(spark, args.table)
+        asked = spark.read.schema(history.FILTER_REQUEST).json(args.requests)
+        history.history_for_filters(t, asked, args.days, PRICE_COLUMNS).write.mode("overwrite").parquet(args.out)
+    elif args.cmd == "summary":
+        tails.summary(spark, args.tails).write.mode("overwrite").parquet(args.out)
     elif args.cmd == "advisory":
         t = reports.read_price_table(spark, args.table)
         req = spark.read.json(args.requests)

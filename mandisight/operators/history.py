@@ -131,6 +131,7 @@ def filtered_history_sets(df: DataFrame, param_sets: Sequence[dict], days: int =
 
 # Filters of a history request besides the commodity; each may be left open (NULL).
 OPEN_FILTERS = ["state", "district", "market", "variety"]
+FILTER_REQUEST = "req_id long, commodity string, state string, district string, market string, variety string"
 
 
 def open_mask() -> Column:

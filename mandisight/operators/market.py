@@ -101,6 +101,24 @@ def summarize_days(top: DataFrame, series: Sequence[str] = SERIES, carry: Sequen
     )
 
 
+# Why a market summary is not available.
+MSG_NO_RECORDS = "No market-price records found."
+MSG_NO_VALID = "No valid market-price records found."
+
+
+def with_availability(joined: DataFrame, prices: DataFrame, series: Sequence[str] = SERIES) -> DataFrame:
+    """``available`` and ``market_message`` for rows left-joined with summaries on ``series``.
+
+    A series without a summary either has no record at all or none with a date and a price. One partial aggregate
+    over the series of the prices tells; a series with a NULL part matches nothing, as in the request's SQL.
+    """
+    recorded = prices.groupBy(*series).agg(F.lit(True).alias("_recorded"))
+    out = joined.join(recorded, list(series), "left")
+    available = F.coalesce(F.col("available"), F.lit(False))
+    message = F.when(~available, F.when(F.col("_recorded"), F.lit(MSG_NO_VALID)).otherwise(F.lit(MSG_NO_RECORDS)))
+    return out.withColumn("market_message", message).withColumn("available", available).drop("_recorded")
+
+
 def recent_price_text(recent: Column) -> Column:
     """G8 rendered: ``yyyy-MM-dd=price`` items joined by ", " in date order."""
     item = lambda s: F.concat(F.date_format(s["date"], "yyyy-MM-dd"), F.lit("="),

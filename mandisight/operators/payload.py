@@ -7,6 +7,8 @@ strings, lists) so the prompt text equals what it would send.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -172,6 +174,52 @@ def full_payload(adv: DataFrame, language: Column | str = "language") -> DataFra
         ).alias("payload"))
 
 
+# The sources that a payload names.
+MARKET_SOURCE, WEATHER_SOURCE = "AGMARKNET / OGD India", "OpenWeather forecast"
+
+
+def nested_payload(adv: DataFrame, profile: Sequence[str], language: Column | str = "language") -> DataFrame:
+    """I14 whole: the payload that the model is given, with the forecast days and the crop's profile.
+
+    ``adv``: rows of the rule engine with ``market_message`` and ``daily_forecast``; ``profile``: the columns of the
+    crop knowledge. Without a market summary its block holds ``available`` and ``message`` alone, and the farmer's
+    place and crop, which are read from it, are NULL; likewise the weather block.
+    """
+    has = F.coalesce(F.col("available"), F.lit(False))
+    fair = F.coalesce(F.col("weather_available"), F.lit(False))
+
+    def known(c: str, name: str | None = None) -> Column:
+        return F.when(has, F.col(c)).alias(name or c)
+
+    prices = F.when(has, F.transform("recent_prices", lambda r: F.struct(
+        r["date"].alias("date"), r["modal_price"].alias("modal_price"), r["max_price"].alias("max_price"),
+        r["min_price"].alias("min_price"))))
+    market = F.struct(
+        has.alias("available"), F.col("market_message").alias("message"),
+        F.when(has, F.lit(MARKET_SOURCE)).alias("source"), known("state"), known("district"), known("market"),
+        known("commodity", "crop"), known("price_unit"),
+        F.when(has, F.struct(F.col("period_from").alias("from"), F.col("period_to").alias("to"))).alias("period"),
+        F.when(has, F.struct(F.col("latest_date").alias("date"), F.col("latest_min_price").alias("min_price"),
+                             F.col("latest_max_price").alias("max_price"),
+                             F.col("latest_modal_price").alias("modal_price"))).alias("latest"),
+        *[known(c) for c in ("seven_day_average_modal_price", "previous_day_modal_price",
+                             "day_over_day_change_percent", "seven_day_change_percent", "trend")],
+        prices.alias("recent_modal_prices"), prices.alias("recent_prices"))
+    weather = F.struct(
+        fair.alias("available"), F.col("message"), F.when(fair, F.lit(WEATHER_SOURCE)).alias("source"),
+        *[F.when(fair, F.col(c)).alias(c) for c in ("location", "latitude", "longitude", "daily_forecast")])
+    risk = F.struct("heat_risk", "cold_risk", "rain_risk", F.col("rule_max_temp_c").alias("max_forecast_temp_c"),
+                    F.col("rule_min_temp_c").alias("min_forecast_temp_c"),
+                    F.col("rule_max_rain_percent").alias("max_rain_probability_percent"))
+    farmer = F.struct(_c(language).alias("language"), known("state"), known("district"), known("market"),
+                      known("commodity", "crop"), F.when(fair, F.col("location")).alias("weather_location"))
+    return adv.select("*", F.struct(
+        farmer.alias("farmer_context"), market.alias("market_summary"), weather.alias("weather_summary"),
+        F.struct(*profile).alias("crop_knowledge"),
+        F.struct("recommended_decision", "market_signal", risk.alias("weather_risk"), "crop_storage_signal",
+                 "facts_for_explanation", "reasons").alias("rule_engine_result")).alias("payload"))
+
+
 def prompt_text(fast: Column) -> Column:
     """I16: the six-line context text built from the compact payload."""
     f = fast

@@ -99,7 +99,7 @@ def daily(blocks: DataFrame, days: DataFrame | None = None) -> DataFrame:
         "conditions", "day_rank")
 
 
-def horizon(blocks: DataFrame) -> DataFrame:
+def horizon(blocks: DataFrame, with_days: bool = False) -> DataFrame:
     """G2 + I21: per-location extremes over the first five valid dates, with
     availability, from one scan of the blocks.
 
@@ -107,6 +107,7 @@ def horizon(blocks: DataFrame) -> DataFrame:
     dates first, then one aggregate per location reads the status over all
     dates and the extremes over ranks 1-5; the aggregate reuses the window's
     clustering, so the chain has two exchanges and no second scan.
+    ``with_days`` adds ``daily_forecast``, the days themselves.
     """
     d = per_day(blocks)
     valid = d["status_ok"] & (d["n_valid"] > 0) & d["date"].isNotNull()
@@ -119,7 +120,8 @@ def horizon(blocks: DataFrame) -> DataFrame:
         F.max(F.when(kept, round_half_even("max_temp", 2))).alias("max_forecast_temp_c"),
         F.min(F.when(kept, round_half_even("min_temp", 2))).alias("min_forecast_temp_c"),
         F.max(F.when(kept, round_half_even(F.coalesce("rain_max", F.lit(0.0)), 0))).alias("_rain"),
-        F.sum(F.when(kept, 1).otherwise(0)).alias("n_days"))
+        F.sum(F.when(kept, 1).otherwise(0)).alias("n_days"),
+        *([F.array_sort(F.collect_list(F.when(kept, _day_item()))).alias("_days")] if with_days else []))
     available = F.col("status_ok") & (F.col("n_entries") > 0)
     return roll.select(
         "location_id",
@@ -133,4 +135,11 @@ def horizon(blocks: DataFrame) -> DataFrame:
         F.when(available, F.col("min_forecast_temp_c")).alias("min_forecast_temp_c"),
         F.when(available, F.coalesce("_rain", F.lit(0.0))).otherwise(F.lit(0.0))
         .alias("max_rain_probability_percent"),
-        F.when(available, F.col("n_days")).otherwise(F.lit(0)).cast("long").alias("n_days"))
+        F.when(available, F.col("n_days")).otherwise(F.lit(0)).cast("long").alias("n_days"),
+        *([F.when(available, F.col("_days")).alias("daily_forecast")] if with_days else []))
+
+
+def _day_item() -> Column:
+    """A day of the payload's forecast; at most HORIZON_DAYS of them are listed per location."""
+    return F.struct("date", round_half_even("min_temp", 2).alias("min_temp_c"), round_half_even("max_temp", 2).alias("max_temp_c"),
+                    round_half_even(F.coalesce("rain_max", F.lit(0.0)), 0).alias("rain_probability_max_percent"), "conditions")

@@ -66,7 +66,8 @@ def advisory_for_requests(prices: DataFrame, requests: DataFrame, blocks: DataFr
 
     ``requests``: req_id, crop, state, district, market, language, location_id
     (the forecast location of the farmer). Requests whose market has no price
-    history keep NULL prices and trend ``unknown`` (P12); weather is matched on
+    history keep NULL prices and trend ``unknown`` (P12), with ``market_message``
+    saying whether there is no record or no valid one (I21); weather is matched on
     the request's location; the profile on ``lower(crop)``. A request for a
     crop without a profile (the reference raises) stays, with
     ``missing_profile`` set and no advice; ``strict`` drops it.
@@ -75,9 +76,10 @@ def advisory_for_requests(prices: DataFrame, requests: DataFrame, blocks: DataFr
     req = with_request_defaults(requests).withColumnsRenamed(
         {"crop": "commodity", "latitude": "request_latitude", "longitude": "request_longitude"})
     summary = market.summarize(prices, SERIES, 7, order)
-    joined = req.join(summary, SERIES, "left")
-    assembled = rules.assemble(joined, weather.horizon(blocks), profiles, strict=strict)
-    out = rules.rule_engine(assembled)
+    joined = market.with_availability(req.join(summary, SERIES, "left"), prices)
+    assembled = rules.assemble(joined, weather.horizon(blocks, with_days=True), profiles, strict=strict)
+    out = payload.nested_payload(rules.rule_engine(assembled), [c for c in profiles.columns if c != "commodity_key"],
+                                 F.col("language"))
     fast = payload.compact_payload(out, F.col("language"))
     lang = F.col("language")
     told = fast.select(
@@ -90,6 +92,6 @@ def advisory_for_requests(prices: DataFrame, requests: DataFrame, blocks: DataFr
         *payload.market_card("market", "latest_modal_price", "latest_max_price", "latest_min_price"))
     if strict:
         return told
-    advice = ["recommended_decision", "facts_for_explanation", "reasons", "fast", "prompt", "system_prompt",
+    advice = ["recommended_decision", "facts_for_explanation", "reasons", "payload", "fast", "prompt", "system_prompt",
               "user_prompt", "fallback_advisory"]
     return told.withColumns({c: F.when(~F.col("missing_profile"), F.col(c)) for c in advice})

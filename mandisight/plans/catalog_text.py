@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import present as K
-from ..functions.numbers import parse_number_lenient, plain_double_text, round_half_even, scaled_round
+from ..functions.numbers import cents_text, parse_number_lenient, plain_double_text, round_half_even, scaled_round
 from ..functions.text import clean_text_for_speech, language_code
-from ..operators import history, payload
+from ..operators import history, market, payload, view
 from ..schemas import SERIES
+from ..session import scratch_path
 from ..sources import driver_tables as dt
-from ..sources.profiles import literal_table
+from ..sources.labels import read_labels
+from ..sources.profiles import driver_profile_table, literal_table
 from . import advisory as adv
 
 LANGUAGE = "Telugu"
@@ -70,6 +75,49 @@ def q_full_payload_fields(spark, sf_dir):
         F.size(rr["reasons"]).cast("long").alias("n_reasons"))
 
 
+def q_request_payload(spark, sf_dir):
+    """I14 + I21: every field of the nested payload of every request, with both market messages and both weather
+    states among them."""
+    a = adv.advisory_for_requests(
+        dt.prices_with_gaps(spark, sf_dir), dt.payload_requests(spark, sf_dir), dt.forecast_blocks(spark, sf_dir),
+        driver_profile_table(spark), order=market.default_day_order(dt.ingest_order()))
+    p = F.col("payload")
+    fc, ms, ws, ck, rr = (p[c] for c in ("farmer_context", "market_summary", "weather_summary", "crop_knowledge",
+                                         "rule_engine_result"))
+
+    def number(c):
+        return F.coalesce(F.format_string("%.4f", r4(c)), F.lit("none"))
+
+    def prices(c):
+        return F.array_join(F.transform(c, lambda r: F.concat_ws(
+            "/", F.date_format(r["date"], "yyyy-MM-dd"), *[number(r[k]) for k in ("modal_price", "max_price", "min_price")])), ", ")
+
+    days = F.array_join(F.transform(ws["daily_forecast"], lambda d: F.concat_ws(
+        "/", d["date"], *[number(d[k]) for k in ("min_temp_c", "max_temp_c", "rain_probability_max_percent")],
+        d["conditions"])), "; ")
+    wr = rr["weather_risk"]
+    return a.select(
+        "req_id", *[fc[c].alias(f"farmer_{c}") for c in ("language", "state", "district", "market", "crop", "weather_location")],
+        *[ms[c].alias(f"market_{c}") for c in ("available", "message", "source", "state", "district", "market", "crop",
+                                               "price_unit", "trend")],
+        d2s(ms["period"]["from"]).alias("period_from"), d2s(ms["period"]["to"]).alias("period_to"),
+        d2s(ms["latest"]["date"]).alias("latest_date"),
+        *[r4(ms["latest"][c]).alias(f"latest_{c}") for c in ("min_price", "max_price", "modal_price")],
+        *[r4(ms[c]).alias(c) for c in ("seven_day_average_modal_price", "previous_day_modal_price",
+                                       "day_over_day_change_percent", "seven_day_change_percent")],
+        prices(ms["recent_modal_prices"]).alias("recent_modal_prices"), prices(ms["recent_prices"]).alias("recent_prices"),
+        *[ws[c].alias(f"weather_{c}") for c in ("available", "message", "source", "location")],
+        r4(ws["latitude"]).alias("latitude"), r4(ws["longitude"]).alias("longitude"), days.alias("daily_forecast"),
+        *[ck[c].alias(c) for c in ("crop_name", "heat_sensitive", "rain_sensitive", "waterlogging_sensitive",
+                                   "perishability", "sell_or_wait_bias")],
+        r4(ck["critical_temp_max_c"]).alias("critical_temp_max_c"), r4(ck["critical_temp_min_c"]).alias("critical_temp_min_c"),
+        ck["storage_life_days"].cast("long").alias("storage_life_days"),
+        *[rr[c].alias(c) for c in ("recommended_decision", "market_signal", "crop_storage_signal")],
+        *[wr[c].alias(c) for c in ("heat_risk", "cold_risk", "rain_risk")],
+        *[r4(wr[c]).alias(c) for c in ("max_forecast_temp_c", "min_forecast_temp_c", "max_rain_probability_percent")],
+        F.array_join(rr["facts_for_explanation"], " | ").alias("facts"), F.array_join(rr["reasons"], "; ").alias("reasons"))
+
+
 def q_prompt_lines(spark, sf_dir):
     p = payload.compact_payload(_adv(spark, sf_dir), F.lit(LANGUAGE))
     lang = F.lit(LANGUAGE)
@@ -216,14 +264,63 @@ def q_translate_labels(spark, sf_dir):
     for ev_type, k in reversed(EVENT_LABEL_KEY):
         key = F.when(F.col("event_type") == ev_type, F.lit(k)).otherwise(key)
     base = ev.select("event_id", lang.alias("language"), key.alias("key"))
-    labels = literal_table(spark, UI_LABELS, ["language", "key", "text"])
-    own = F.broadcast(labels.withColumnRenamed("text", "own_text"))
-    eng = F.broadcast(labels.where(F.col("language") == "English")
-                      .select("key", F.col("text").alias("english_text")))
-    j = base.join(own, ["language", "key"], "left").join(eng, "key", "left")
-    return j.select("event_id", "language", "key",
-                    F.coalesce(K.first_non_empty("own_text"), K.first_non_empty("english_text"),
-                               F.col("key")).alias("label"))
+    return view.translated(base, read_labels(spark, land_labels(spark))).select("event_id", "language", "key", "label")
+
+
+def land_labels(spark) -> str:
+    """The labels as the interface ships them: one JSON object {language: {key: text}}."""
+    path = scratch_path(spark, f"labels-{uuid.uuid4().hex}")
+    doc: dict = {}
+    for language, key, text in UI_LABELS:
+        doc.setdefault(language, {})[key] = text
+    spark.createDataFrame([(json.dumps(doc, ensure_ascii=False),)], "value string").coalesce(1).write.text(path)
+    return path
+
+
+def q_advisory_view(spark, sf_dir):
+    """K4: raw advisories as the service would answer them, one JSON text per order, with every part missing now and
+    then, parsed and made ready to show."""
+    o = dt.table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus", "o_orderdate")
+    k = F.col("o_orderkey")
+
+    def now_and_then(n: int, value):
+        return F.when(k % n != 0, value)
+
+    price = F.concat(F.lit("₹"), cents_text("o_totalprice"), F.lit(" / Quintal"))
+    raw = F.struct(
+        now_and_then(11, F.struct(now_and_then(2, F.lit("31°C")).alias("temperature"), now_and_then(3, F.lit("70%")).alias("humidity"),
+                                  now_and_then(4, F.concat((k % 97).cast("string"), F.lit("%"))).alias("rainfall"),
+                                  now_and_then(5, F.lit("8 km/h")).alias("wind_speed"))).alias("weather"),
+        now_and_then(7, F.struct(
+            F.when(k % 3 == 0, F.lit("")).when(k % 3 == 1, F.concat(F.lit("Mandi "), (k % 50).cast("string"))).alias("market_name"),
+            now_and_then(4, price).alias("modal_price"), now_and_then(3, price).alias("current_price"),
+            now_and_then(5, cents_text(F.col("o_totalprice") * 2.0)).alias("max_price"),
+            now_and_then(6, cents_text(F.col("o_totalprice") * 0.5)).alias("min_price"),
+            F.when(k % 9 == 0, F.lit("")).when(k % 9 < 4, F.lit("Increasing")).when(k % 9 < 6, F.lit("Decreasing")).alias("trend"),
+            now_and_then(8, F.date_format("o_orderdate", "yyyy-MM-dd")).alias("arrival_date"))).alias("market"),
+        now_and_then(13, F.struct(now_and_then(2, F.lit("Cut early")).alias("harvest_tip"), now_and_then(3, F.lit("")).alias("storage_tip"),
+                                  now_and_then(5, F.lit("Now")).alias("best_selling_period"),
+                                  F.lit(None).cast("string").alias("fertilizer_advice"),
+                                  now_and_then(7, F.lit("Low")).alias("water_requirement"))).alias("crop"),
+        F.when(k % 5 == 0, F.lit("Sell now")).when(k % 5 == 1, F.lit("Better wait")).when(k % 5 == 2, F.lit("No advice")).alias("recommendation"),
+        F.when(k % 6 == 1, F.array(F.lit("own reason"), F.lit("second"))).alias("reasons"),
+        F.when(k % 4 == 1, (k % 100).cast("int")).alias("confidence"),
+        F.when(k % 3 == 1, F.lit("High")).when(k % 3 == 2, F.lit("Low")).alias("risk_level"),
+        F.when(k % 10 == 1, F.lit("UklGRg==")).alias("audio_base64"))
+    texts = o.select("o_orderkey", now_and_then(17, F.to_json(raw)).alias("answer"),
+                     F.when(k % 4 == 0, F.lit("")).when(k % 4 == 1, F.lit("Onion")).alias("form_crop"),
+                     F.when(k % 5 == 0, F.lit("")).when(k % 5 == 1, F.lit("Town")).alias("form_market"),
+                     F.when(k % 6 == 1, F.lit("North")).alias("form_district"))
+    parsed = texts.withColumn("raw", F.from_json("answer", view.RAW_ADVISORY))
+    v = F.col("view")
+    weather, market_, crop = v["weather"], v["market"], v["crop"]
+    return view.advisory_view(parsed, F.lit("2026-07-08").cast("date")).select(
+        "o_orderkey", *[weather[c].alias(c) for c in ("temperature", "humidity", "rainfall", "wind_speed", "condition")],
+        *[market_[c].alias(c) for c in ("market_name", "modal_price", "highest_price", "lowest_price", "arrival_date", "trend")],
+        *[r4(market_[c]).alias(c) for c in ("modal_price_value", "highest_price_value", "lowest_price_value")],
+        *[crop[c].alias(c) for c in view.CROP_TIPS], v["recommendation"].alias("recommendation"),
+        F.array_join(v["reasons"], " | ").alias("reasons"), v["confidence"].cast("long").alias("confidence"),
+        *[v[c].alias(c) for c in ("risk_level", "decision", "audio_base64")])
 
 
 def q_place_label(spark, sf_dir):
@@ -249,6 +346,7 @@ def q_place_label(spark, sf_dir):
 QUERIES = {
     "compact_payload": q_compact_payload,
     "full_payload_fields": q_full_payload_fields,
+    "request_payload": q_request_payload,
     "prompt_lines": q_prompt_lines,
     "fallback_advisory": q_fallback_advisory,
     "market_payload_default": q_market_payload_default,
@@ -258,5 +356,6 @@ QUERIES = {
     "advisory_normalise": q_advisory_normalise,
     "price_band_position": q_price_band_position,
     "translate_labels": q_translate_labels,
+    "advisory_view": q_advisory_view,
     "place_label": q_place_label,
 }

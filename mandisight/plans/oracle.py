@@ -337,6 +337,15 @@ WHERE k = 1 OR district IS NULL"""
                      body=_canon("t2").replace(", l_orderkey, l_linenumber FROM", " FROM"))
 
 
+def _landed_api_filtered() -> str:
+    fields = "state, district, market, commodity, variety, grade, arrival_date, min_price, max_price, modal_price"
+    return with_ctes(("prices", PRICES), ("raw", _raw()), ("slashed", """
+SELECT * REPLACE (replace(arrival_date, '-', '/') AS arrival_date) FROM raw"""), body=f"""
+SELECT l_orderkey AS batch_id, {fields}, CAST(l_linenumber AS BIGINT) AS l_linenumber FROM (
+  SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, {fields}) AS k FROM slashed
+  WHERE l_orderkey % 11 <> 0 AND commodity = 'PROMO' AND state = 'ASIA') WHERE k <= 2""")
+
+
 def _landed_forecast() -> str:
     # The latest document of a location holds the entries of its last day.
     return _weather_horizon().replace(
@@ -547,6 +556,7 @@ def oracle_sql() -> dict[str, str]:
         "tail_summary": _tail_summary(),
         "sync_log_table": _sync_log_table(),
         "landed_forecast": _landed_forecast(),
+        "landed_api_filtered": _landed_api_filtered(),
         "carry_forward": _carry_forward(),
         "sync_status": _sync_status(),
         "weather_daily": _weather_daily(),

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from ..operators.payload import ASSISTANT_NAME, FALLBACK_ADVISORY, SYSTEM_PROMPT, USER_PROMPT
-from .sqlrules import RULE_CTES, fmt0
-from .sqltext import LATEST_ROW, PRICES, REQUESTS, SERIES, dstr, r4, rhe, with_ctes
+from .sqlrules import RULE_CTES, RULES0, fmt0
+from .sqltext import LATEST_ROW, MARKET_DIM, PRICES, REQUESTS, SERIES, _cycle, cents_text, dstr, r4, rhe, with_ctes
 
 
 
@@ -80,6 +80,125 @@ SELECT {LANG} AS language, state, district, market, commodity AS crop, weather_l
 FROM rules""")
 
 
+def _advisory_view() -> str:
+    def then(n: int, value: str) -> str:
+        return f"CASE WHEN k % {n} <> 0 THEN {value} END"
+
+    def inner(n: int, m: int, value: str) -> str:
+        return f"CASE WHEN k % {n} <> 0 AND k % {m} <> 0 THEN {value} END"
+
+    price = f"'₹' || {cents_text('p')} || ' / Quintal'"
+    raw = f"""
+SELECT o_orderkey, o_orderkey AS k, o_totalprice AS p, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders"""
+    parts = f"""
+SELECT o_orderkey, k, {inner(11, 2, "'31°C'")} AS temperature, {inner(11, 3, "'70%'")} AS humidity,
+  {inner(11, 4, "CAST(k % 97 AS VARCHAR) || '%'")} AS rainfall, {inner(11, 5, "'8 km/h'")} AS wind,
+  {then(7, "CASE WHEN k % 3 = 0 THEN '' WHEN k % 3 = 1 THEN 'Mandi ' || CAST(k % 50 AS VARCHAR) END")} AS name,
+  {inner(7, 4, price)} AS modal, {inner(7, 3, price)} AS current, {inner(7, 5, cents_text('(p * 2.0::DOUBLE)'))} AS high,
+  {inner(7, 6, cents_text('(p * 0.5::DOUBLE)'))} AS low,
+  {then(7, "CASE WHEN k % 9 = 0 THEN '' WHEN k % 9 < 4 THEN 'Increasing' WHEN k % 9 < 6 THEN 'Decreasing' END")} AS trend,
+  {inner(7, 8, 'day')} AS arrival, {inner(13, 2, "'Cut early'")} AS harvest, {inner(13, 3, "''")} AS storage,
+  {inner(13, 5, "'Now'")} AS best, {inner(13, 7, "'Low'")} AS water,
+  CASE WHEN k % 5 = 0 THEN 'Sell now' WHEN k % 5 = 1 THEN 'Better wait' WHEN k % 5 = 2 THEN 'No advice' END AS advice,
+  CASE WHEN k % 3 = 1 THEN 'High' WHEN k % 3 = 2 THEN 'Low' END AS risk,
+  CASE WHEN k % 4 = 0 THEN '' WHEN k % 4 = 1 THEN 'Onion' END AS form_crop,
+  CASE WHEN k % 5 = 0 THEN '' WHEN k % 5 = 1 THEN 'Town' END AS form_market,
+  CASE WHEN k % 6 = 1 THEN 'North' END AS form_district
+FROM raw"""
+
+    def number(text: str, fallback: str) -> str:
+        # The texts here hold digits, commas, one dot, marks and words.
+        return f"coalesce(TRY_CAST(nullif(regexp_replace({text}, '[^0-9.]', '', 'g'), '') AS DOUBLE), {fallback})"
+
+    modal = number("coalesce(modal, current)", "2200.0::DOUBLE")
+    numbers = f"""
+SELECT *, {number('high', 'm * 1.08::DOUBLE')} AS h, {number('low', 'm * 0.9::DOUBLE')} AS l, {number('rainfall', '0.0::DOUBLE')} AS rain,
+  coalesce(trend, 'Stable') AS tr, coalesce(risk, 'Low') AS rk, lower(coalesce(advice, '')) AS cue
+FROM (SELECT *, {modal} AS m FROM parts)"""
+
+    def label(x: str) -> str:
+        return f"'₹' || CAST(CAST(floor({x} + 0.5::DOUBLE) AS BIGINT) AS VARCHAR)"
+
+    shown = {
+        "temperature": "coalesce(temperature, '—')", "humidity": "coalesce(humidity, '—')", "rainfall": "coalesce(rainfall, '—')",
+        "wind_speed": "coalesce(wind, '12 km/h')",
+        "condition": "CASE WHEN rain >= 50 THEN 'rainy' WHEN rain >= 20 THEN 'cloudy' ELSE 'sunny' END",
+        "market_name": "coalesce(nullif(name, ''), nullif(form_market, ''), 'Nearest Mandi')",
+        "modal_price": label("m"), "highest_price": label("h"), "lowest_price": label("l"),
+        "arrival_date": "coalesce(arrival, '2026-07-08')", "trend": "tr",
+        "modal_price_value": r4("m"), "highest_price_value": r4("h"), "lowest_price_value": r4("l"),
+        "harvest_tip": "coalesce(harvest, 'Harvest when grains reach full maturity.')",
+        "storage_tip": "coalesce(storage, 'Store in a cool, dry, ventilated space.')",
+        "best_selling_period": "coalesce(best, 'Within the next 2 weeks')",
+        "fertilizer_advice": "'Apply balanced NPK as per soil test results.'",
+        "water_requirement": "coalesce(water, 'Moderate — irrigate every 5-7 days.')",
+        "recommendation": "coalesce(advice, 'Recommendation unavailable right now.')",
+        "reasons": "CASE WHEN k % 6 = 1 THEN 'own reason | second' ELSE coalesce(nullif(form_crop, ''), 'Crop') || "
+                   "' prices are trending ' || lower(coalesce(nullif(trend, ''), tr)) || ' at ' || "
+                   "coalesce(nullif(form_market, ''), 'your selected market') || ' in ' || coalesce(form_district, 'your district') || "
+                   "'. | Weather conditions (' || coalesce(rainfall, 'low rainfall') || ') should be considered before selling. | "
+                   "Market prices are based on the selected market.' END",
+        "confidence": "CASE WHEN k % 4 = 1 THEN k % 100 ELSE 82 END", "risk_level": "rk",
+        "decision": "CASE WHEN cue LIKE '%sell%' THEN 'sell' WHEN cue LIKE '%wait%' THEN 'wait' WHEN cue LIKE '%hold%' THEN 'hold' "
+                    "WHEN rk = 'High' THEN 'wait' WHEN tr = 'Increasing' THEN 'sell' WHEN tr = 'Decreasing' THEN 'wait' ELSE 'hold' END",
+        "audio_base64": "CASE WHEN k % 10 = 1 THEN 'UklGRg==' END"}
+    columns = ", ".join(f"CASE WHEN k % 17 <> 0 THEN {v} END AS {c}" for c, v in shown.items())
+    return with_ctes(("raw", raw), ("parts", parts), ("numbers", numbers), body=f"SELECT o_orderkey, {columns} FROM numbers")
+
+
+def _request_payload() -> str:
+    gaps = "SELECT * REPLACE (CASE WHEN location_id % 9 <> 4 THEN modal_price END AS modal_price) FROM prices0"
+    req = f"""
+SELECT s_suppkey AS req_id, state, district, CASE WHEN s_suppkey % 10 = 7 THEN 'Nowhere' ELSE market END AS market,
+  ([{_cycle}])[CAST(s_suppkey % 6 + 1 AS INTEGER)] AS commodity, s_suppkey AS location_id FROM ({MARKET_DIM})"""
+    on = " AND ".join(f"r.{c} = s.{c}" for c in SERIES.split(", "))
+    rules0 = RULES0.replace("SELECT s.*,", f"SELECT r.req_id, r.state AS r_state, r.district AS r_district, r.market AS r_market, "
+                            "r.commodity, s.* EXCLUDE (state, district, market, commodity, location_id),") \
+        .replace("s.commodity", "r.commodity") \
+        .replace("FROM summary s LEFT JOIN horizon h ON s.location_id", f"FROM req r LEFT JOIN summary s ON {on} LEFT JOIN horizon h ON r.location_id") \
+        .replace("h.n_days AS weather_days,", "h.n_days AS weather_days, h.location_id AS weather_id,")
+    ctes = [("prices0", PRICES), ("prices", gaps), *[c for c in RULE_CTES if c[0] != "prices"]]
+    at = [n for n, _ in ctes].index("rules0")
+    ctes[at:at + 1] = [("req", req), ("rules0", rules0)]
+    item = "strftime(CAST(arrival_date AS DATE), '%Y-%m-%d')" + "".join(
+        f" || '/' || coalesce(printf('%.4f', {r4(c)}), 'none')" for c in ("modal_price", "max_price", "min_price"))
+    day = "date" + "".join(f" || '/' || coalesce(printf('%.4f', {r4(c)}), 'none')" for c in (
+        "min_temp_c", "max_temp_c", "rain_probability_max_percent")) + " || '/' || conditions"
+    ctes += [("recent", f"SELECT {SERIES}, string_agg({item}, ', ' ORDER BY arrival_date) AS recent FROM top7 GROUP BY {SERIES}"),
+             ("days", f"SELECT location_id, string_agg({day}, '; ' ORDER BY date) AS days FROM wdaily GROUP BY location_id"),
+             ("recorded", f"SELECT DISTINCT {SERIES}, TRUE AS any FROM prices")]
+    has, fair = "(u.n_days IS NOT NULL)", "coalesce(weather_available, FALSE)"
+
+    def when(cond: str, **columns: str) -> str:
+        return ", ".join(f"CASE WHEN {cond} THEN {v} END AS {k}" for k, v in columns.items())
+
+    on_series = " AND ".join(f"x.{c} = u.r_{c}" if c != "commodity" else "x.commodity = u.commodity" for c in SERIES.split(", "))
+    return with_ctes(*ctes, body=f"""
+SELECT req_id, {LANG} AS farmer_language,
+  {when(has, farmer_state='r_state', farmer_district='r_district', farmer_market='r_market', farmer_crop='u.commodity')},
+  {when(fair, farmer_weather_location='weather_location')}, {has} AS market_available,
+  CASE WHEN NOT {has} THEN CASE WHEN g.any THEN 'No valid market-price records found.' ELSE 'No market-price records found.' END END AS market_message,
+  {when(has, market_source="'AGMARKNET / OGD India'", market_state='r_state', market_district='r_district', market_market='r_market',
+        market_crop='u.commodity', market_price_unit="'Rs./Quintal'", market_trend='trend',
+        period_from=dstr('period_from'), period_to=dstr('period_to'), latest_date=dstr('period_to'),
+        latest_min_price=r4('latest_min_price'), latest_max_price=r4('latest_max_price'), latest_modal_price=r4('latest_modal_price'),
+        seven_day_average_modal_price=r4('seven_day_average_modal_price'), previous_day_modal_price=r4('previous_day_modal_price'),
+        day_over_day_change_percent=r4('day_over_day_change_percent'), seven_day_change_percent=r4('seven_day_change_percent'),
+        recent_modal_prices='x.recent', recent_prices='x.recent')},
+  {fair} AS weather_available, weather_message,
+  {when(fair, weather_source="'OpenWeather forecast'", weather_location='weather_location', latitude=r4('weather_latitude'),
+        longitude=r4('weather_longitude'), daily_forecast="coalesce(d.days, '')")},
+  crop_name, heat_sensitive, rain_sensitive, waterlogging_sensitive, perishability, sell_or_wait_bias,
+  {r4('critical_temp_max_c')} AS critical_temp_max_c, {r4('critical_temp_min_c')} AS critical_temp_min_c,
+  CAST(storage_life_days AS BIGINT) AS storage_life_days, recommended_decision, market_signal, crop_storage_signal,
+  heat_risk, cold_risk, rain_risk, {r4('rule_max_temp_c')} AS max_forecast_temp_c, {r4('rule_min_temp_c')} AS min_forecast_temp_c,
+  {r4('rule_max_rain_percent')} AS max_rain_probability_percent,
+  array_to_string(facts_list, ' | ') AS facts, array_to_string(reasons_list, '; ') AS reasons
+FROM rules u LEFT JOIN recent x ON {on_series}
+LEFT JOIN days d ON d.location_id = u.weather_id
+LEFT JOIN recorded g ON {on_series.replace('x.', 'g.')}""")
+
+
 def _prompt_lines() -> str:
     prompt = ("'Crop:' || coalesce(commodity, 'None') || ' Market:' || coalesce(market, 'None') || ',' "
               "|| coalesce(district, 'None') || ' Lang:' || coalesce(lang, 'None') "
@@ -280,6 +399,8 @@ def oracle_sql() -> dict[str, str]:
     return {
         "compact_payload": _compact_payload(),
         "full_payload_fields": _full_payload_fields(),
+        "request_payload": _request_payload(),
+        "advisory_view": _advisory_view(),
         "prompt_lines": _prompt_lines(),
         "fallback_advisory": _fallback_advisory(),
         "market_payload_default": _market_payload_default(),

@@ -191,6 +191,21 @@ def farmer_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def prices_with_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PRICES in which every ninth market reports no modal price, so its series hold no valid record."""
+    return prices(spark, sf_dir).withColumn(
+        "modal_price", F.when(F.col("location_id") % 9 != 4, F.col("modal_price")))
+
+
+def payload_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One advisory request per supplier for its own place; every tenth names a market that reports nothing."""
+    own = farmer_requests(spark, sf_dir).drop("district", "market", "crop").join(
+        market_dim(spark, sf_dir).select(F.col("s_suppkey").alias("req_id"), "district", "market"), "req_id")
+    k = F.col("req_id")
+    crop = F.element_at(F.array(*[F.lit(c) for c in COMMODITY_CYCLE]), (k % len(COMMODITY_CYCLE) + 1).cast("int"))
+    return own.withColumns({"market": F.when(k % 10 == 7, F.lit("Nowhere")).otherwise(F.col("market")), "crop": crop})
+
+
 def filter_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One history request per supplier and filter mask: its own place, the crop of its turn, a brand of its turn;
     the bits of the mask say which of state, district, market and variety are set. Every seventh supplier asks
