@@ -1,8 +1,8 @@
 """Text cleaning for speech (J1-J3) as ordered ``regexp_replace`` chains.
 
 White space and digits are the Unicode ones: ``\\p{Nd}`` for digits, and the
-characters that count as white space spelled out in ``WS`` (Java's ``\\s`` is
-ASCII unless a flag is set). ``(?d)`` makes ``.`` and ``^`` treat only a line
+characters that count as white space spelled out in ``ODD_SPACE`` (Java's
+``\\s`` is ASCII unless a flag is set). ``(?d)`` makes ``.`` and ``^`` treat only a line
 feed as a line end.
 """
 
@@ -11,8 +11,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The white-space characters of the reference's text patterns.
-WS = r"[\x09-\x0D\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
+# The white-space characters of the reference's text patterns, but for the line feed and the space.
+ODD_SPACE = r"[\x09\x0B-\x0D\x1C-\x1F\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
+# What they have become when the steps below run.
+WS = r"[ \n]"
 
 # Markdown removal steps, in order (pattern, replacement).
 MARKDOWN_STEPS = [
@@ -32,10 +34,10 @@ def _c(c) -> Column:
 
 def clean_text_for_speech(text, language_code) -> Column:
     """J1 + J2: markdown to plain text; Latin letters dropped for Telugu."""
-    t = _c(text)
+    # All white space but line feeds ends as a plain space: made one at once, it keeps the patterns ASCII.
+    t = F.regexp_replace(_c(text), ODD_SPACE, " ")
     for pattern, repl in MARKDOWN_STEPS:
         t = F.regexp_replace(t, pattern, repl)
-    t = F.translate(t, "\r\n", "  ")
     t = F.when(_c(language_code) == "te", F.regexp_replace(t, "[A-Za-z]+", "")).otherwise(t)
     t = F.trim(F.regexp_replace(t, f"{WS}+", " "))  # one plain space is all that is left at the ends
     return F.when(_c(text).isNull() | (_c(text) == ""), F.lit("")).otherwise(t)

@@ -26,14 +26,21 @@ SUPPORTED_COMMODITIES = ["Brinjal", "Cauliflower", "Green Chilli", "Onion", "Pot
 
 
 def latest_n_dates(df: DataFrame, n: int, series: Sequence[str] = SERIES) -> DataFrame:
-    """All rows on the n latest distinct dates of each series.
+    """All rows on the n latest distinct dates of each series, with ``date_rank`` (1 = latest).
 
-    ``dense_rank <= n`` gets a partial ``WindowGroupLimit`` before the
-    shuffle, so each task ships only rows on its own n latest dates.
+    The dates of a series are distinct (series, date) pairs, reduced inside
+    the tasks, and only those are ranked; the rows then join the ranked dates
+    on (series, date), an equi-join whose hot keys adaptive execution splits.
+    So a series that holds a third of all rows is no single task, however many
+    of them fall on its latest dates. NULL parts of a series match (``<=>``).
     """
     w = Window.partitionBy(*series).orderBy(F.col("arrival_date").desc())
-    return (df.withColumn("date_rank", F.dense_rank().over(w))
-            .where(F.col("date_rank") <= n))
+    dates = (df.select(*series, "arrival_date").distinct().withColumn("date_rank", F.row_number().over(w))
+             .where(F.col("date_rank") <= n))
+    keys = [*series, "arrival_date"]
+    dates = dates.select(*[F.col(c).alias(f"_d_{c}") for c in keys], "date_rank")
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_d_{c}")) for c in keys])
+    return df.join(dates, same).select(*df.columns, "date_rank")
 
 
 def latest_n_rows(df: DataFrame, n: int, order: Column, series: Sequence[str] = SERIES) -> DataFrame:
