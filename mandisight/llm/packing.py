@@ -6,8 +6,9 @@ depends on their lengths alone, so the plan is made from the histogram of
 piece lengths, at most ``capacity`` rows whatever the corpus holds:
 
 1. Lengths are taken from the longest down. The gap behind a length is looked
-   up in the index of single lengths, pair sums and triple sums; combinations
-   that fill the gap exactly are consumed as often as the counts allow.
+   up by hash: among the single lengths, in the index of pair sums, in that of
+   triple sums. A combination that fills the gap exactly is consumed as often
+   as the counts allow, and leaves the index when a length has run out.
 2. What is left is placed best-fit: the open sequence with the smallest gap
    that still holds the length, else a new sequence.
 
@@ -24,8 +25,9 @@ extra columns are not read.
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -74,15 +76,63 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, e
     return docs.select("doc_id", "text").mapInPandas(lambda batches: given_back(run(batches)), PIECE_SCHEMA + ", ids array<int>" * keep_ids)
 
 
+class SumIndex:
+    """Pairs and triples of available lengths by their sum.
+
+    The entries of a sum are made when it is first asked for. Counts only fall, so an entry that has run out leaves
+    for good; one that merely lacks a length which the caller has ``taken`` stays.
+    """
+
+    def __init__(self, left: list[int]):
+        self.left = left
+        #: sum -> [(a, b)] with a >= b, ascending; sum -> [a], the largest of three, ascending.
+        self.pairs: dict[int, list[tuple[int, int]]] = {}
+        self.firsts: dict[int, list[int]] = {}
+
+    def _entries(self, total: int) -> list[tuple[int, int]]:
+        if total not in self.pairs:
+            left = self.left
+            self.pairs[total] = [(a, total - a) for a in range((total + 1) // 2, total) if left[a] and left[total - a]]
+        return self.pairs[total]
+
+    def pair(self, total: int, most: int, taken: dict[int, int]) -> tuple[int, int] | None:
+        """The pair of the largest first length up to ``most``."""
+        entries = self._entries(total)
+        for i in range(bisect_right(entries, most, key=itemgetter(0)) - 1, -1, -1):
+            a, b = entries[i]
+            wanted = 2 if a == b else 1
+            if self.left[a] < wanted or self.left[b] < wanted:
+                del entries[i]
+            elif self.left[a] - taken.get(a, 0) >= wanted and self.left[b] - taken.get(b, 0) >= wanted:
+                return a, b
+        return None
+
+    def triple(self, total: int, taken: dict[int, int]) -> tuple[int, int, int] | None:
+        """The triple of the largest first length."""
+        if total not in self.firsts:
+            self.firsts[total] = [a for a in range(-(-total // 3), total - 1) if self.left[a]]
+        firsts = self.firsts[total]
+        for i in range(len(firsts) - 1, -1, -1):
+            a = firsts[i]
+            if self.left[a] - taken.get(a, 0) >= 1:
+                rest = self.pair(total - a, a, taken | {a: taken.get(a, 0) + 1})
+                if rest:
+                    return (a, *rest)
+            if not self.left[a] or not self._entries(total - a):
+                del firsts[i]
+        return None
+
+
 class Plan:
     """Sequences made from a histogram {length: count}."""
 
     def __init__(self, histogram: dict[int, int], capacity: int = CAPACITY):
         self.capacity = capacity
-        self.left = np.zeros(capacity + 1, np.int64)
+        self.left = [0] * (capacity + 1)
         for length, count in histogram.items():
             self.left[length] += count
-        self.used = np.zeros(capacity + 1, np.int64)
+        self.used = [0] * (capacity + 1)
+        self.index = SumIndex(self.left)
         self.sequences = 0
         #: per length: (first number, first sequence, offset)
         self.intervals: dict[int, list[tuple[int, int, int]]] = {}
@@ -90,51 +140,26 @@ class Plan:
         self._best_fit()
 
     def _put(self, length: int, count: int, sequence: int, offset: int) -> None:
-        self.intervals.setdefault(length, []).append((int(self.used[length]), sequence, offset))
+        self.intervals.setdefault(length, []).append((self.used[length], sequence, offset))
         self.used[length] += count
         self.left[length] -= count
 
-    def _pair(self, total: int) -> tuple[int, int] | None:
-        """Available (a, b), a >= b, with a + b = total; the largest a."""
-        low, high = (total + 1) // 2, total - 1
-        if high < low:
-            return None
-        a = self.left[low:high + 1]
-        b = self.left[total - high:total - low + 1][::-1]
-        ok = (a > 0) & (b > 0)
-        if total % 2 == 0:
-            ok[0] = a[0] >= 2
-        at = np.flatnonzero(ok)
-        return (low + int(at[-1]), total - low - int(at[-1])) if len(at) else None
-
-    def complement(self, gap: int) -> tuple[int, ...] | None:
-        """A single length, a pair or a triple that fills ``gap`` exactly."""
-        if self.left[gap] > 0:
+    def complement(self, gap: int, taken: dict[int, int]) -> tuple[int, ...] | None:
+        """A single length, a pair or a triple that fills ``gap`` exactly besides what is ``taken``."""
+        if self.left[gap] - taken.get(gap, 0) > 0:
             return (gap,)
-        if pair := self._pair(gap):
-            return pair
-        for a in np.flatnonzero(self.left[:gap] > 0)[::-1].tolist():
-            if 3 * a < gap:
-                return None  # a is the largest of the three
-            self.left[a] -= 1
-            pair = self._pair(gap - a)
-            self.left[a] += 1
-            if pair and pair[0] <= a:
-                return (a, *pair)
-        return None
+        return self.index.pair(gap, gap, taken) or self.index.triple(gap, taken)
 
     def _fill_exactly(self) -> None:
         for length in range(self.capacity, 0, -1):
             while self.left[length] > 0:
-                self.left[length] -= 1
-                rest = self.complement(self.capacity - length) if length < self.capacity else ()
-                self.left[length] += 1
+                rest = self.complement(self.capacity - length, {length: 1}) if length < self.capacity else ()
                 if rest is None:
                     break
                 wanted: dict[int, int] = {}
                 for x in (length, *rest):
                     wanted[x] = wanted.get(x, 0) + 1
-                count = int(min(self.left[x] // n for x, n in wanted.items()))
+                count = min(self.left[x] // n for x, n in wanted.items())
                 offset = 0
                 for x in (length, *rest):
                     self._put(x, count, self.sequences, offset)
@@ -152,7 +177,7 @@ class Plan:
                 open_.setdefault(gap, []).append((first, count))
 
         for length in range(self.capacity, 0, -1):
-            while (count := int(self.left[length])) > 0:
+            while (count := self.left[length]) > 0:
                 at = bisect_left(gaps, length)
                 if at < len(gaps):
                     gap = gaps[at]

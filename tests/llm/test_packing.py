@@ -39,6 +39,33 @@ def test_plan_places_every_piece(lengths):
     assert used <= max(1, 2 * -(-sum(lengths) // 40)) or not lengths
 
 
+def test_planted_triple_is_consumed_as_often_as_counts_allow():
+    # 47 + (25 + 17 + 11) alone is full; 11 runs out after four times.
+    plan = packing.Plan({47: 9, 25: 7, 17: 6, 11: 4}, capacity=100)
+    (number, first, offset), = plan.intervals[11]
+    assert (number, offset, plan.used[11]) == (0, 89, 4)
+    assert plan.intervals[25][0] == (0, first, 47) and plan.intervals[17][0] == (0, first, 72)
+    assert plan.intervals[47][0] == (0, first, 0) and plan.intervals[47][1][0] == 4
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.dictionaries(st.integers(1, 30), st.integers(1, 3), max_size=8), st.integers(3, 60), st.integers(1, 30))
+def test_sum_index_finds_what_a_search_finds(histogram, total, reserved):
+    left = [histogram.get(n, 0) for n in range(100)]
+    taken = {reserved: 1} if histogram.get(reserved) else {}
+    index = packing.SumIndex(left)
+
+    def possible(combination):
+        return all(left[n] - taken.get(n, 0) >= k for n, k in Counter(combination).items())
+
+    pairs = [(a, total - a) for a in range(1, total) if a >= total - a and possible((a, total - a))]
+    triples = [(a, b, total - a - b) for a in range(1, total) for b in range(1, a + 1)
+               if 1 <= total - a - b <= b and possible((a, b, total - a - b))]
+    for _ in range(2):  # a second look finds the same
+        assert index.pair(total, total, taken) == max(pairs, default=None)
+        assert index.triple(total, taken) == max(triples, default=None)
+
+
 def test_exact_complements_are_found():
     # Single, pair and triple complements: three full sequences.
     plan = packing.Plan({60: 1, 40: 1, 70: 1, 20: 1, 10: 1, 80: 1, 9: 1, 8: 1, 3: 1}, capacity=100)
