@@ -4,13 +4,15 @@ Trusted positives and unlabelled web text train a linear scorer by the
 non-negative unbiased risk: prior * R+(positives) + max(0, R-(unlabelled) -
 prior * R-(positives)), logistic loss; where the bracket turns negative, the
 step climbs it back instead. The class prior is estimated from the data: a
-first positive-against-unlabelled scorer orders held-back texts, and the
-prior is the smallest ratio of unlabelled to positive share above a score
-(with a confidence margin on both shares).
+first positive-against-unlabelled scorer orders the texts, and the prior is
+the smallest ratio of unlabelled to positive share above a score (with a
+confidence margin on both shares).
 
 Features come from the whole text, whatever its language: frequencies of
 neighbouring character classes, and shares of repeated lines and words.
-Training uses bounded, documented samples; every document is scored.
+Their means and scales, and the unlabelled shares of the prior (a histogram of
+first scores), are taken over every document that may be learned from; only
+the weights are fitted on samples of stated size. Every document is scored.
 
 Defined results: null and empty texts have features of zero and the score
 that the model gives them; with no positive or no unlabelled text to learn
@@ -27,12 +29,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mandisight.llm.common import fold, table, text_chunks
+from mandisight.llm.common import fold, given_back, table, text_chunks
 
-#: At most so many positives, and so many unlabelled texts, are collected (as features) to train on.
+#: At most so many positives, and so many unlabelled texts, are collected (as features) to fit weights on.
 SAMPLE_POSITIVE = 5000
 SAMPLE_UNLABELLED = 5000
 ROUNDS, RATE, DECAY = 500, 0.05, 1e-4
+#: Bins of the first scores, between 0 and 1.
+BINS = 4096
 
 # Character classes by byte of the UTF-8 form; bytes that continue a character have none.
 LOWER, UPPER, DIGIT, SPACE, LINE, STOP, COMMA, MARK, QUOTE, SIGN, BAR, DASH, OTHER, CONTROL = range(14)
@@ -123,18 +127,18 @@ def fit_pu_order(p: np.ndarray, u: np.ndarray, rounds: int = 200) -> np.ndarray:
     return best.w
 
 
-def estimate_prior(p: np.ndarray, u: np.ndarray, delta: float = 0.1) -> float:
-    """Share of positives among the unlabelled texts."""
-    half_p, half_u = len(p) // 2, len(u) // 2
-    if half_p < 20 or half_u < 20:
-        return 0.5
-    w = fit_pu_order(p[:half_p], u[:half_u])
-    sp, su = np.sort(p[half_p:] @ w), np.sort(u[half_u:] @ w)
-    cuts = np.unique(sp)
-    qp = 1 - np.searchsorted(sp, cuts, side="left") / len(sp)
-    qu = 1 - np.searchsorted(su, cuts, side="left") / len(su)
-    margin = np.sqrt(np.log(4 / delta) / 2 / len(sp)) + np.sqrt(np.log(4 / delta) / 2 / len(su))
-    at = int(np.argmin((qu + margin) / np.maximum(qp, 1e-9)))
+def bins_of(inputs: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """The bins of first scores."""
+    return np.minimum((sigmoid((inputs * weights).sum(axis=1)) * BINS).astype(np.int64), BINS - 1)
+
+
+def prior_of(positive: np.ndarray, unlabelled: np.ndarray, delta: float = 0.1) -> float:
+    """Share of positives among the unlabelled texts, from how many of both have a first score in each bin."""
+    n_p, n_u = positive.sum(), unlabelled.sum()
+    qp, qu = (np.cumsum(x[::-1])[::-1] / n for x, n in ((positive, n_p), (unlabelled, n_u)))
+    margin = np.sqrt(np.log(4 / delta) / 2 / n_p) + np.sqrt(np.log(4 / delta) / 2 / n_u)
+    cuts = np.flatnonzero(positive)
+    at = cuts[np.argmin((qu[cuts] + margin) / qp[cuts])]
     return float(np.clip(qu[at] / qp[at], 0.02, 0.98))
 
 
@@ -174,6 +178,47 @@ def feature_rows(docs: DataFrame) -> DataFrame:
     return docs.select("positive", "text").mapInPandas(run, "positive boolean, x array<float>")
 
 
+def moments(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
+    """Mean and standard deviation of every feature over all rows of ``docs`` (text), and the number of rows."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((3, N_FEATURES))
+        for batch in batches:
+            texts = batch["text"].tolist()
+            for a, b in text_chunks(texts):
+                x = features(texts[a:b])
+                total += [x.sum(axis=0), (x * x).sum(axis=0), np.full(N_FEATURES, b - a)]
+        yield pd.DataFrame({"feature": np.arange(N_FEATURES), "s": total[0], "ss": total[1], "n": total[2]})
+
+    rows = (docs.select("text").mapInPandas(lambda b: given_back(run(b)), "feature int, s double, ss double, n double")
+            .groupBy("feature").agg(F.sum("s").alias("s"), F.sum("ss").alias("ss"), F.sum("n").alias("n"))
+            .orderBy("feature").toPandas())  # one row per feature
+    n = float(rows["n"].max()) if len(rows) else 0.0
+    if not n:
+        return np.zeros(N_FEATURES), np.zeros(N_FEATURES), 0
+    mean = rows["s"].to_numpy() / n
+    return mean, np.sqrt(np.maximum(rows["ss"].to_numpy() / n - mean * mean, 0.0)), int(n)
+
+
+def first_scores(docs: DataFrame, model: Model, weights: np.ndarray) -> np.ndarray:
+    """How many rows of ``docs`` (text) have a first score in each bin."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(BINS, np.int64)
+        for batch in batches:
+            texts = batch["text"].tolist()
+            for a, b in text_chunks(texts):
+                total += np.bincount(bins_of(model.inputs(features(texts[a:b])), weights), minlength=BINS)
+        at = np.flatnonzero(total)
+        yield pd.DataFrame({"bin": at, "n": total[at]})
+
+    rows = (docs.select("text").mapInPandas(lambda b: given_back(run(b)), "bin long, n long")
+            .groupBy("bin").agg(F.sum("n").alias("n")).toPandas())  # at most BINS rows
+    out = np.zeros(BINS, np.int64)
+    out[rows["bin"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
+    return out
+
+
 def train(docs: DataFrame, labels: DataFrame, most_positive: int = SAMPLE_POSITIVE,
           most_unlabelled: int = SAMPLE_UNLABELLED) -> Model:
     """A model from ``docs`` (doc_id, text) and ``labels`` (doc_id, quality), both already cut to what may be learned
@@ -188,13 +233,18 @@ def train(docs: DataFrame, labels: DataFrame, most_positive: int = SAMPLE_POSITI
     positive = rows["positive"].to_numpy(bool)
     if not positive.any() or positive.all():
         return Model(np.zeros(N_FEATURES), np.ones(N_FEATURES), None, 0.0)
+    mean, scale, _ = moments(docs)
+    model = Model(mean, np.where(scale > 1e-9, scale, 1.0), None, 0.5)
+    # The rows come in any order; sorted by their features they are the same sample in every run.
+    x, positive = x[order := np.lexsort(x.T)], positive[order]
     order = np.random.default_rng(5).permutation(len(x))
     x, positive = x[order], positive[order]
-    base = x[~positive]
-    scale = base.std(axis=0)
-    model = Model(base.mean(axis=0), np.where(scale > 1e-9, scale, 1.0), None, 0.0)
-    p, u = model.inputs(x[positive]), model.inputs(base)
-    model.prior = estimate_prior(p, u)
+    p, u = model.inputs(x[positive]), model.inputs(x[~positive])
+    half = len(p) // 2
+    if half >= 20 and len(u) >= 40:
+        # One half of the positives makes the order, the other half and all documents are ordered by it.
+        w = fit_pu_order(p[:half], u)
+        model.prior = prior_of(np.bincount(bins_of(p[half:], w), minlength=BINS), first_scores(docs, model, w))
     model.weights = fit_nnpu(p, u, model.prior)
     return model
 

@@ -1,5 +1,7 @@
 """Operators 1, 2 and 10: held-out accuracy and the awkward rows."""
 
+import collections
+import math
 import random
 import re
 import textwrap
@@ -24,6 +26,41 @@ def test_gram_counts_against_a_plain_count():
     assert (alone == counts).all()
 
 
+def plain_language(model, text):
+    """(language, score) of one text, n-gram by n-gram, from the stored weights."""
+    marked = "\0" + re.sub(r"\s+", " ", text).lower().replace("\0", " ") + "\0"
+    counts = collections.Counter()
+    for i in range(len(marked)):
+        code = 0
+        for n, c in enumerate(marked[i:i + lang_id.MAX_GRAM], 1):
+            code = ((code * 0x01000193 & 0xFFFFFFFF) ^ ord(c)) * 0x9E3779B1 & 0xFFFFFFFF
+            code ^= code >> 15
+            if n > 1 or c != "\0":
+                counts[code % len(model.idf)] += 1
+    x = {f: math.log1p(k) * float(model.idf[f]) for f, k in counts.items()}
+    norm = math.sqrt(sum(v * v for v in x.values())) or 1.0
+    at = {int(f): row for f, row in zip(model.live, model.weights)}
+    logits = [sum(v / norm * float(at[f][k]) for f, v in x.items() if f in at) / model.temperature
+              for k in range(len(model.languages))]
+    e = [math.exp(z - max(logits)) for z in logits]
+    best = max(range(len(e)), key=e.__getitem__)
+    return model.languages[best], e[best] / sum(e)
+
+
+def test_predictions_equal_plain_python(spark):
+    docs = spark.read.parquet(f"{SF001}/documents.parquet").select("doc_id", "text", "lang")
+    model = lang_id.train(docs.where(~lang_id.held_out()).select("text", "lang"), most=400)
+    few = docs.where("length(text) < 400").unionByName(docs.where("doc_id < 40")).dropDuplicates(["doc_id"])
+    rows = lang_id.predict(few, model).collect()
+    assert len(rows) > 60
+    for r in rows:
+        if lang_id.has_letter(r.text):
+            language, score = plain_language(model, r.text)
+            assert abs(r.score - score) < 1e-4 and (r.lang_pred == language or score < 0.51)
+        else:
+            assert (r.lang_pred, r.score) == (lang_id.UNDETERMINED, 1.0)
+
+
 def test_document_frequencies_cover_every_row(spark):
     docs = documents(spark)
     frequency, n = lang_id.document_frequencies(docs.repartition(3))
@@ -96,7 +133,8 @@ def test_prior_and_risk_on_known_mixture():
 
     p, u = some(1500, 2), np.vstack([some(1500, 2), some(500, -2)])
     rng.shuffle(u)
-    prior = pu_quality.estimate_prior(p, u)
+    order = pu_quality.fit_pu_order(p[:750], u)
+    prior = pu_quality.prior_of(*(np.bincount(pu_quality.bins_of(x, order), minlength=pu_quality.BINS) for x in (p[750:], u)))
     assert 0.65 < prior < 0.85
     w = pu_quality.fit_nnpu(p, u, prior)
     assert (some(500, 2) @ w > 0).mean() > 0.95 and (some(500, -2) @ w < 0).mean() > 0.95
@@ -123,6 +161,51 @@ def test_quality_awkward_rows(spark):
     assert pu_quality.score(empty(spark), model).count() == 0
 
 
+def plain_features(text):
+    """The features of one text, character by character."""
+    data = (text or "").encode("utf-8", "surrogatepass")
+    kinds = [k for k in (int(pu_quality.CLASS_OF[b]) for b in data) if k >= 0]
+    pairs = collections.Counter(zip(kinds, kinds[1:]))
+    total = max(1, sum(pairs.values()))
+    out = [math.sqrt(pairs[a, b] / total) for a in range(pu_quality.CLASSES) for b in range(pu_quality.CLASSES)]
+    words, lines = data.split(), [x for x in data.split(b"\n") if x.strip()]
+    n, threes = len(words), list(zip(words, words[1:], words[2:]))
+    return out + [math.log1p(n), len(set(words)) / n if n else 0.0, len(set(threes)) / len(threes) if threes else 0.0,
+                  1 - len(set(lines)) / len(lines) if lines else 0.0, math.log1p(len(data) / n) if n else 0.0,
+                  math.log1p(n / len(lines)) if lines else 0.0]
+
+
+def test_quality_equals_brute_force_over_all_texts(spark):
+    """Moments, first scores, prior and every score, from the stored weights, in plain Python."""
+    docs = spark.read.parquet(f"{SF001}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{SF001}/labels.parquet")
+    learn = docs.where(~pu_quality.held_out())
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    x = np.array([plain_features(r.text) for r in learn.collect()])
+    mean, scale, n = pu_quality.moments(learn)
+    assert n == len(x) and np.allclose(mean, x.mean(axis=0)) and np.allclose(scale, x.std(axis=0), atol=1e-7)
+    model = pu_quality.train(learn, labels.where(~pu_quality.held_out()))
+    weights = np.random.default_rng(0).standard_normal(pu_quality.N_FEATURES + 1) / 10
+    z = (model.inputs(x) * weights).sum(axis=1)
+    want = np.bincount(np.minimum((pu_quality.BINS / (1 + np.exp(-z))).astype(int), pu_quality.BINS - 1), minlength=pu_quality.BINS)
+    assert np.abs(pu_quality.first_scores(learn, model, weights) - want).sum() <= 2  # a score on the edge of two bins
+    assert 0.02 <= model.prior <= 0.98
+    for r in pu_quality.score(docs, model).collect():
+        z = model.weights[-1] + sum(w * min(8.0, max(-8.0, (f - m) / s)) for w, f, m, s in zip(
+            model.weights, plain_features(texts[r.doc_id]), model.mean, model.scale))
+        assert abs(r.score - 1 / (1 + math.exp(-z))) < 1e-9 and r.predicted == (r.score >= 0.5)
+
+
+def test_prior_is_the_smallest_ratio_of_shares():
+    positive, unlabelled = np.array([0, 1, 0, 3, 6]), np.array([40, 30, 20, 6, 4])
+    ratios = []
+    for k in (1, 3, 4):  # cuts where a positive lies
+        qp, qu = positive[k:].sum() / 10, unlabelled[k:].sum() / 100
+        margin = math.sqrt(math.log(40) / 20) + math.sqrt(math.log(40) / 200)
+        ratios.append(((qu + margin) / qp, qu / qp))
+    assert abs(pu_quality.prior_of(positive, unlabelled) - min(ratios)[1]) < 1e-12
+
+
 def test_features_of_a_text_do_not_depend_on_its_batch():
     alone = np.vstack([pu_quality.features([t]) for t in TEXTS])
     assert np.allclose(alone, pu_quality.features(TEXTS))
