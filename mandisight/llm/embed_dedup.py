@@ -25,6 +25,7 @@ no rows; extra columns are not read.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,10 +45,13 @@ BLOCK = 512
 #: Vectors collected to choose the pivots that prune pairs of blocks (they never decide a pair).
 PIVOT_SAMPLE = 2000
 PIVOTS = 16
+#: Dimensions that get pivots, the most frequent first; vectors of others are compared in all their pairs of blocks.
+PIVOT_DIMS = 8
 
 
+@functools.lru_cache(maxsize=8)
 def rotation(dim: int, seed: int = 7) -> np.ndarray:
-    """A random orthogonal matrix."""
+    """A random orthogonal matrix, made once per worker and dimension."""
     q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((dim, dim)))
     return q * np.sign(np.diag(r))
 
@@ -126,8 +130,8 @@ def coded(distinct: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
         for batch in batches:
             for dim, rows in batch.groupby("dim"):
                 v = np.stack(rows["v"].to_numpy())
-                # Scaled by the largest component first: squares of tiny or huge values stay finite.
-                v = v / np.abs(v).max(axis=1, keepdims=True)
+                # Scaled by a power of two, which rounds nothing, so that squares of tiny or huge values stay finite.
+                v = np.ldexp(v, -np.frexp(np.abs(v).max(axis=1, keepdims=True))[1])
                 unit = v / np.linalg.norm(v, axis=1, keepdims=True)
                 codes, factors = codes_of(unit)
                 near = unit @ pivots[dim].T if dim in pivots else np.ones((len(unit), 1))
@@ -185,7 +189,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, confidence
     rows = vectors.where(is_usable()).select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
     distinct = written(rows.groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
                        .withColumn("dim", F.size("v")), "vectors")
-    dims = [r["dim"] for r in distinct.groupBy("dim").count().orderBy(F.desc("count")).limit(8).collect()]
+    dims = [r["dim"] for r in distinct.groupBy("dim").count().orderBy(F.desc("count")).limit(PIVOT_DIMS).collect()]
     pivots: dict[int, np.ndarray] = {}
     for dim in dims:
         some = distinct.where(F.col("dim") == dim).orderBy(F.xxhash64("rep")).select("v").limit(PIVOT_SAMPLE).collect()
