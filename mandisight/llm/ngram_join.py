@@ -233,8 +233,9 @@ def keyed_join(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS
     pointers = roots.select(F.col("rep").alias("a"), "b").unionByName(
         roots.select(F.explode("roots").alias("a"), "b")).where("a <> b").distinct()
     candidates = connected_components(pointers).select(F.col("node").alias("rep"), F.col("component").alias("_group"))
+    # Cut to the candidates first: the join leaves their rows by (first, key), where repeats then go without a shuffle.
     sets = written(shingle_sets(
-        source.dropDuplicates(["first", "key"]).join(candidates.join(copies, "rep"), ["first", "key"])
+        source.join(candidates.join(copies, "rep"), ["first", "key"]).dropDuplicates(["first", "key"])
         .drop("first", "key"), words), "shingles")
     sizes = sets.groupBy("_group").agg(F.count(F.lit(1)).alias("_n"))
     units, n = in_block_pairs(sets, ["_group"], block, sizes)
