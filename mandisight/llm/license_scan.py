@@ -19,6 +19,10 @@ many words as the longest notice has; a notice's coverage counts only as many
 words as it has itself. A run only confirms: it counts where its coverage is
 enough, and where no line and no other run that overlaps it covers more.
 
+Besides the long notices there are short ones made of public identifiers and
+names (``SPDX-License-Identifier: MIT``). A reservation of rights that goes on
+as a sentence is not taken for one.
+
 The vocabulary is the n-grams of the notices. A paragraph without any of them
 has the intercepts alone, which is the unknown class, so scoring joins the
 corpus's n-grams with that small table and only what matches goes on.
@@ -128,6 +132,36 @@ NOTICES: dict[str, list[str]] = {
 }
 
 
+# Public identifiers and short names of the families.
+IDENTIFIERS = {
+    "agpl-3.0": ["AGPL-3.0", "AGPL-3.0-or-later"], "apache-2.0": ["Apache-2.0"], "bsd": ["BSD-3-Clause", "BSD-2-Clause"],
+    "cc-by": ["CC-BY-4.0"], "cc-by-nc": ["CC-BY-NC-4.0"], "cc-by-sa": ["CC-BY-SA-4.0"], "cc0": ["CC0-1.0"],
+    "gpl-2.0": ["GPL-2.0-only", "GPL-2.0-or-later"], "gpl-3.0": ["GPL-3.0-only", "GPL-3.0-or-later"],
+    "lgpl": ["LGPL-2.1-or-later", "LGPL-3.0-or-later"], "mit": ["MIT"], "mpl-2.0": ["MPL-2.0"],
+}
+SHORT_NAMES = {
+    "agpl-3.0": ["GNU AGPL v3"], "apache-2.0": ["Apache 2.0 licence"], "bsd": ["BSD licence"],
+    "gpl-2.0": ["GNU GPL v2"], "gpl-3.0": ["GNU GPL v3"], "lgpl": ["GNU LGPL v3"], "mit": ["MIT licence"],
+    "mpl-2.0": ["MPL 2.0"],
+}
+
+
+def all_notices() -> dict[str, list[str]]:
+    """The notices, and the short forms made of identifiers and names."""
+    return {family: [*texts, *[f"SPDX-License-Identifier: {x}" for x in IDENTIFIERS.get(family, ())],
+                     *[f"Licensed under the {x}." for x in SHORT_NAMES.get(family, ())]] for family, texts in NOTICES.items()}
+
+
+#: A reservation that goes on as a sentence ("all rights reserved for the band") is no notice, unless it says by
+#: whom, under what or where.
+_GOES_ON = r"(?i:\b(all\s+rights)\s+reserved)(?=[ \t]+(?!(?:by|under|in|worldwide|throughout)\b)\p{Ll})"
+
+
+def sentences(line: Column) -> Column:
+    """The line, in which reservations that are no notices are broken up."""
+    return F.regexp_replace(line, _GOES_ON, "$1 not reserved")
+
+
 def words_of(paragraph: Column) -> Column:
     """Lower-case words: letters, digits and inner dots (as in 2.0)."""
     plain = F.regexp_replace(F.lower(paragraph), r"[^\p{L}\p{N}.]+|\.(?![\p{L}\p{N}])|(?<![\p{L}\p{N}])\.", " ")
@@ -193,7 +227,7 @@ def known_grams(docs: DataFrame, lookup: DataFrame, first_words: list[str]) -> D
     the notices make n-grams, and only n-grams of the notices go on.
     """
     lines = docs.select("doc_id", F.xxhash64("text").alias("row"),
-                        F.transform(F.split(F.col("text"), "\n"), words_of).alias("lines"))
+                        F.transform(F.split(sentences(F.col("text")), "\n"), words_of).alias("lines"))
     flat = lines.select("doc_id", "row", F.flatten("lines").alias("words"), F.flatten(F.transform(
         "lines", lambda ws, i: F.array_repeat(i, F.size(ws)))).alias("line"))
     n = F.size("words")
@@ -256,7 +290,7 @@ def examples(docs: DataFrame, known: Templates, sample: int) -> DataFrame:
     near = docs.where(spot < int(min(1.0, sample / PARAGRAPHS_PER_DOCUMENT / max(1, n_docs)) * (1 << 30)))
     lines = near.select("doc_id", F.posexplode(F.split(F.col("text"), "\n")).alias("paragraph", "line"))
     some = (lines.orderBy(F.xxhash64("doc_id", "paragraph", "line"), "line").limit(sample)
-            .select(words_of(F.col("line")).alias("words")).select(grams_of(F.col("words")).alias("grams")))
+            .select(words_of(sentences(F.col("line"))).alias("words")).select(grams_of(F.col("words")).alias("grams")))
     shared = F.size(F.array_intersect("grams", F.array(*[F.lit(g) for g in known.vocabulary])))
     background = some.where(shared < 3).select(F.lit(UNKNOWN).alias("label"), "grams", F.lit(False).alias("whole"))
     # Known examples are few: each stands for several rows of the corpus sample.
@@ -276,12 +310,13 @@ class Model:
         self.intercepts, self.temperature, self.least = intercepts, temperature, least
 
 
-def train(docs: DataFrame, notices: dict[str, list[str]] = NOTICES, sample: int = SAMPLE_PARAGRAPHS,
+def train(docs: DataFrame, notices: dict[str, list[str]] | None = None, sample: int = SAMPLE_PARAGRAPHS,
           false_share: float = FALSE_SHARE) -> Model:
+    """A model of ``notices`` by family (``all_notices`` where none are given)."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import CountVectorizerModel
 
-    known = Templates(docs.sparkSession, notices)
+    known = Templates(docs.sparkSession, notices or all_notices())
     # A few thousand rows, whatever the corpus holds: one partition, so that an iteration is one task.
     rows = written(examples(docs.select("doc_id", "text"), known, sample).coalesce(1), "license-examples").coalesce(1)
     classes = [UNKNOWN, *known.families]
