@@ -3,14 +3,15 @@
 A shard file holds, in ascending document order, blocks of ``block`` ids. A
 block is transposed into planes (all lowest bytes, then all second bytes, ...
 or one bit of every id per plane), each plane is compressed with zstandard on
-its own, and planes above the highest used one are not stored. The footer is
-the chunk index (ids, plane places and a crc32 per block) and the document
-index (ids and counts); the last 16 bytes say where the footer starts.
+its own, and planes above the highest used one are not stored. Behind the
+blocks lies a document index (ids and counts) per reading unit; the footer is
+the chunk index (ids, plane places and a crc32 per block) with the places of
+the document indexes, and the last 16 bytes say where it starts.
 
 Writing range-partitions documents by id, so shard k holds lower ids than
 shard k + 1. Every shard lists reading units (runs of whole documents of
 about ``unit`` ids), so that reading splits further than shards and one long
-document is one unit. A reader fetches only the blocks that its unit touches.
+document is one unit. A reader fetches only the index of its unit and the blocks that this touches.
 
 Defined results: null and empty texts hold only the end id; rows that repeat
 a doc_id are kept, ordered by text; a null doc_id sorts first; an empty table
@@ -108,9 +109,15 @@ class ShardWriter:
 
     def close(self) -> None:
         self._flush(last=True)
+        places = []
+        for first, n_docs, _, _ in self.units:
+            index = self.squeeze.compress(json.dumps([self.doc_ids[first:first + n_docs],
+                                                      self.counts[first:first + n_docs]]).encode())
+            self.file.write(index)
+            places.append([self.at, len(index)])
+            self.at += len(index)
         footer = self.squeeze.compress(json.dumps({
-            "kind": self.kind, "block": self.block, "chunks": self.chunks,
-            "doc_ids": self.doc_ids, "counts": self.counts}).encode())
+            "kind": self.kind, "block": self.block, "chunks": self.chunks, "units": places}).encode())
         self.file.write(footer)
         self.file.write(struct.pack("<Q", self.at) + MAGIC)
         self.file.close()
@@ -125,8 +132,7 @@ class ShardReader:
             raise ValueError(f"{uri} is not a complete shard")
         start = struct.unpack("<Q", tail[:8])[0]
         footer = json.loads(self.expand.decompress(self.file.read_at(size - 16 - start, start)))
-        self.kind, self.block, self.chunks = footer["kind"], footer["block"], footer["chunks"]
-        self.doc_ids, self.counts = footer["doc_ids"], footer["counts"]
+        self.kind, self.block, self.chunks, self.units = (footer[k] for k in ("kind", "block", "chunks", "units"))
 
     def chunk(self, k: int) -> np.ndarray:
         at, n, crc, sizes = self.chunks[k]
@@ -139,20 +145,24 @@ class ShardReader:
             raise ValueError(f"block {k} is damaged")
         return ids
 
-    def documents(self, first_doc: int, n_docs: int, first_id: int) -> Iterator[tuple[int | None, int, np.ndarray]]:
-        """(doc_id, start in the shard, ids) of a run of documents, holding a few blocks at a time."""
-        start, base, buffer, k = first_id, first_id // self.block * self.block, [], first_id // self.block
-        have = base
-        for d in range(first_doc, first_doc + n_docs):
-            stop = start + self.counts[d]
-            while have < stop:
-                buffer.append(self.chunk(k))
-                have += len(buffer[-1])
-                k += 1
-            flat = buffer[0] if len(buffer) == 1 else np.concatenate(buffer) if buffer else np.zeros(0, "<u4")
-            yield self.doc_ids[d], start, flat[start - base:stop - base]
-            done = (stop - base) // self.block * self.block
-            buffer, base = ([flat[done:]] if len(flat) > done else []), base + done
+    def documents(self, unit: int, first_id: int) -> Iterator[tuple[int | None, int, np.ndarray]]:
+        """(doc_id, start in the shard, ids) of a unit's documents, holding a few blocks at a time."""
+        at, size = self.units[unit]
+        doc_ids, counts = json.loads(self.expand.decompress(self.file.read_at(size, at)))
+        k = first_id // self.block
+        start, base, flat = first_id, k * self.block, np.zeros(0, "<u4")
+        for doc_id, count in zip(doc_ids, counts, strict=True):
+            stop = start + count
+            if base + len(flat) < stop:
+                # Blocks before this document's start are done with; the next ones up to its end are joined once.
+                done = (start - base) // self.block * self.block
+                more, have = [flat[done:]], base + len(flat)
+                while have < stop:
+                    more.append(self.chunk(k))
+                    have += len(more[-1])
+                    k += 1
+                flat, base = np.concatenate(more), base + done
+            yield doc_id, start, flat[start - base:stop - base]
             start = stop
 
 
@@ -205,12 +215,12 @@ def read_units(manifest: DataFrame, keep_ids: bool = False) -> DataFrame:
             for u in batch.itertuples():
                 rows = [(doc_id, u.shard_start + start, len(ids), zlib.crc32(ids.tobytes()),
                          *([ids.astype(np.int32)] if keep_ids else []))
-                        for doc_id, start, ids in ShardReader(u.uri).documents(u.first_doc, u.n_docs, u.first_id)]
+                        for doc_id, start, ids in ShardReader(u.uri).documents(u.unit, u.first_id)]
                 out = pd.DataFrame(rows, columns=["doc_id", "start", "n_tokens", "ids_crc32",
                                                   *(["ids"] if keep_ids else [])])
                 yield out.astype({"doc_id": "Int64"})
 
-    return units.select("uri", "first_doc", "n_docs", "first_id", "shard_start").mapInPandas(
+    return units.select("uri", "unit", "first_id", "shard_start").mapInPandas(
         run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * keep_ids)
 
 
