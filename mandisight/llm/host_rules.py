@@ -13,8 +13,8 @@ Defined results: a null or empty text has no words, so it fails the base
 rule; documents of a null host have no host verdict and are judged by the
 base rule alone; one host, or hosts without spread, give a prior of
 ``strength`` documents at the corpus rate; repeated rows count as rows; an
-empty table gives no rows; extra columns, of whatever name, are carried on
-by ``judge``.
+empty table gives no rows; extra columns are carried on by ``judge``, but for
+those with the name of a result column, which the result replaces.
 """
 
 from __future__ import annotations
@@ -40,26 +40,35 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.translate(text, ASCII_SPACE, " " * len(ASCII_SPACE)), " "), "")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or a longer form of it that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def measured(docs: DataFrame) -> DataFrame:
     """``docs`` with the five measures and base_failed; other columns unchanged."""
     text = F.coalesce(F.col("text"), F.lit(""))
     bare = F.translate(text, ASCII_SPACE, "")
     # A line has a word if anything is left of it without white space.
     lines = F.filter(F.split(text, "\n"), lambda s: F.translate(s, ASCII_SPACE, "") != "")
-    df = docs.withColumn("_hashes", F.transform(words_of(text), lambda w: F.xxhash64(w)))
-    df = df.withColumn("n_words", F.size("_hashes").cast("long"))
+    hashes, ordered, places = (free_name(docs, n) for n in ("_hashes", "_sorted", "_places"))
+    df = docs.withColumn(hashes, F.transform(words_of(text), lambda w: F.xxhash64(w)))
+    df = df.withColumn("n_words", F.size(hashes).cast("long"))
     # (hash of the window, place): equal windows are neighbours once sorted.
     windows = F.when(F.col("n_words") >= 3, F.transform(
         F.sequence(F.lit(0), F.greatest(F.col("n_words").cast("int") - 3, F.lit(0))),
-        lambda i: F.struct(F.xxhash64(F.get("_hashes", i), F.get("_hashes", i + 1), F.get("_hashes", i + 2)).alias("h"),
+        lambda i: F.struct(F.xxhash64(F.get(hashes, i), F.get(hashes, i + 1), F.get(hashes, i + 2)).alias("h"),
                            i.alias("i")))).otherwise(F.array().cast("array<struct<h:bigint,i:int>>"))
-    df = df.withColumn("_sorted", F.sort_array(windows))
-    df = df.withColumn("_places", F.sort_array(F.transform(
-        F.filter("_sorted", lambda x, k: F.coalesce(x["h"] == F.get("_sorted", k - 1)["h"], F.lit(False))
-                 | F.coalesce(x["h"] == F.get("_sorted", k + 1)["h"], F.lit(False))), lambda x: x["i"])))
+    df = df.withColumn(ordered, F.sort_array(windows))
+    df = df.withColumn(places, F.sort_array(F.transform(
+        F.filter(ordered, lambda x, k: F.coalesce(x["h"] == F.get(ordered, k - 1)["h"], F.lit(False))
+                 | F.coalesce(x["h"] == F.get(ordered, k + 1)["h"], F.lit(False))), lambda x: x["i"])))
     # Each repeated window covers three words, less what the next one covers too.
     covered = F.aggregate(
-        F.transform("_places", lambda p, k: F.least(F.lit(3), F.coalesce(F.get("_places", k + 1) - p, F.lit(3)))),
+        F.transform(places, lambda p, k: F.least(F.lit(3), F.coalesce(F.get(places, k + 1) - p, F.lit(3)))),
         F.lit(0).cast("long"), lambda total, n: total + n)
     df = df.withColumns({
         "word_chars": F.length(bare).cast("long"),
@@ -68,7 +77,7 @@ def measured(docs: DataFrame) -> DataFrame:
         "n_repeat_words": covered,
     })
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    return df.withColumn("base_failed", failed).drop("_hashes", "_sorted", "_places")
+    return df.withColumn("base_failed", failed).drop(hashes, ordered, places)
 
 
 def host_rates(marked: DataFrame, host: str = "source", strength: float = PRIOR_STRENGTH) -> DataFrame:

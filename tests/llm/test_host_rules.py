@@ -54,3 +54,13 @@ def test_one_host_repeats_and_empty(spark):
 def test_no_python_in_the_plan(spark):
     plan = host_rules.measured(documents(spark)).select("n_words", "base_failed")._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_columns_with_the_names_of_helpers_are_carried_on(spark):
+    docs = documents(spark).selectExpr("*", "1 as _hashes", "2 as _SORTED", "3 as _places", "4 as _hashes_", "'x' as kept_")
+    out = host_rules.judge(docs)
+    assert {(r["_hashes"], r["_SORTED"], r["_places"], r["_hashes_"], r["kept_"]) for r in out.collect()} == {(1, 2, 3, 4, "x")}
+    assert sorted(out.columns) == sorted({*docs.columns, *host_rules.MEASURES, "base_failed", "kept", "host_docs",
+                                          "host_failed", "host_rate"})
+    plain = {(r.doc_id, *[r[m] for m in host_rules.MEASURES]) for r in host_rules.judge(documents(spark)).collect()}
+    assert {(r.doc_id, *[r[m] for m in host_rules.MEASURES]) for r in out.collect()} == plain
