@@ -98,10 +98,12 @@ def with_responses(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> Data
     """page_id, url, html and ``keeper``: the response of its payload where that is shared."""
     payload = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select("page_id", "url", payload.alias("html"), F.sha1(payload.cast("binary")).alias("_sha1"))
-    # One row per payload leaves each task, however many pages share it; single payloads are not joined at all.
+    # One row per payload leaves each task, however many pages share it. Only shared payloads are kept, as a written
+    # table of known size: while that is small it is broadcast, and the pages are not shuffled to meet it.
     shared = (rows.where(F.octet_length("html") >= min_bytes).groupBy("_sha1")
               .agg(F.max("page_id").alias("keeper"), F.count(F.lit(1)).alias("_n"))
               .where((F.col("_n") > 1) & F.col("keeper").isNotNull()).drop("_n"))
+    shared = written(shared, "shared-payloads")
     return rows.join(shared, "_sha1", "left").select("page_id", "url", "html", "keeper")
 
 
