@@ -211,19 +211,19 @@ class Aligner:
 
     def _pieces(self, texts: list[str]) -> vocab.Ragged:
         """Ids of B, as the model's encode gives them: every distinct run between single spaces once."""
+        if not self.splits:
+            return vocab.ragged(self.model_b.encode(texts, num_threads=1))
         parts = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
-        coded, ends = pc.dictionary_encode(parts.flatten()), parts.offsets.to_numpy()
-        codes, distinct = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        coded, ends = pc.dictionary_encode(parts.flatten()), parts.offsets.to_numpy().astype(np.int64)
+        codes, distinct = coded.indices.to_numpy(), coded.dictionary
+        at = self.pieces.lookup(distinct.to_pylist())
+        lengths, odd = self.pieces.lengths[at][codes], np.zeros(len(texts), bool)
         # Spaces at an end or in a row leave empty runs: the model sees those texts whole.
-        empty = np.array([not r for r in distinct], bool)
-        odd = np.add.reduceat(empty[codes], ends[:-1]) > 0 if len(texts) else np.zeros(0, bool)
-        odd |= not self.splits
-        live = ~np.repeat(odd, np.diff(ends))
-        wanted, back = vocab.used_codes(codes[live], len(distinct))
-        at = self.pieces.lookup([distinct[i] for i in wanted])
-        lengths, starts = np.zeros(len(codes), np.int64), np.zeros(len(codes), np.int64)
-        lengths[live], starts[live] = self.pieces.lengths[at][back], self.pieces.starts[at][back]
-        flat = gather_runs(self.pieces.flat, starts, lengths)
+        empty = pc.equal(pc.binary_length(distinct), 0).to_numpy(zero_copy_only=False)
+        if empty.any():
+            odd = np.add.reduceat(empty[codes], ends[:-1]) > 0
+            lengths[np.repeat(odd, np.diff(ends))] = 0
+        flat = gather_runs(self.pieces.flat, self.pieces.starts[at][codes], lengths)
         per_text = np.add.reduceat(lengths, ends[:-1]) if len(texts) else np.zeros(0, np.int64)
         return vocab.with_whole(flat, per_text, odd, lambda i: np.array(
             self.model_b.encode(texts[i], num_threads=1), np.int32))
