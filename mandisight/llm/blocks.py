@@ -39,6 +39,18 @@ def in_block_pairs(members: DataFrame, group: list[str], size: int, group_sizes:
         *members.columns, F.least("_b", "_o").alias("_i"), F.greatest("_b", "_o").alias("_j"), "_b"), rows
 
 
+def link_rows(rep: np.ndarray, copies: np.ndarray, a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
+    """(rep, n_links, root) of the members of a unit that the links (a, b) touch."""
+    links = np.bincount(a, copies[b], len(rep)) + np.bincount(b, copies[a], len(rep))
+    # Members in the order of their ids, so that the smallest index is the smallest id.
+    order = np.argsort(rep, kind="stable")
+    place = np.empty_like(order)
+    place[order] = np.arange(len(order))
+    root = rep[order][local_components(len(rep), place[a], place[b])[place]]
+    on = links > 0
+    return pd.DataFrame({"rep": rep[on], "n_links": links[on].astype(np.int64), "root": root[on]})
+
+
 def linked(units: DataFrame, group: list[str], find: Finder, rows: int) -> DataFrame:
     """(rep, n_links, root) of the members that have links in a unit; ``units`` has ``rep`` and ``copies``.
 
@@ -54,15 +66,7 @@ def linked(units: DataFrame, group: list[str], find: Finder, rows: int) -> DataF
         a, b = find(unit, left, bool(inner))
         if not len(a):
             return None
-        rep, copies = unit["rep"].to_numpy(), unit["copies"].to_numpy()
-        links = np.bincount(a, copies[b], len(unit)) + np.bincount(b, copies[a], len(unit))
-        # Members in the order of their ids, so that the smallest index is the smallest id.
-        order = np.argsort(rep, kind="stable")
-        place = np.empty_like(order)
-        place[order] = np.arange(len(order))
-        root = rep[order][local_components(len(unit), place[a], place[b])[place]]
-        on = links > 0
-        return pd.DataFrame({"rep": rep[on], "n_links": links[on].astype(np.int64), "root": root[on]})
+        return link_rows(unit["rep"].to_numpy(), unit["copies"].to_numpy(), a, b)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []

@@ -1,14 +1,16 @@
 """Operators 3 and 5 against brute force."""
 
+import os
 import random
 import re
 from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from mandisight.llm import blocks, embed_dedup, ngram_join
+from mandisight.llm import blocks, common, embed_dedup, ngram_join
 from mandisight.llm.common import written
 from mandisight.llm.components import connected_components, local_components
 from tests.llm.helpers import TEXTS, documents, empty, passage
@@ -205,3 +207,29 @@ def test_different_texts_of_one_id(spark):
     assert sorted((r.doc_id, r.text) for r in kept.collect()) == [(3, near_two), (5, one)]
     apart = corpus_pipeline.keep_one_copy(spark, docs.where("doc_id = 5"), "")
     assert sorted(r.text for r in apart.collect()) == sorted([one, two])
+
+
+def test_pairs_of_blocks_carry_no_vectors_and_stored_vectors_go(spark, monkeypatch):
+    seen, linked, shared = [], embed_dedup.linked, common.shared_dir(spark).removeprefix("file://")
+    monkeypatch.setattr(embed_dedup, "linked", lambda pairs, *rest: seen.append(pairs) or linked(pairs, *rest))
+    before = set(os.listdir(shared))
+    rows = vector_rows()
+    got = embed_dedup.near_duplicates(spark.createDataFrame(rows, VECTORS), block=8)
+    assert seen and not any("binary" in kind or "array" in kind for _, kind in seen[0].dtypes)
+    left = {x.rsplit("-", 5)[0] for x in set(os.listdir(shared)) - before}
+    assert not {x.split("-")[0] for x in left} & {"codes", "vectors", "blocks", "placed"}
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got.collect()} == brute_vectors(rows)
+
+
+@pytest.mark.parametrize("kind", ["array<double>", "array<int>"])
+def test_embeddings_of_other_types(spark, kind):
+    rows = [(0, [3, 4, 0], 1), (1, [3, 4, 0], 1), (2, [30, 41, 0], 1), (3, [0, 0, 2], 1), (4, [3, 4, 0], 2)]
+    got = embed_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<long>, label int").withColumn(
+        "embedding", F.col("embedding").cast(kind))).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == {0: (2, 0), 1: (2, 0), 2: (2, 0), 3: (0, 3), 4: (0, 4)}
+
+
+def test_zeros_of_both_signs_are_one_vector(spark):
+    rows = [(0, [0.0, 1.0], 1), (1, [-0.0, 1.0], 1), (2, [1.0, 0.0], 1)]
+    got = embed_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == {0: (1, 0), 1: (1, 0), 2: (0, 2)}
