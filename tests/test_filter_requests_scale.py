@@ -1,6 +1,7 @@
 """C5 over a table of requests when there are too many keys or requests to broadcast."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from mandisight.operators import history
 from mandisight.sources import driver_tables as dt
@@ -34,3 +35,23 @@ def test_many_requests_do_not_multiply_the_rows_before_a_shuffle(spark, tmp_path
     copies = [i for i, line in enumerate(plan) if "Generate explode([0,1,2" in line]
     joins = [next(x for x in reversed(plan[:i]) if " Join " in x) for i in copies]
     assert len(copies) == 2 and all("rightHint=(strategy=broadcast)" in j for j in joins)
+
+
+def test_what_is_broadcast_is_bounded_over_all_masks(spark, tmp_path, monkeypatch):
+    # Sixteen masks with fewer keys each than the bound are more than the bound together.
+    monkeypatch.setattr(history, "MAX_BROADCAST_KEYS", 100, raising=False)
+    dt.filter_requests(spark, SF0001).write.parquet(str(tmp_path / "asked"))
+    asked = spark.read.parquet(str(tmp_path / "asked"))
+    masks = asked.where("commodity is not null").groupBy(history.open_mask().alias("m")).agg(F.countDistinct(
+        "commodity", "state", "district", "market", "variety").alias("n")).collect()
+    assert asked.count() > 100
+    plan = history.history_for_filters(dt.prices(spark, SF0001), asked)._jdf.queryExecution().sparkPlan().toString()
+    assert len(masks) == 16
+    top = plan.splitlines()[:3]
+    assert any("SortMergeJoin [_key" in line for line in top), top
+
+
+def test_few_masks_are_broadcast_and_the_others_shuffled():
+    ways = history._ways({m: 60_000 if m & 4 else 10 for m in range(16)})
+    assert ways["placed"] == [m for m in range(16) if m & 4 and m != 4] and ways["broadcast"] == [0, 1, 2, 3, 4, *range(8, 12)]
+    assert history._ways({0: 0}) == {"broadcast": [0]}
